@@ -78,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def _op1_sql() -> str:
@@ -90,7 +90,7 @@ def _op1_sql() -> str:
     return rf"""
 with w as (
   select doc_id, lang, coalesce(text, '') as text, {WORDS} as ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
   from documents),
 g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
 again as (select doc_id, i from (select *, count(*) over (partition by doc_id, k) as n from g) where n > 1),
@@ -109,7 +109,7 @@ good as (select s.* from s join (select doc_id from labels where quality is not
 tries as (select * from (values {tries}) as t(rule, i, cutoff)),
 seen as (select lang, rule, i, cutoff, count(*) as n, count(*) filter ({value} > cutoff) as x from good cross join tries group by all),
 p as (
-  select *, list_sum(list_transform(range(0, x + 1), k -> exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({share}) + (n - k) * ln(1 - {share})))) as p,
+  select *, list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({share}) + (n - k) * ln(1 - {share})))) as p,
     (select count(distinct coalesce(lang, chr(0))) from good) as strata
   from seen),
 fails as (select *, p > {error} / (strata * {len(rules.CUTOFFS)}) as fails from p),
