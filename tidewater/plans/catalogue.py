@@ -5,28 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-AT = "2024-01-16 00:00:00"
-
-
-def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of a feed: the newest events before a moment, with whoever they belong to, if known."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where((F.col("event_type") != "error") & (F.col("ts") < F.lit(AT).cast("timestamp_ntz")))
-    page = events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200)
-    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    found = page.join(people, page.user_id == people.c_custkey, "left")
-    return found.select("event_id", "ts", "user_id", "event_type", "value", F.col("c_name").alias("who"))
+from tidewater.plans import history, messages, reading, scalars, streams  # noqa: F401  they register their queries
+from tidewater.plans.registry import QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"feed_page": feed_page}
+    return {name: q.run for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "feed_page": f"""
-select event_id, ts, user_id, event_type, value, c_name as who
-from (select * from events where event_type <> 'error' and ts < timestamp '{AT}' order by ts desc, event_id desc limit 200) e
-left join customer on user_id = c_custkey"""
-    }
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}
