@@ -189,7 +189,8 @@ def indexed(quiet: DataFrame, shards: int, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, tag, start, words): runs of words to remove; they may overlap. ``docs`` as ``documents_of`` makes it."""
-    often = minimisers(docs, window, gram).groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    # Written, so that the join below is between two plain exchanges, of which Spark splits the part of a frequent minimiser.
+    often = written(minimisers(docs, window, gram).groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "minimisers")
     found = written(fragments(docs, window, gram).join(often, "m", "left_semi"), "fragments")
     place = F.struct("doc_id", "tag", "start")
     each = found.groupBy("m", "c").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
