@@ -53,7 +53,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = windows(docs, window)
     place = F.struct("doc_id", "tag", "lines")
     shared = found.groupBy("fp", "context").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "context", "first")
-    later = found.join(shared, ["fp", "context"]).where(place > F.col("first"))
+    # Written, so that the join is between two plain exchanges, of which Spark splits the part of a frequent line; merged at every size.
+    later = found.join(written(shared, "shared-windows").hint("merge"), ["fp", "context"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
@@ -69,7 +70,7 @@ def without_repeated_lines(docs: DataFrame, window: int = WINDOW, drop_emptied:
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     runs = written(repeated_runs(docs.select("doc_id", "text"), window), "line-runs")
     runs = runs.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
-    joined = docs.select(*columns).join(runs, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
+    joined = docs.select(*columns).join(runs.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
     lines = lines_of(F.col("text"))
     # The lines are bound once; kept indices keep their order.
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
