@@ -119,10 +119,9 @@ class WordRows:
         return self.values[rows]
 
 
-def word_hashes() -> WordRows:
-    """A 64-bit hash for each word."""
-    digest = xxhash.xxh3_64_intdigest
-    return WordRows(lambda words: np.fromiter(map(digest, words), np.uint64, len(words))[:, None], 1, np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash for each word. (Hashing anew is cheaper than looking words up among very many.)"""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -46,8 +46,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, bytes]], k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
         self.k, self.similarity, self.radius = k, similarity, radius
-        self.words = word_hashes()
-        kept = [(i, h) for i, h in ((i, self.words.of(t.lower().split())[:, 0]) for i, t in items) if len(h)]
+        kept = [(i, h) for i, h in ((i, word_hashes(t.lower().split())) for i, t in items) if len(h)]
         self.ids = [i for i, _ in kept]
         self.lengths = np.array([len(h) for _, h in kept], np.int64)
         self.bags = [Counter(shingle_hashes(h, k).tolist()) for _, h in kept]
@@ -128,7 +127,7 @@ class Benchmark:
         words = text.lower().split()
         if not words or not self.ids:
             return []
-        hashes = self.words.of(words)[:, 0]
+        hashes = word_hashes(words)
         best: dict[int, tuple[float, int]] = {}
         full = shingle_hashes(hashes, self.k)
         weights, have = self.weigh(full)

@@ -10,9 +10,11 @@ fragments stream through backward search, whose matching statistics say which wi
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,39 @@ from tidewater.llm.fmindex import FMIndex
 WINDOW = 20
 #: Words in a minimiser.
 GRAM = 8
+#: Words that are worked on at once, about.
+PACK = 100_000
 #: Words in one index shard, about.
 SHARD = 400_000
 #: Different fragments of one minimiser above which its windows are dealt out one by one instead.
 CROWDED = 4096
 
 
-def fragments_of(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, number of windows) of each run of windows that share one occurrence of a minimiser."""
+def packs(texts: list[bytes], window: int) -> Iterator[tuple[list[int], list[bytes], np.ndarray]]:
+    """Texts of ``window`` words or more, in packs of about ``PACK`` words: which they are, their words, and how many each has.
+
+    Short texts are taken together, so that work on arrays pays; a text is never split.
+    """
+    which, words, lengths = [], [], []
+    for i, text in enumerate(texts):
+        own = text.split()
+        if len(own) < window:
+            continue
+        which.append(i)
+        words += own
+        lengths.append(len(own))
+        if len(words) >= PACK:
+            yield which, words, np.array(lengths)
+            which, words, lengths = [], [], []
+    if which:
+        yield which, words, np.array(lengths)
+
+
+def fragments_of(hashes: np.ndarray, window: int, gram: int, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, number of windows) of each run of windows that share one occurrence of a minimiser.
+
+    ``hashes`` are those of several texts' words in a row if ``lengths`` is given; no window reaches beyond its text.
+    """
     grams = gram_hashes(hashes, gram)
     span = window - gram + 1
     n = len(hashes) - window + 1
@@ -43,8 +70,15 @@ def fragments_of(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray
         left, right = best[:-step], best[step:]
         best = np.where(grams[right] < grams[left], right, left)
         reach += step
-    start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    return grams[best[start]], start, np.diff(np.append(start, n))
+    if lengths is None:
+        inside = np.arange(n)
+    else:
+        ends = np.repeat(np.cumsum(lengths), lengths)[:n]
+        inside = np.flatnonzero(np.arange(n) + window <= ends)
+    chosen = best[inside]
+    # Two texts' windows are never side by side, as those across their border are left out.
+    first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(inside) != 1)]))
+    return grams[chosen[first]], inside[first], np.diff(np.append(first, len(inside)))
 
 
 def content_hashes(hashes: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -77,14 +111,10 @@ def minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(m): the minimiser of each fragment."""
 
     def work():
-        known = word_hashes()
-
         def each(batch):
             found = []
-            for text in texts_of(batch, "text"):
-                words = text.split()
-                if len(words) >= window:
-                    found.append(fragments_of(known.of(words)[:, 0], window, gram)[0])
+            for _, words, lengths in packs(texts_of(batch, "text"), window):
+                found.append(fragments_of(word_hashes(words), window, gram, lengths)[0])
             yield {"m": np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)}
 
         return each
@@ -96,20 +126,18 @@ def fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(m, c, doc_id, tag, start, n): a row for each fragment; ``c`` is a hash of its words, ``n`` counts windows."""
 
     def work():
-        known = word_hashes()
-
         def each(batch):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             found = [[] for _ in range(6)]
-            for i, text in enumerate(texts_of(batch, "text")):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                hashes = known.of(words)[:, 0]
-                m, start, n = fragments_of(hashes, window, gram)
+            for which, words, lengths in packs(texts_of(batch, "text"), window):
+                hashes = word_hashes(words)
+                m, start, n = fragments_of(hashes, window, gram, lengths)
                 c = content_hashes(hashes, start, n + window - 1)
-                for out, part in zip(found, (m.view(np.int64), c.view(np.int64), np.full(len(m), ids[i]), np.full(len(m), tags[i]), start, n), strict=True):
+                ends = np.cumsum(lengths)
+                of = np.searchsorted(ends, start, "right")
+                row, local = np.array(which)[of], start - (ends - lengths)[of]
+                for out, part in zip(found, (m.view(np.int64), c.view(np.int64), ids[row], tags[row], local, n), strict=True):
                     out.append(part)
             empty = [np.zeros(0, np.int64)]
             yield {k: np.concatenate(v or empty).astype(np.int64 if k not in ("start", "n") else np.int32) for k, v in zip(("m", "c", "doc_id", "tag", "start", "n"), found, strict=True)}
@@ -253,7 +281,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
                 kept = b" ".join(left)
                 for k, v in (("kept", kept), ("n_words", n), ("n_removed", n - len(left)), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
                     out[k].append(v)
-            yield out | {"doc_id": batch.column(0), "kept": [k.decode("utf-8", "replace") for k in out["kept"]]}
+            yield out | {"doc_id": batch.column(0), "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())}
 
         return each
 
