@@ -27,6 +27,7 @@ def _written(when: Column) -> tuple[Column, Column, Column]:
     """The text with a month's first day added, its instant (UTC if it names no zone), and whether it names one."""
     text = x.stripped(when)
     text = F.when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01"))).otherwise(text)
+    text = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2")
     good = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}.*)?$")
     return text, F.when(good, text.try_cast("timestamp")), text.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
 

@@ -74,7 +74,7 @@ def called(requests: DataFrame, call: Callable[[dict], dict], prompt: str = "pro
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [answered(call, {"prompt": p, "max_output": max_output, "effort": effort}) for p in pdf[prompt]]
-            done = pd.DataFrame(out, columns=names, index=pdf.index)
+            done = pd.DataFrame({k: pd.Series([o.get(k) for o in out], pdf.index, object) for k in names})
             for k in ("attempts", "input_tokens", "cached_input_tokens", "output_tokens"):
                 done[k] = done[k].fillna(0).astype("int32" if k == "attempts" else "int64")
             yield pd.concat([pdf[columns], done], axis=1)

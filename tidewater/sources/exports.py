@@ -127,7 +127,7 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool) -> tuple[DataFrame, DataF
     size = F.when(F.col("kind") == "start", F.char_length(body)).when(F.col("kind") == "continuation", F.char_length("line") + 1).otherwise(0)
     rows = rows.withColumn("_end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     over = (F.col("kind") == "continuation") & (F.col("_end") > v.BODY_CHARS)
-    rows = rows.withColumn("_over", over).withColumn("kind", F.when(over, "unparsed").otherwise(F.col("kind"))).withColumn("_joined", over | (F.col("kind") != "unparsed"))
+    rows = rows.withColumn("_over", over).withColumn("kind", F.when(over, "unparsed").otherwise(F.col("kind"))).withColumn("_joined", F.col("_over") | (F.col("kind") != "unparsed"))
     starts = rows.where("kind = 'start'").select("file", "record", "n", "start.stamp", "start.style", sender.alias("sender"))
     piece = F.struct("n", F.when(F.col("kind") == "start", body).otherwise(F.col("line")).alias("piece"), "raw", (F.col("kind") != "unparsed").alias("own"))
     bodies = rows.where("record > 0 and _joined").groupBy("file", "record").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("_over").alias("_over"))
