@@ -106,9 +106,9 @@ def train(texts: list[bytes], labels: list[int], prior: float, bits: int = BITS,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of labelled documents that may be learned from."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id")
+    """(doc_id, label) of labelled documents that may be learned from. No text is moved for it."""
+    known = labels.where(F.col(label).isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, **options) -> Model:
@@ -119,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         return train([], [], 0.5)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")])
-    rows = sorted((r.doc_id, r.label, bytes(r.text or b"")) for r in picked.select("doc_id", "label", F.encode("text", "UTF-8").alias("text")).collect())
+    # Ids of a sample of fixed size: texts stay where they are until the sample's own are fetched.
+    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.encode("text", "UTF-8").alias("text"))
+    rows = sorted((r.doc_id, r.label, bytes(r.text or b"")) for r in found.collect())
     return train([t for _, _, t in rows], [k for _, k, _ in rows], counts.get(1, 0) / sum(counts.values()), **options)
 
 
