@@ -18,6 +18,8 @@ from tidewater.llm.common import WordRows, held_out, map_rows, subword_buckets,
 BITS, SIZES = 15, (1, 2, 3)
 #: Documents of each language that the model is fitted on, about, and as many again by a quarter that calibrate it.
 SAMPLE = 1500
+#: Languages that one model may have; its weights grow with them.
+MOST_LANGUAGES = 500
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -174,9 +176,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
     known = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull())
     counts, total = document_frequencies(known, bits)
     inverse = np.log((1 + total) / (1 + counts)) + 1
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000 * F.col("size") / sample
-    picked = known.join(sizes, "lang").withColumn("at", at).where("at < 1.25")
+    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["count"])]) if sizes else F.create_map().cast("map<string,long>")
+    at = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000 * size[F.col("lang")] / sample
+    picked = known.withColumn("at", at).where("at < 1.25")
     rows = sorted((r.doc_id or 0, r.lang, bytes(r.text or b""), r["at"] < 1) for r in picked.select("doc_id", "lang", F.encode("text", "UTF-8").alias("text"), "at").collect())
     model = train([t for _, _, t, a in rows if a], [k for _, k, _, a in rows if a], inverse, bits)
     rest = [r for r in rows if not r[3]] or rows
