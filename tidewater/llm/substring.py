@@ -232,7 +232,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
 
     # Windows of crowded minimisers: grouped by their words, spread over all tasks; the earliest place stays.
     marked = crowd.select("m", "c", "doc_id", "tag", "start", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"))
-    least = marked.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
+    least = written(marked.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1"), "windows")
     by_content = marked.join(least, ["h", "g"]).where(place > F.col("first")).select("doc_id", "tag", "start", F.lit(window).alias("words"))
 
     # Copies of a fragment but the first go whole; of the first, the windows that an earlier fragment holds.
