@@ -151,22 +151,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     spans = spark.createDataFrame(rows, "_source string, mix_phase int, _from long, _to long, _part long, _slot0 long")
     pattern = spark.createDataFrame(places, "_source string, mix_phase int, _k long, _at long")
 
-    # Blocks are few beside documents: place those, then join.
-    numbers = spark.createDataFrame([(s, -(-n // block)) for s, n in sizes.items()], "_source string, _blocks long")
-    blocks = numbers.select("_source", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("mix_block"))
-    at = blocks.join(F.broadcast(spans), ["_source"]).where("mix_block >= _from and mix_block < _to")
+    # Both tables are bounded by sources and phases, never by documents: each row finds its slot without another shuffle.
+    dealt = numbered(docs).withColumn("mix_block", F.expr(f"_place div {block}"))
+    inside = (F.col("mix_block") >= F.col("_from")) & (F.col("mix_block") < F.col("_to"))
+    at = dealt.join(F.broadcast(spans.withColumnRenamed("_source", "_s")), (F.col("_source") == F.col("_s")) & inside).drop("_s")
     at = at.withColumn("_j", F.col("mix_block") - F.col("_from")).withColumn("_k", F.col("_j") % F.col("_part"))
     at = at.join(F.broadcast(pattern), ["_source", "mix_phase", "_k"])
-    whole = F.expr(f"_j div _part * {units}")
-    release_, due = F.expr(f"_k * {units} div _part"), F.expr(f"((_k + 1) * {units} + _part - 1) div _part")
-    placed = at.select(
-        "_source",
-        "mix_block",
-        (F.col("_slot0") + whole + F.col("_at")).alias("mix_slot"),
-        (F.col("_slot0") + whole + release_).alias("mix_release"),
-        (F.col("_slot0") + whole + due).alias("mix_deadline"),
-        "mix_phase",
-    )
-    dealt = numbered(docs).withColumn("mix_block", F.expr(f"_place div {block}"))
-    out = dealt.join(placed, ["_source", "mix_block"]).withColumn("mix_position", F.expr(f"mix_slot * {block} + _place % {block}"))
+    start = F.col("_slot0") + F.expr(f"_j div _part * {units}")
+    out = at.withColumns(
+        {
+            "mix_slot": start + F.col("_at"),
+            "mix_release": start + F.expr(f"_k * {units} div _part"),
+            "mix_deadline": start + F.expr(f"((_k + 1) * {units} + _part - 1) div _part"),
+        }
+    ).withColumn("mix_position", F.expr(f"mix_slot * {block} + _place % {block}"))
     return out.select(*[c for c in docs.columns if c != "_source"], *added)
