@@ -23,8 +23,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 19
 #: Bytes of benchmark text that one reading of the corpus is compared with.
 PORTION = 4 << 20
-#: Windows taken at once.
-CHUNK = 4096
+#: Windows taken at once, and places in a text whose bits are summed at once.
+CHUNK, STRETCH = 4096, 1 << 15
 
 
 def shingle_hashes(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -132,34 +132,44 @@ class Benchmark:
         full = shingle_hashes(hashes, self.k)
         weights, have = self.weigh(full)
         seeds = np.flatnonzero(have)
-        cumulated = None
         for length in self.by_length:
-            if length > len(words):
-                continue
-            if length < self.k:
+            if length < self.k and length <= len(words):
                 # Items shorter than a shingle: windows are single shingles of their length.
                 self._short(hashes, length, best)
+        starts = {n: self.starts(seeds, len(words), n) for n in self.by_length if n >= self.k} if len(seeds) else {}
+        longest = min(max(starts, default=0), len(words))
+        # A stretch at a time, so that sums take bounded memory in texts of any length.
+        for begin in range(0, len(full), STRETCH) if starts else ():
+            here = {n: x[np.searchsorted(x, begin) : np.searchsorted(x, begin + STRETCH)] for n, x in starts.items()}
+            if not any(map(len, here.values())):
                 continue
-            if not len(seeds):
-                continue
-            if cumulated is None:
-                signs = sign_bits(full) * weights[:, None]
-                cumulated = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs, axis=0, dtype=np.float64)])
-            inside = length - self.k + 1  # shingles of a window
-            change = np.zeros(len(full) + 1, np.int64)
-            np.add.at(change, np.maximum(seeds - inside + 1, 0), 1)
-            np.add.at(change, seeds + 1, -1)
-            starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-            starts = starts[starts <= len(words) - length]
-            for at in range(0, len(starts), CHUNK):
-                part = starts[at : at + CHUNK]
-                prints = packed(cumulated[part + inside] - cumulated[part])
-                for w, item in zip(*(x.tolist() for x in self.probe(prints, length)), strict=True):
-                    start = int(part[w])
-                    value = self.similar(Counter(full[start : start + inside].tolist()), item)
-                    if value >= self.similarity and (item not in best or value > best[item][0]):
-                        best[item] = (value, start)
-        return [(self.ids[j], start, int(self.lengths[j]), value) for j, (value, start) in sorted(best.items())]
+            part = slice(begin, begin + STRETCH + longest - self.k + 1)
+            signs = sign_bits(full[part]) * weights[part, None]
+            cumulated = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs, axis=0, dtype=np.float64)])
+            for length, places in here.items():
+                self._verify(full, places, begin, cumulated, length, best)
+        return [(self.ids[j], start, min(int(self.lengths[j]), len(words)), value) for j, (value, start) in sorted(best.items())]
+
+    def starts(self, seeds: np.ndarray, words: int, length: int) -> np.ndarray:
+        """First words of the windows of ``length`` words that hold a shingle of some item, in order; a shorter text is one window."""
+        length = min(length, words)
+        inside = length - self.k + 1  # shingles of a window
+        change = np.zeros(words + 2, np.int64)
+        np.add.at(change, np.maximum(seeds - inside + 1, 0), 1)
+        np.add.at(change, seeds + 1, -1)
+        return np.flatnonzero(np.cumsum(change[: words - length + 1]) > 0)
+
+    def _verify(self, full: np.ndarray, starts: np.ndarray, begin: int, cumulated: np.ndarray, length: int, best: dict[int, tuple[float, int]]) -> None:
+        """Looks windows up and keeps the best of each item; ``cumulated`` sums the signs from ``begin`` on."""
+        inside = min(length - self.k + 1, len(full))
+        for at in range(0, len(starts), CHUNK):
+            part = starts[at : at + CHUNK]
+            prints = packed(cumulated[part - begin + inside] - cumulated[part - begin])
+            for w, item in zip(*(x.tolist() for x in self.probe(prints, length)), strict=True):
+                start = int(part[w])
+                value = self.similar(Counter(full[start : start + inside].tolist()), item)
+                if value >= self.similarity and (item not in best or value > best[item][0]):
+                    best[item] = (value, start)
 
     def _short(self, hashes: np.ndarray, length: int, best: dict[int, tuple[float, int]]) -> None:
         runs = gram_hashes(hashes, length)
@@ -189,7 +199,7 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): a row for each document and benchmark item found in it.
 
-    The span is the window of the item's length that is most like it, the first of equal ones. Words are lower-cased A-Z and
+    The span is the window of the item's length (the whole text, if that is shorter) that is most like it, the first of equal ones. Words are lower-cased A-Z and
     split at ASCII white space. Items without words are never found; those of fewer words than a shingle are found
     whole only. Null and empty texts have no rows; rows with a null doc_id are reported under null. Of repeated rows each
     is reported. Clean documents have no rows.
