@@ -114,8 +114,8 @@ def cutoffs(holdout: DataFrame, stratum: str, risk: float = RISK, error: float =
             for i, c in enumerate(values)
         ]
     )
-    strata = sums.agg(F.count("*").alias("strata"))
-    each = sums.select("stratum", "n", F.explode(tries).alias("t")).select("stratum", "n", "t.*").crossJoin(F.broadcast(strata))
+    strata = sums.agg(F.count("*")).scalar()
+    each = sums.select("stratum", "n", F.explode(tries).alias("t")).select("stratum", "n", "t.*", strata.alias("strata"))
     each = each.withColumn("p_value", tail(F.col("n"), F.col("rejected").cast("long"), F.lit(risk / rules)))
     each = each.withColumn("fails", F.col("p_value") > F.lit(error) / (F.col("strata") * rules))
     stop = each.groupBy(F.col("stratum").alias("_s"), F.col("rule").alias("_r")).agg(F.min(F.when(F.col("fails"), F.col("i"))).alias("stop"))
