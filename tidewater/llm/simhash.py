@@ -147,6 +147,8 @@ def links(distinct: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataF
     share one are within twice half the radius; an odd radius verifies that.
     """
     total = distinct.count()
+    if total < 2:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     sample = np.array([r.fp for r in rows], np.int64).view(np.uint64)
     chosen = plan(sample, radius, total)
