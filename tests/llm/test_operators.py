@@ -222,6 +222,8 @@ def test_every_prefix_has_its_shares(spark):
         seen[slots[slot]] += 1
         assert all(abs(seen[s] - parts[s] / mixing.UNITS * (slot + 1)) < 1 for s in parts)
     assert mixing.mix(docs.where("false")).count() == 0
+    # Slots, releases and deadlines of a block are those of its number in its phase.
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
 
 
 # SimHash
@@ -273,6 +275,11 @@ def test_links_join_what_all_pairs_would(spark, radius, crowded):
     assert {frozenset(g) for g in groups.values()} | {frozenset([p]) for p in alone} == brute_components(prints, radius)
 
 
+def test_no_and_one_fingerprint(spark):
+    one = spark.createDataFrame([(5,)], "fp long")
+    assert simhash.links(one).count() == 0 == simhash.links(one.where("false")).count()
+
+
 def test_simhash_on_odd_rows(spark, odd, none):
     found = simhash.near_duplicates(odd)
     assert found.count() == odd.count() and simhash.near_duplicates(none).count() == 0
@@ -302,6 +309,22 @@ def test_leaks_are_found_and_clean_documents_left(spark, none):
     assert decontaminate.contaminated(docs, benchmark, portion=200).count() == 4
 
 
+def test_leaks_in_long_and_short_texts(monkeypatch):
+    r = random.Random(6)
+    items = [[f"v{r.randint(0, 5000)}" for _ in range(n)] for n in (20, 40, 60)]
+    index = decontaminate.Benchmark([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    filler = lambda n: [f"u{r.randint(0, 5000)}" for _ in range(n)]
+    text = " ".join(filler(90) + items[2] + filler(500) + items[0] + filler(70) + items[1] + filler(9)).encode()
+    whole = index.matches(text)
+    assert [(m[0], m[1], m[2]) for m in whole] == [(0, 650, 20), (1, 740, 40), (2, 90, 60)]
+    for stretch in (1, 7, 64, 100):
+        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+        assert [m[:3] for m in index.matches(text)] == [m[:3] for m in whole]
+    # A text shorter than the item is one window.
+    assert [m[:3] for m in index.matches(" ".join(items[2][3:]).encode())] == [(2, 0, 57)]
+    assert index.matches(" ".join(items[2][:20]).encode()) == [] == index.matches(b"one two") == index.matches(b"")
+
+
 # Pipeline
 
 
