@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontaminate, linededup, mixing, simhash, subwords
+from tidewater.llm import decontaminate, linededup, mixing, nearcopies, subwords
 from tidewater.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of smallest doc_id."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates, by five-word shingles or fingerprints: that of smallest doc_id."""
+    return nearcopies.one_of_each(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

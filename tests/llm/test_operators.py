@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF, same_rows
-from tidewater.llm import chat, decontaminate, fmindex, html, language, linededup, mixing, queries, rules, simhash, substring, subwords
+from tidewater.llm import chat, decontaminate, fmindex, html, language, linededup, mixing, nearcopies, queries, rules, simhash, substring, subwords
 from tidewater.llm.common import components, held_out, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -289,6 +289,66 @@ def test_simhash_on_odd_rows(spark, odd, none):
     assert 4 not in kept and kept.count(3) == 1 and 8 in kept
 
 
+# Near copies in the pipeline
+
+
+def brute_near_copies(rows):
+    """Texts by (doc_id, text) that have one of smaller doc_id in their group, groups by five-word Jaccard or fingerprints, of all pairs."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    prints = [brute_print(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    n_near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            n_near += near and rows[i][1] != rows[j][1]
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
+                top[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[find(i)].append(row)
+    return sorted(set(rows) - {min(g) for g in groups.values()}), n_near
+
+
+@pytest.mark.parametrize("crowded", [128, 3])
+def test_near_copies_are_those_of_all_pairs(spark, crowded):
+    r = random.Random(8)
+    texts = []
+    for _ in range(8):
+        base = [r.choice(WORDS) for _ in range(r.randint(20, 150))]
+        texts.append(base)
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 30))):
+                copy[r.randrange(len(copy))] = "new"
+            texts.append(copy)
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    # A text of its own and a near copy that share a doc_id: only the copy goes.
+    rows += [(0, " ".join(r.choice(WORDS) for _ in range(60))), (3, " ".join([*texts[0], "tail"]))]
+    gone, n_near = brute_near_copies(rows)
+    kept = {(x.doc_id, x.text) for x in nearcopies.one_of_each(documents(spark, rows), crowded).collect()}
+    assert n_near > 50 and sorted(set(rows) - kept) == gone
+
+
+def test_pipeline_drops_near_copies(spark, odd, none):
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(100)]
+    copy = [*base[:50], "x", "y", *base[52:]]
+    docs = documents(spark, [" ".join(base), " ".join(copy), " ".join(reversed(base))])
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+    kept = [x.doc_id for x in corpus_pipeline.near_dedup(spark, odd, SF).collect()]
+    assert 4 not in kept and kept.count(3) == 1 and 8 in kept and kept.count(None) == 2
+    assert corpus_pipeline.near_dedup(spark, none, SF).count() == 0
+
+
 # Decontamination
 
 
