@@ -226,6 +226,33 @@ def test_every_prefix_has_its_shares(spark):
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
 
 
+@pytest.mark.parametrize("n_sources, blocks", [(10, 4000), (100, 4000), (400, 6000)])
+def test_shares_are_those_of_the_weights_given(n_sources, blocks):
+    from fractions import Fraction
+
+    weights = {"hot": 0.5} | {f"s{i}": 0.5 / (n_sources - 1) for i in range(n_sources - 1)}
+    total = sum(Fraction(w) for w in weights.values())
+    shares = {s: Fraction(w) / total for s, w in weights.items()}
+    seen, blocks_seen, last = Counter(), set(), -1
+    for s, k, phase, slot, release, deadline in mixing.schedule([(s, int(blocks * 0.5) if s == "hot" else blocks, w) for s, w in weights.items()]):
+        assert slot == last + 1 and release <= slot < deadline and (s, k) not in blocks_seen
+        last = slot
+        blocks_seen.add((s, k))
+        if phase:
+            break
+        seen[s] += 1
+        for x in ("hot", s, "s0", "s8"):
+            assert abs(seen[x] - shares[x] * (slot + 1)) < 1
+    assert seen["hot"] == blocks * 0.5
+
+
+def test_every_source_runs_out():
+    given = [("a", 5, 3.0), ("b", 1, 0.1), ("c", 4, 0.0), ("d", 2, 0.0), ("e", 0, 1.0)]
+    found = list(mixing.schedule(given))
+    assert Counter(x[0] for x in found) == {"a": 5, "b": 1, "c": 4, "d": 2} and [x[3] for x in found] == list(range(12))
+    assert {x[0] for x in found[6:]} == {"c", "d"} and list(mixing.schedule([])) == []
+
+
 # SimHash
 
 

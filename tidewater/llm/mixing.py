@@ -2,20 +2,23 @@
 
 A source of weight w releases its k-th block at slot floor(k / w) and wants it by ceil((k + 1) / w). Of the blocks that are
 released, the one with the earliest deadline goes first; then, at every slot, each source has had its share to within one
-block. With weights in whole parts of ``UNITS`` that order repeats every ``UNITS`` slots, so one bounded table of a period
-places every block of the corpus, by a join. When a source runs out, the others go on by their weights among themselves.
+block. Weights are taken as the exact ratios that their floats are, so the bound holds against the weights given. When a
+source runs out, the others go on by their weights among themselves.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slots in a period, and parts that a weight is made of.
+from tidewater.llm.common import written
+
+#: Whole parts that weights are shown in.
 UNITS = 1000
 #: Documents in a block.
 BLOCK = 64
@@ -25,16 +28,6 @@ MOST_SOURCES = 500
 BUCKET, MOST_BUCKETS = 1024, 65_536
 
 
-@dataclass(frozen=True)
-class Phase:
-    """While the sources of ``parts`` last: ``slots`` slots from ``first_slot``, and each source's blocks from ``first_block``."""
-
-    first_slot: int
-    slots: int
-    parts: dict[str, int]
-    first_block: dict[str, int]
-
-
 def whole_parts(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
     """Weights as whole parts of ``units``, one at least each; the largest remainders are rounded up, ties by name."""
     total = sum(weights.values())
@@ -54,51 +47,77 @@ def deadline(k: int, part: int, units: int) -> int:
     return -(-(k + 1) * units // part)
 
 
-def period(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks, ties by name."""
-    units = sum(parts.values())
-    waiting = [(0, s, 0) for s in sorted(parts)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    order = []
-    for slot in range(units):
-        while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(k, parts[s], units), s, k))
-        due, s, k = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
-        order.append(s)
-        if k + 1 < parts[s]:
-            heapq.heappush(waiting, (release(k + 1, parts[s], units), s, k + 1))
-    return order
-
-
-def slots_of(order: list[str]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
-    for slot, s in enumerate(order):
-        out.setdefault(s, []).append(slot)
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], units: int = UNITS) -> list[tuple[Phase, dict[str, list[int]]]]:
-    """The phases until all blocks have gone, each with its period's slots by source."""
-    left, used, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        parts = whole_parts({s: weights[s] for s in left}, units)
-        slots = slots_of(period(parts))
-        ends = {s: (n - 1) // parts[s] * units + slots[s][(n - 1) % parts[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        out.append((Phase(at, length, parts, {s: used[s] for s in left}), slots))
-        rounds, rest = divmod(length, units)
-        for s in list(left):
-            gone = rounds * parts[s] + sum(1 for x in slots[s] if x < rest)
-            used[s] += gone
-            left[s] -= gone
-            if not left[s]:
-                del left[s]
-        at += length
-    return out
+def exact(weights: list[float]) -> list[int]:
+    """Weights as integers in exactly their ratios."""
+    if any(not 0 <= w < float("inf") for w in weights):
+        raise ValueError("a weight is negative or not a number")
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    most = max((d for _, d in ratios), default=1)  # powers of two
+    return [n * (most // d) for n, d in ratios]
+
+
+def schedule(sources: list[tuple[str, int, float]]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) of all blocks of ``sources`` (name, blocks, weight), in order of slots.
+
+    Of released blocks the earliest deadline goes first; ties by weight, then name. A phase ends when a source runs out.
+    Sources of no weight go when the others have run out, by equal weights. Memory grows with sources only, time with blocks.
+    """
+    whole = exact([w for *_, w in sources])
+    some = [(s, n, w) for (s, n, _), w in zip(sources, whole, strict=True) if n and w]
+    phase = at = 0
+    for group in (some, [(s, n, 1) for (s, n, _), w in zip(sources, whole, strict=True) if n and not w]):
+        group = sorted(group, key=lambda x: (-x[2], x[0]))
+        left, used = [n for _, n, _ in group], [0] * len(group)
+        total = sum(w for *_, w in group)
+        # Sources in a ring with a gate at the end; those that have had nothing in a phase stand in order of their deadlines.
+        gate = len(group)
+        after, before = [*range(1, gate + 1), 0], [gate, *range(gate)]
+        while after[gate] != gate:
+            waiting: list[tuple[int, int, int]] = []  # (release, source, block of the phase)
+            ready: list[tuple[int, int, int, int]] = []  # (deadline, source, block of the phase, release)
+            fresh, slot = after[gate], 0
+            while True:
+                while waiting and waiting[0][0] <= slot:
+                    freed, i, k = heapq.heappop(waiting)
+                    heapq.heappush(ready, (deadline(k, group[i][2], total), i, k, freed))
+                first = (deadline(0, group[fresh][2], total), fresh, 0, 0) if fresh != gate else None
+                if first is not None and (not ready or first < ready[0]):
+                    due, i, k, freed = first
+                    fresh = after[fresh]
+                else:
+                    due, i, k, freed = heapq.heappop(ready)
+                if due <= slot:
+                    raise AssertionError("a deadline was missed")
+                yield group[i][0], used[i], phase, at + slot, at + freed, at + due
+                used[i] += 1
+                slot += 1
+                if used[i] == left[i]:
+                    break
+                heapq.heappush(waiting, (release(k + 1, group[i][2], total), i, k + 1))
+            after[before[i]], before[after[i]] = after[i], before[i]
+            total -= group[i][2]
+            at, phase = at + slot, phase + 1
+
+
+BLOCKS = "_source string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long"
+
+
+def planned(sources: DataFrame, rows: int = 16_384) -> DataFrame:
+    """The schedule of ``sources`` (_source, _blocks, _weight), a row for each block: worked out in one task and given out as it goes."""
+    schema = pa.schema([("_source", pa.string()), ("mix_block", pa.int64()), ("mix_phase", pa.int32()), *[(c, pa.int64()) for c in ("mix_slot", "mix_release", "mix_deadline")]])
+
+    def run(batches):
+        given = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        part = []
+        for block in schedule(given):
+            part.append(block)
+            if len(part) == rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+                part = []
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+    return sources.select("_source", "_blocks", "_weight").repartition(1).mapInArrow(run, BLOCKS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -118,7 +137,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return ranked.join(firsts, ["_source", "_bucket"]).withColumn("_place", F.col("_first") + F.col("_rank")).drop("_bucket", "_first", "_rank", "_hash")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, units: int = UNITS, source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
     """``docs`` with its place in the mixture: all rows, none twice.
 
     Adds ``mix_block`` (the block's number in its source), ``mix_slot`` (the slot of that block), ``mix_release`` and
@@ -133,36 +152,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     """
     added = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position")
     docs = docs.drop(*added).withColumn("_source", F.coalesce(F.col(source), F.lit("")))
-    counts = docs.groupBy("_source").count().limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
+    counts = docs.groupBy("_source").agg(F.count("*").alias("_n"))
+    if counts.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources: group small ones first")
-    sizes = {r["_source"]: r["count"] for r in counts}
-    weigh = {s: n**0.5 for s, n in sizes.items()} if weights is None else {s: weights.get(s, min(weights.values())) for s in sizes}
-    planned = phases({s: -(-n // block) for s, n in sizes.items()}, weigh, units)
-    spark = docs.sparkSession
-    rows, places = [], []
-    for i, (phase, slots) in enumerate(planned):
-        for s, first in phase.first_block.items():
-            part = phase.parts[s]
-            rounds, rest = divmod(phase.slots, units)
-            last = first + rounds * part + sum(1 for x in slots[s] if x < rest)
-            rows.append((s, i, first, last, part, phase.first_slot))
-            places += [(s, i, k, slot) for k, slot in enumerate(slots[s])]
-    spans = spark.createDataFrame(rows, "_source string, mix_phase int, _from long, _to long, _part long, _slot0 long")
-    pattern = spark.createDataFrame(places, "_source string, mix_phase int, _k long, _at long")
-
-    # Both tables are bounded by sources and phases, never by documents: each row finds its slot without another shuffle.
+    weight = F.sqrt("_n")
+    if weights is not None:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _given double")
+        counts, weight = counts.join(F.broadcast(given), "_source", "left"), F.coalesce("_given", F.lit(float(min(weights.values()))))
+    blocks = written(planned(counts.select("_source", F.expr(f"(_n + {block - 1}) div {block}").alias("_blocks"), weight.alias("_weight"))), "mix-blocks")
+    # A row for each block, and a source's blocks lie apart: a hot source is many keys of a block each.
     dealt = numbered(docs).withColumn("mix_block", F.expr(f"_place div {block}"))
-    inside = (F.col("mix_block") >= F.col("_from")) & (F.col("mix_block") < F.col("_to"))
-    at = dealt.join(F.broadcast(spans.withColumnRenamed("_source", "_s")), (F.col("_source") == F.col("_s")) & inside).drop("_s")
-    at = at.withColumn("_j", F.col("mix_block") - F.col("_from")).withColumn("_k", F.col("_j") % F.col("_part"))
-    at = at.join(F.broadcast(pattern), ["_source", "mix_phase", "_k"])
-    start = F.col("_slot0") + F.expr(f"_j div _part * {units}")
-    out = at.withColumns(
-        {
-            "mix_slot": start + F.col("_at"),
-            "mix_release": start + F.expr(f"_k * {units} div _part"),
-            "mix_deadline": start + F.expr(f"((_k + 1) * {units} + _part - 1) div _part"),
-        }
-    ).withColumn("mix_position", F.expr(f"mix_slot * {block} + _place % {block}"))
+    out = dealt.join(blocks, ["_source", "mix_block"]).withColumn("mix_position", F.expr(f"mix_slot * {block} + _place % {block}"))
     return out.select(*[c for c in docs.columns if c != "_source"], *added)
