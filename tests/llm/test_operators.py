@@ -246,6 +246,13 @@ def test_shares_are_those_of_the_weights_given(n_sources, blocks):
     assert seen["hot"] == blocks * 0.5
 
 
+def test_more_sources_than_a_driver_would_list(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("site"), F.col("id") % 1500)).alias("source"))
+    out = mixing.mix(docs, block=4).collect()
+    assert sorted(r.doc_id for r in out) == list(range(9000)) and len({r.mix_position for r in out}) == 9000
+    assert {r.mix_slot for r in out} == set(range(750 + 1500)) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+
+
 def test_every_source_runs_out():
     given = [("a", 5, 3.0), ("b", 1, 0.1), ("c", 4, 0.0), ("d", 2, 0.0), ("e", 0, 1.0)]
     found = list(mixing.schedule(given))

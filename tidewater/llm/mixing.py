@@ -22,9 +22,7 @@ from tidewater.llm.common import written
 UNITS = 1000
 #: Documents in a block.
 BLOCK = 64
-#: Sources that one plan may have; its tables grow with it.
-MOST_SOURCES = 500
-#: Documents in a bucket within which places are counted, about, and buckets of a source at most.
+#: Documents in a bucket within which places are counted, at most about, and buckets of a source at most.
 BUCKET, MOST_BUCKETS = 1024, 65_536
 
 
@@ -123,12 +121,12 @@ def planned(sources: DataFrame, rows: int = 16_384) -> DataFrame:
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_place``: a number from 0 on within each source, in an order that hashes decide.
 
-    A source is dealt into buckets by hash; places are counted within buckets, and a bucket's first place is the count of
-    those before it. No source is ever in one task; only the table of buckets' counts is, and it is bounded.
+    A source is dealt into buckets by hash, as many as the whole table would need; places are counted within buckets, and a
+    bucket's first place is the count of those before it. No source is ever in one task; only the counts of its buckets are, and they are bounded.
     """
-    sizes = docs.groupBy("_source").agg(F.count("*").alias("_n")).select("_source", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("_n") / BUCKET)).cast("int").alias("_buckets"))
-    dealt = docs.join(F.broadcast(sizes), "_source").withColumn("_hash", F.xxhash64("doc_id"))
-    dealt = dealt.withColumn("_bucket", F.pmod("_hash", F.col("_buckets")).cast("int")).drop("_buckets")
+    buckets = min(MOST_BUCKETS, -(-docs.count() // BUCKET)) or 1
+    dealt = docs.withColumn("_hash", F.xxhash64("doc_id"))
+    dealt = dealt.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -148,13 +146,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     ``weights`` are the target weights by source; sources without one weigh as the least of those given. Without
     ``weights``, a source weighs the square root of its count of documents. A null source is a source of its own, by the name "".
     Rows with a null doc_id, and repeated ones, are placed like any other. Columns with the added names are replaced.
-    An empty table gives an empty result. More than ``MOST_SOURCES`` sources are refused.
+    An empty table gives an empty result. Any number of sources will do; the table of sources never reaches the driver.
     """
     added = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position")
     docs = docs.drop(*added).withColumn("_source", F.coalesce(F.col(source), F.lit("")))
     counts = docs.groupBy("_source").agg(F.count("*").alias("_n"))
-    if counts.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: group small ones first")
     weight = F.sqrt("_n")
     if weights is not None:
         given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _given double")
