@@ -1,4 +1,6 @@
-"""Line deduplication by winnowing: window minima of line hashes are the fingerprints; runs that repeat go, but for the first.
+"""Line deduplication by windows of line hashes, every one of which is compared; runs that repeat go, but for the first.
+
+A single line that repeats between lines that differ stays.
 
 DataFrame functions only.
 """
