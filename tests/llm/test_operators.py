@@ -74,14 +74,57 @@ def test_rules_on_odd_rows(spark, odd, none):
 # Line dedup
 
 
+def brute_lines(rows, characters=linededup.CHARACTERS, most=linededup.LINES):
+    """Texts without the lines of any run, of whatever length, that counts and stands earlier too."""
+    lines = {d: [(i, x.strip(" \t\r\f\x0b")) for i, x in enumerate(t.split("\n"))] for d, t in rows}
+    lines = {d: [(i, x) for i, x in found if x] for d, found in lines.items()}
+    seen, gone = set(), defaultdict(set)
+    for d, found in sorted(lines.items()):
+        for a in range(len(found)):
+            for b in range(a + 1, len(found) + 1):
+                run = tuple(x for _, x in found[a:b])
+                if len(run) < most and sum(map(len, run)) < characters:
+                    continue
+                if run in seen:
+                    gone[d] |= {i for i, _ in found[a:b]}
+                seen.add(run)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
 def test_line_runs(spark, odd, none):
-    texts = ["a\nb\nc", "x\na\nb\ny", "b\na", "q\nq\nq", None, "", "a\nb"]
+    long = "a line that is long enough by itself"
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = ["a\nb\nc", "x\na\n\nb\n c \ny", "b\na", long, f"q\n{long} \nz", f"q\n{long}\nq", None, "", "a\nb\nc", passage, f"{long[:9]}\n{passage}\nend"]
     found = {r.doc_id: (r.text, r.n_removed) for r in linededup.without_repeated_lines(documents(spark, texts)).collect()}
-    assert found == {0: ("a\nb\nc", 0), 1: ("x\ny", 2), 2: ("b\na", 0), 3: ("q", 2), 4: (None, 0), 5: ("", 0), 6: ("", 2)}
+    want = ["a\nb\nc", "x\n\ny", "b\na", long, "q\nz", "q", None, "", "", passage, f"{long[:9]}\nend"]
+    assert {k: v[0] for k, v in found.items()} == dict(enumerate(want)) and [found[i][1] for i in range(11)] == [0, 3, 0, 0, 1, 2, 0, 0, 3, 0, 1]
     out = linededup.without_repeated_lines(odd)
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns) | {"n_removed"}
     assert linededup.without_repeated_lines(none).count() == 0
-    assert linededup.without_repeated_lines(documents(spark, ["a\nb", "a\nb"]), drop_emptied=True).count() == 1
+    assert linededup.without_repeated_lines(documents(spark, [long, long]), drop_emptied=True).count() == 1
+
+
+@pytest.mark.parametrize("characters, most", [(24, 3), (6, 4), (1, 1), (40, 2)])
+def test_lines_against_brute_force(spark, characters, most):
+    """Runs of every length, whose fingerprints lie at either end and inside, with short, long, blank and frequent lines."""
+    r = random.Random(7)
+    short, long = [f"s{i}" for i in range(12)], [f"this is long line number {i} of a few" for i in range(12)]
+    passages = [[r.choice(short + long) for _ in range(r.randint(1, 7))] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        lines = [r.choice([*short, f"own line {i} {r.random()}", "", "  ", "menu"]) for _ in range(r.randint(0, 6))]
+        for p in r.sample(passages, r.randint(0, 3)):
+            at = r.randint(0, len(lines))
+            lines[at:at] = p
+        rows.append((i, "\n".join(lines)))
+    found = linededup.without_repeated_lines(documents(spark, rows), characters, most)
+    assert {x.doc_id: x.text for x in found.collect()} == brute_lines(rows, characters, most)
+
+
+def test_few_lines_are_selected_where_windows_are_long(spark):
+    """Winnowing's point: windows of many short lines share their smallest."""
+    docs = documents(spark, ["\n".join(f"{i:02d}" for i in range(60))])
+    assert linededup.fingerprints(docs, 10**6, 8).select("at").distinct().count() < 30
 
 
 # Chat

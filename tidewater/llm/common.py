@@ -27,17 +27,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the cluster names none (a single machine, as in tests) is a temporary folder set.
+    Where none is named, one is made only if everything runs on one machine; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext.getCheckpointDir()
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if current is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -151,16 +153,19 @@ def gram_hashes(h: np.ndarray, k: int, multiplier: int = MULTIPLIER) -> np.ndarr
 
 
 def subword_buckets(words: list[bytes], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the byte n-grams of ``<word>``, and how many each word has (one at least: the whole word).
+    """Hash buckets of the character n-grams (of code points) of ``<word>``, and how many each word has (one at least: the whole word).
 
     Grams of one word lie together. Words count whole as well, under a hash of their own.
     """
     marked = [b"<" + w + b">" for w in words]
-    length = np.fromiter(map(len, marked), np.int64, len(marked))
-    raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)
-    start = np.concatenate([[0], np.cumsum(length)[:-1]])
+    joined = b"".join(marked)
+    begins = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80  # the bytes that begin a character
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    length = np.add.reduceat(begins, np.cumsum(size) - size, dtype=np.int64) if words else size
+    raw = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(length)
     owner = np.repeat(np.arange(len(words)), length)
-    left = np.repeat(start + length, length) - np.arange(len(raw))  # bytes from here to the word's end
+    left = np.repeat(ends, length) - np.arange(len(raw))  # characters from here to the word's end
     whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in marked), np.uint64, len(marked))
     buckets, owners = [whole], [np.arange(len(words))]
     for k in sizes:
@@ -179,6 +184,18 @@ def subword_buckets(words: list[bytes], sizes: tuple[int, ...], bits: int) -> tu
     return (bucket[order] & np.uint64((1 << bits) - 1)).astype(np.int64), np.bincount(who, minlength=len(words))
 
 
+def learned(rows: DataFrame, learn: Callable[[Iterator[pa.RecordBatch]], bytes], order: list[str]) -> bytes:
+    """What ``learn`` makes of ``rows``, sorted by ``order``, in one task on an executor: only the model comes to the driver.
+
+    ``rows`` is a sample whose size its caller bounds. A task that is lost is run again and learns the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"model": pa.array([learn(batches)], pa.binary())})
+
+    return bytes(rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()[0])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, component), where component is the smallest node.
 

@@ -6,6 +6,7 @@ temperature on rows that training didn't see. Inverse document frequencies are c
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -13,13 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordRows, held_out, map_rows, subword_buckets, texts_of
+from tidewater.llm.common import WordRows, held_out, learned, map_rows, subword_buckets, texts_of
 
 BITS, SIZES = 15, (1, 2, 3)
-#: Documents of each language that the model is fitted on, about, and as many again by a quarter that calibrate it.
-SAMPLE = 1500
-#: Languages that one model may have; its weights grow with them.
-MOST_LANGUAGES = 500
+#: Documents of each language that the model is fitted on, about, and as many again by a quarter that calibrate it;
+#: and documents and bytes of all languages together, which the languages share evenly.
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 1500, 24_000, 24 << 20
+#: Weights of a model at most: the more languages, the fewer buckets of n-grams, 256 at least. And languages that one model tells apart, the
+#: largest ones, more than there are codes of languages.
+WEIGHTS, MOST_LANGUAGES = 1 << 23, 8192
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -28,7 +31,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def has_letter(text: bytes) -> bool:
-    return LETTER.search(text.decode("utf-8", "replace")) is not None
+    """Whether any character is of a letter's category (numbers such as one half are not)."""
+    return any(found.group().isalpha() for found in LETTER.finditer(text.decode("utf-8", "replace")))
 
 
 def document_frequencies(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, int]:
@@ -130,16 +134,17 @@ class Leader:
         self.n[rows] = grown
 
 
-def train(texts: list[bytes], labels: list[str], inverse: np.ndarray, bits: int = BITS, epochs: int = 4, alpha: float = 20.0, beta: float = 1.0, absolute: float = 0.02, squared: float = 0.001, seed: int = 7) -> Model:
-    languages = sorted(set(labels))
+def train(rows: list[tuple[bytes, str]], inverse: np.ndarray, bits: int = BITS, epochs: int = 4, alpha: float = 20.0, beta: float = 1.0, absolute: float = 0.02, squared: float = 0.001, seed: int = 7) -> Model:
+    languages = sorted({k for _, k in rows})
     index = {k: i for i, k in enumerate(languages)}
     bags, target = [], []
-    for text, label in zip(texts, labels, strict=True):
+    for text, label in rows:
         words = words_of(text)
         if words and has_letter(text):
             flat, _ = subword_buckets(words, SIZES, bits)
-            bucket, count = np.unique(flat, return_counts=True)
-            bags.append((bucket, count / count.sum() * inverse[bucket]))
+            count = np.bincount(flat, minlength=1 << bits)
+            bucket = np.flatnonzero(count)
+            bags.append((bucket.astype(np.int32), (count[bucket] / len(flat) * inverse[bucket]).astype(np.float32)))
             target.append(index[label])
     leader = Leader((1 << bits) + 1, len(languages), alpha, beta, absolute, squared)
     random, last = np.random.default_rng(seed), 1 << bits
@@ -156,10 +161,10 @@ def train(texts: list[bytes], labels: list[str], inverse: np.ndarray, bits: int
     return Model(languages, weights[:-1] * inverse[:, None], weights[-1], 1.0, bits)
 
 
-def calibrate(model: Model, texts: list[bytes], labels: list[str]) -> Model:
+def calibrate(model: Model, rows: list[tuple[bytes, str]]) -> Model:
     """The temperature at which the model's probabilities are likeliest for rows it wasn't trained on."""
     table, index = model.table(), {k: i for i, k in enumerate(model.languages)}
-    rows = [(model.odds(t, table), index[k]) for t, k in zip(texts, labels, strict=True) if k in index and has_letter(t)]
+    rows = [(model.odds(t, table), index[k]) for t, k in rows if k in index and has_letter(t)]
     if not rows or len(model.languages) < 2:
         return model
     odds, target = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -171,21 +176,32 @@ def calibrate(model: Model, texts: list[bytes], labels: list[str]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Learns from rows with a language that aren't held out: counts from all of them, weights from a sample of each language."""
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_ALL, most_bytes: int = SAMPLE_BYTES, weights: int = WEIGHTS) -> Model:
+    """Learns from rows with a language that aren't held out: counts from all of them, weights from a bounded sample, a share of each language.
+
+    The sample goes to one task on an executor, which trains; the driver gets the model. Rows without text, and repeated ones, count as they are.
+    """
     known = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull())
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("size")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    bits = max(8, min(BITS, (weights // max(1, len(found))).bit_length() - 1))
     counts, total = document_frequencies(known, bits)
     inverse = np.log((1 + total) / (1 + counts)) + 1
-    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    size = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["count"])]) if sizes else F.create_map().cast("map<string,long>")
-    at = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000 * size[F.col("lang")] / sample
-    picked = known.withColumn("at", at).where("at < 1.25")
-    rows = sorted((r.doc_id or 0, r.lang, bytes(r.text or b""), r["at"] < 1) for r in picked.select("doc_id", "lang", F.encode("text", "UTF-8").alias("text"), "at").collect())
-    model = train([t for _, _, t, a in rows if a], [k for _, k, _, a in rows if a], inverse, bits)
-    rest = [r for r in rows if not r[3]] or rows
-    return calibrate(model, [t for _, _, t, _ in rest], [k for _, k, _, _ in rest])
+    each, each_bytes = min(sample, most // max(1, len(found))) or 1, most_bytes // max(1, len(found))
+    share = {r["lang"]: min(each / r["n"], each_bytes / max(1, r["size"])) for r in found}
+    at = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000 / F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")] if share else F.lit(None).cast("double")
+    picked = known.select("doc_id", "lang", at.alias("at"), F.coalesce("text", F.lit("")).alias("text")).where("at < 1.25")
+
+    def learn(batches) -> bytes:
+        rows, rest, left = [], [], 2 * most_bytes
+        for batch in batches:
+            for k, a, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch, "text"), strict=True):
+                if len(text) <= left:  # a text beyond the bound is left out whole
+                    left -= len(text)
+                    (rows if a < 1 else rest).append((text, k))
+        return pickle.dumps(calibrate(train(rows, inverse, bits), rest or rows))
+
+    return pickle.loads(learned(picked, learn, ["at", "doc_id", "text", "lang"]))  # noqa: S301 (bytes of our own task)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``lang_pred`` is a learned language, or "und" with score 0 if the text is null or has no letter.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed, but for the number of languages
+    held = docs.sparkSession.sparkContext.broadcast(model)  # ``WEIGHTS`` bounds its size
 
     def work():
         table = held.value.table()

@@ -121,16 +121,22 @@ from s left join wide on s.lang is not distinct from wide.lang"""
 
 
 def _op2_sql() -> str:
-    n = linededup.WINDOW
+    most, characters = linededup.LINES, linededup.CHARACTERS
     blanks = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
-    ahead = ", ".join(f"lead(line, {k}) over d as line{k}, lead(i, {k}) over d as i{k}" for k in range(1, n))
-    key, places = ", ".join(["line", *[f"line{k}" for k in range(1, n)]]), ", ".join(["i", *[f"i{k}" for k in range(1, n)]])
+    ahead = ", ".join(f"lead(line, {k}) over d as line{k}, lead(i, {k}) over d as i{k}" for k in range(1, most))
+    runs = []
+    for n in range(1, most + 1):
+        lines, places = [f"line{k}" for k in range(n)], ", ".join(f"i{k}" for k in range(n))
+        size = " + ".join(f"length({x})" for x in lines)
+        enough = f"line{n - 1} is not null" + (f" and {size} >= {characters}" if n < most else "")
+        key = ", ".join(lines)
+        runs.append(f"select doc_id, [{places}] as lines, row_number() over (partition by {key} order by doc_id, i0) as k from w where {enough}")
     return f"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 s as (select doc_id, i, trim(raw, {blanks}) as line from l where trim(raw, {blanks}) <> ''),
-w as (select doc_id, i, line, {ahead} from s window d as (partition by doc_id order by i)),
-r as (select *, row_number() over (partition by {key} order by doc_id, i) as k from w where line{n - 1} is not null),
-gone as (select distinct doc_id, unnest([{places}]) as i from r where k > 1),
+w as (select doc_id, i as i0, line as line0, {ahead} from s window d as (partition by doc_id order by i)),
+r as ({" union all ".join(runs)}),
+gone as (select distinct doc_id, unnest(lines) as i from r where k > 1),
 kept as (select l.doc_id, string_agg(raw, chr(10) order by l.i) as text from l anti join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id)
 select d.doc_id, (select count(*) from s where s.doc_id = d.doc_id)::bigint as n_lines, (select count(*) from gone where gone.doc_id = d.doc_id)::bigint as n_removed,
   case when d.text is not null then sha256(coalesce(kept.text, '')) end as text_sha256

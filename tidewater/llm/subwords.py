@@ -1,54 +1,32 @@
 """Quality classifier of supervised subword embeddings.
 
-A word is the mean of learned vectors of its hashed parts (itself whole, and its character n-grams); a document is the mean
-of its words; a softmax layer tells the classes. A word that repeats the one before it brings one more, ``REPEAT``.
-Trained by stochastic gradient descent in numpy, one document a step.
+A word is the mean of learned vectors of its hashed parts (itself whole, and its character n-grams), two words in a row have a
+vector by their hash; a document is the mean of both; a softmax layer tells the classes. Trained by stochastic gradient descent
+in numpy, one document a step, in one task over a bounded sample; the driver gets the model only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordRows, held_out, map_rows, subword_buckets, texts_of
+from tidewater.llm.common import MULTIPLIER, WordRows, held_out, learned, map_rows, mixed, subword_buckets, texts_of, word_hashes
 
 BITS, WIDTH, SIZES = 17, 16, (3, 4, 5)
-REPEAT = b"\x00again"
-#: Labelled documents of each class that the model is fitted on, about; the only bound on what it learns from.
-SAMPLE = 4000
+#: Labelled documents of each class that the model is fitted on, about, and bytes of each class's text; the only bounds on what it learns from.
+SAMPLE, SAMPLE_BYTES = 4000, 12 << 20
 EPOCHS, RATE = 4, 0.6
+#: Bits of a word's hash that pairs of words are hashed from; as many as a double holds exactly.
+HASH = np.uint64((1 << 52) - 1)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    words = text.split()
-    return words + [REPEAT] * sum(map(bytes.__eq__, words[1:], words[:-1]))
-
-
-class Subwords:
-    """Bucket ids of words, worked out once for each."""
-
-    def __init__(self, bits: int = BITS, sizes: tuple[int, ...] = SIZES):
-        self.bits, self.sizes, self.known = bits, sizes, {}
-
-    def bag(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of a document and their weights, which sum to one."""
-        counts: dict[bytes, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        new = [w for w in counts if w not in self.known]
-        if new:
-            if len(self.known) > 300_000:
-                self.known.clear()
-                new = list(counts)
-            flat, n = subword_buckets(new, self.sizes, self.bits)
-            self.known.update(zip(new, np.split(flat.astype(np.int32), np.cumsum(n)[:-1]), strict=True))
-        parts = [self.known[w] for w in counts]
-        share = np.repeat([c / len(p) for c, p in zip(counts.values(), parts, strict=True)], [len(p) for p in parts]) / len(words)
-        bucket, which = np.unique(np.concatenate(parts), return_inverse=True)
-        return bucket, np.bincount(which, share).astype(np.float32)
+def pair_buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of each two words in a row, by the words' hashes."""
+    return (mixed(hashes[:-1] * np.uint64(MULTIPLIER) + hashes[1:]) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -61,34 +39,75 @@ class Model:
     sizes: tuple[int, ...] = SIZES
 
     def table(self) -> WordRows:
+        """For a word: the mean of its parts, and its hash."""
+
         def fill(words: list[bytes]) -> np.ndarray:
             flat, n = subword_buckets(words, self.sizes, self.bits)
-            return (np.add.reduceat(self.parts[flat], np.cumsum(n) - n) / n)[:, None]
+            return np.column_stack([np.add.reduceat(self.parts[flat], np.cumsum(n) - n) / n, (word_hashes(words) & HASH).astype(np.float64)])
 
-        return WordRows(fill, 1, np.float64)
+        return WordRows(fill, 2, np.float64)
 
     def score(self, text: bytes, table: WordRows) -> float:
-        words = words_of(text)
-        odds = self.bias + (float(table.of(words).mean()) if words else 0.0)
+        words, odds = text.split(), self.bias
+        if words:
+            rows = table.of(words)
+            pairs = self.parts[pair_buckets(rows[:, 1].astype(np.uint64), self.bits)]
+            odds += float((rows[:, 0].sum() + pairs.sum(dtype=np.float64)) / (len(words) + len(pairs)))
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], prior: float, bits: int = BITS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """A model of ``labels`` (0 or 1). ``prior`` is the share of class 1 where it will be used, whatever the sample's."""
+class Sample:
+    """Documents to learn from as numbers in flat arrays: distinct words with their counts, and pairs of words."""
+
+    def __init__(self, bits: int = BITS, sizes: tuple[int, ...] = SIZES):
+        self.bits, self.sizes, self.index = bits, sizes, {}
+        self.words, self.counts, self.pairs, self.labels = [], [], [], []
+
+    def add(self, text: bytes, label: int) -> None:
+        words = text.split()
+        counted = Counter(words)
+        ids = np.fromiter((self.index.setdefault(w, len(self.index)) for w in counted), np.int32, len(counted))
+        self.words.append(ids)
+        self.counts.append(np.fromiter(counted.values(), np.float32, len(counted)))
+        self.pairs.append(pair_buckets(word_hashes(words) & HASH, self.bits).astype(np.int32))
+        self.labels.append(label)
+
+    def bags(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each document its distinct buckets and their weights, which sum to one. The numbers go as they are used."""
+        words = list(self.index)
+        self.index.clear()
+        found = [subword_buckets(words[i : i + 50_000], self.sizes, self.bits) for i in range(0, len(words), 50_000)]
+        parts = np.concatenate([f.astype(np.int32) for f, _ in found] or [np.zeros(0, np.int32)])
+        n_parts = np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)])
+        first, out = np.cumsum(n_parts) - n_parts, []
+        del words, found
+        for ids, counts, pairs in zip(self.words, self.counts, self.pairs, strict=True):
+            n = n_parts[ids]
+            at = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            share = np.concatenate([np.repeat(counts / n, n), np.ones(len(pairs))]) / max(1, counts.sum() + len(pairs))
+            bucket, which = np.unique(np.concatenate([parts[at], pairs]), return_inverse=True)
+            out.append((bucket, np.bincount(which, share).astype(np.float32)))
+        self.words, self.counts, self.pairs = [], [], []
+        return out
+
+
+def train(rows: Sample, prior: float, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """A model of the rows' labels (0 or 1). ``prior`` is the share of class 1 where it will be used, whatever the sample's."""
+    labels, bits = rows.labels, rows.bits
     classes = sorted(set(labels))
     if len(classes) < 2:
         sure = 0.5 if not classes else float(classes[0])
         return Model(np.zeros(1 << bits, np.float32), (sure - 0.5) * 20, bits)
-    random, subwords = np.random.default_rng(seed), Subwords(bits)
-    bags = [subwords.bag(words_of(t)) if t.split() else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for t in texts]
+    bags = rows.bags()
+    random = np.random.default_rng(seed)
     vectors = (random.random((1 << bits, width), np.float32) - 0.5) / width
     layer, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = epochs * len(bags), 0
+    steps, step = epochs * len(labels), 0
     for _ in range(epochs):
-        for i in random.permutation(len(bags)):
-            bucket, share = bags[i]
+        for i in random.permutation(len(labels)):
             now = rate * (1 - step / steps)
             step += 1
+            bucket, share = bags[i]
             mean = share @ vectors[bucket]
             odds = mean @ layer + bias
             p = np.exp(odds - odds.max())
@@ -106,29 +125,45 @@ def train(texts: list[bytes], labels: list[int], prior: float, bits: int = BITS,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, label) of labelled documents that may be learned from. No text is moved for it."""
-    known = labels.where(F.col(label).isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    """(doc_id, label, size) of labelled documents that may be learned from; those labelled both ways count as 0. No text is moved for it."""
+    known = labels.where(F.col(label).isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    return known.join(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "doc_id")
+
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """Learns from about ``sample`` documents and ``most_bytes`` of text of each class at most, picked by a hash; held-out ones are never read for it.
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, **options) -> Model:
-    """Learns from at most about ``sample`` documents of each class, picked by a hash; held-out documents are never read for it."""
+    Rows of labels other than 0 and 1, or without doc_id, are ignored. Without any label of a class all scores are alike.
+    """
     known = labelled(docs, labels, label)
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    if not counts:
-        return train([], [], 0.5)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")])
+    counts = {r.label: r for r in known.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    prior = counts[1].n / sum(r.n for r in counts.values()) if 1 in counts else 0.0
+    share = {k: min(1.0, sample / r.n, most_bytes / max(1, r.size)) for k, r in counts.items()} or {0: 0.0}
+    pick = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
+    at = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    picked = known.select("doc_id", "label", pick.alias("pick")).where(F.col("pick") < 1_000_000 * at[F.col("label")]).distinct()
     # Ids of a sample of fixed size: texts stay where they are until the sample's own are fetched.
-    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.encode("text", "UTF-8").alias("text"))
-    rows = sorted((r.doc_id, r.label, bytes(r.text or b"")) for r in found.collect())
-    return train([t for _, _, t in rows], [k for _, k, _ in rows], counts.get(1, 0) / sum(counts.values()), **options)
+    found = docs.join(F.broadcast(picked), "doc_id").select("pick", "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+
+    def learn(batches) -> bytes:
+        rows, left = Sample(), {0: 2 * most_bytes, 1: 2 * most_bytes}
+        for batch in batches:
+            for k, text in zip(batch.column(2).to_pylist(), texts_of(batch, "text"), strict=True):
+                if len(text) <= left[k]:  # a text beyond the bound is left out whole
+                    left[k] -= len(text)
+                    rows.add(text, k)
+        model = train(rows, prior, **options)
+        return np.float64(model.bias).tobytes() + model.parts.astype(np.float32).tobytes()
+
+    raw = learned(found, learn, ["pick", "doc_id", "text"])
+    return Model(np.frombuffer(raw, np.float32, offset=8), float(np.frombuffer(raw, np.float64, 1)[0]), BITS)
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` (likelihood of label 1) and ``predicted`` (1 if that is ``threshold`` or more).
 
-    Whole texts are read; null and empty ones get the score that no words give. Columns of these names are replaced.
+    Whole texts are read; null and empty ones get the score that no words give. Columns of these names are replaced. Repeated rows, and rows
+    without doc_id, are scored each. An empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed
