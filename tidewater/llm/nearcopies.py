@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.llm import simhash
 from tidewater.llm.common import components, gram_hashes, map_rows, mixed, texts_of, word_hashes, written
@@ -199,8 +200,8 @@ def one_of_each(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     Texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or their fingerprints
     differ by no more than the radius of ``simhash``; groups are joined over both. Texts without words are near copies of each
-    other. Rows that share a doc_id and text count as one document, of which one row stays; rows that share a doc_id only are judged each by
-    its text. Rows without doc_id stay, one for each text.
+    other. Rows that share a doc_id and text count as one document, of which one row stays, the first by its other columns; rows that share a
+    doc_id only are judged each by its text. Rows without doc_id stay, one for each text. An empty table gives an empty result.
     """
     found = written(marked(docs), "near-marks")
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("least")
@@ -215,7 +216,13 @@ def one_of_each(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     kept = labelled.groupBy("component").agg(F.min("least").alias("kept"))
     kept = labelled.join(kept, "component").select("node", "kept")
     gone = found.select("doc_id", "tag", "node").join(kept, "node").where(F.struct("doc_id", "tag") != F.col("kept")).where("doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag")).distinct()
+    again = found.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tag", F.lit(1).alias("kind"))
+    # 0: goes. 1: stands more than once.
+    marks = gone.select("doc_id", "tag", F.lit(0).alias("kind")).unionByName(again).groupBy("doc_id", "tag").agg(F.min("kind").alias("_kind"))
+    marks = written(marks.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_kind"), "near-gone")
     own = docs.withColumn("_own", F.xxhash64("text"))
-    left = own.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_own") == F.col("_tag")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    left = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tag")), "left").drop("_doc", "_tag")
+    # Of rows that stand more than once, the first by all their columns stays.
+    order = Window.partitionBy("doc_id", "_own").orderBy(*[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+    first = left.where("_kind = 1").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return left.where("_kind is null").unionByName(first.drop("_rank")).select(*docs.columns)

@@ -82,11 +82,7 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]
 
 
 def _op1_sql() -> str:
-    share, error = rules.RISK / len(rules.CUTOFFS), rules.ERROR
-    tries = ", ".join(f"('{r}', {i}, {c})" for r, values in rules.CUTOFFS.items() for i, c in enumerate(values))
-    value = "case rule " + " ".join(f"when '{r}' then {r}" for r in rules.CUTOFFS) + " end"
-    wide = ", ".join(f"max(cutoff) filter (rule = '{r}') as {r}_cutoff" for r in rules.CUTOFFS)
-    over = " or ".join(f"coalesce({r} > {r}_cutoff, false)" for r in rules.CUTOFFS)
+    passes = ", ".join(f"len(list_filter({values}, lambda c: c >= {rule}))" for rule, values in rules.CUTOFFS.items())
     return rf"""
 with w as (
   select doc_id, lang, coalesce(text, '') as text, {WORDS} as ws,
@@ -106,18 +102,16 @@ s as (
     case when lines > 0 then n_dup_lines / lines else 0 end as dup_line_share, case when n_words > 0 then n_repeat_words / n_words else 0 end as repeat_share
   from c),
 good as (select s.* from s join (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1) using (doc_id) where not base_failed),
-tries as (select * from (values {tries}) as t(rule, i, cutoff)),
-seen as (select lang, rule, i, cutoff, count(*) as n, count(*) filter ({value} > cutoff) as x from good cross join tries group by all),
+level as (select unnest(range(0, {rules.LEVELS})) as level),
+seen as (select lang, level, count(*) as n, count(*) filter (least({passes}) <= level) as x from good cross join level group by all),
 p as (
-  select *, list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({share}) + (n - k) * ln(1 - {share})))) as p,
+  select *, list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({rules.RISK}) + (n - k) * ln(1 - {rules.RISK})))) as p,
     (select count(distinct coalesce(lang, chr(0))) from good) as strata
   from seen),
-fails as (select *, p > {error} / (strata * {len(rules.CUTOFFS)}) as fails from p),
-passed as (select *, min(i) filter (fails) over (partition by lang, rule) as stop from fails),
-best as (select lang, rule, arg_max(cutoff, i) as cutoff from passed where stop is null or i < stop group by all),
-wide as (select lang, {wide} from best group by lang)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept
-from s left join wide on s.lang is not distinct from wide.lang"""
+stops as (select lang, level, min(level) filter (p > {rules.ERROR} / strata) over (partition by lang) as stop from p),
+best as (select lang, max(level) as level from stops where stop is null or level < stop group by lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(least({passes}) <= level, false) as kept
+from s left join best on s.lang is not distinct from best.lang"""
 
 
 def _op2_sql() -> str:

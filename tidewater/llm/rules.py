@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-Each rule compares a signal of a document with a cutoff. Cutoffs are picked for each stratum on labelled holdouts: a cutoff
-is certified if the good documents that it would reject are so few that, were the true share of false rejections above the
-limit, that few would be seen with a probability (exact binomial tail) below the error allowed. The error is shared out
-over all strata and rules (Bonferroni); within one rule cutoffs are tried from lenient to strict up to the first that isn't
-certified, which needs no further correction.
+Each rule compares a signal of a document with a cutoff; a document is rejected if any is above it. The rules' cutoffs go down together, level by level.
+How far is decided for each stratum on labelled holdouts: a level is certified if the good documents that it would reject are so few that,
+were the true share of false rejections above the limit, that few would be seen with a probability (exact binomial tail) below the error
+allowed. The error is shared out over the strata (Bonferroni); within a stratum levels are tried from lenient to strict up to the first
+that isn't certified, a fixed sequence that needs no further correction, however many levels and rules there are.
 """
 
 from __future__ import annotations
@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
 
-#: Share of good documents of a stratum that all rules together may reject, and the probability that this fails.
-RISK, ERROR = 0.04, 0.05
+#: Share of good documents of a stratum that all rules together may reject, and the probability that this fails in any stratum.
+RISK, ERROR = 0.1, 0.05
+#: Each rule's cutoff at the first level, and what it is multiplied by from one level to the next.
+LEVELS = 40
+RULES = {"symbol_share": (2.0, 0.85), "shout_share": (0.5, 0.92), "dup_line_share": (0.9, 0.93), "repeat_share": (0.9, 0.9)}
 #: Cutoffs of each rule, from lenient to strict; documents above the cutoff are rejected.
-CUTOFFS = {
-    "symbol_share": [2.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25],
-    "shout_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5],
-    "dup_line_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5],
-    "repeat_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5],
-}
+CUTOFFS = {rule: [round(first * by**i, 6) for i in range(LEVELS)] for rule, (first, by) in RULES.items()}
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -95,53 +93,52 @@ def tail(n: Column, x: Column, p: Column) -> Column:
     return F.exp(F.least(F.lit(0.0), F.aggregate(terms, start, add, lambda acc: acc["sum"])))
 
 
+def passed_levels(grid: dict[str, list[float]]) -> Column:
+    """How many levels a document passes: those at which none of its signals is above its cutoff."""
+
+    def passed(rule: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in grid[rule]]), lambda c: c >= F.col(rule)))
+
+    each = [passed(rule) for rule in grid]
+    return F.least(*each) if len(each) > 1 else each[0]
+
+
 def cutoffs(holdout: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR, grid: dict[str, list[float]] | None = None) -> DataFrame:
-    """(stratum, rule, cutoff, n, rejected, p_value): the strictest certified cutoff of each rule in each stratum.
+    """(stratum, level, n, rejected, p_value, cutoffs): the strictest certified level of each stratum, and the cutoff of each rule there.
 
-    ``holdout`` has a row for each labelled document: the stratum, its signals, and ``good`` (boolean). Rules without a
-    certified cutoff in a stratum have no row, and reject nothing there.
+    ``holdout`` has a row for each labelled document: the stratum, its signals, and ``good`` (boolean). ``grid`` has as many cutoffs for each rule, in
+    falling order. A stratum without a certified level has no row, and its rules reject nothing.
     """
     grid = CUTOFFS if grid is None else grid
-    rules = len(grid)
-    counted = [
-        F.sum(F.when(F.col(rule) > c, 1).otherwise(0)).alias(f"{rule}_{i}") for rule, values in grid.items() for i, c in enumerate(values)
-    ]
-    sums = holdout.where("good").groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counted)
-    tries = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}").alias("rejected"))
-            for rule, values in grid.items()
-            for i, c in enumerate(values)
-        ]
-    )
+    levels = len(next(iter(grid.values())))
+    good = holdout.where("good").groupBy(F.col(stratum).alias("stratum"), passed_levels(grid).alias("passed")).agg(F.count("*").alias("k"))
+    sums = good.groupBy("stratum").agg(F.sum("k").alias("n"), *[F.sum(F.when(F.col("passed") <= i, F.col("k")).otherwise(0)).alias(f"r{i}") for i in range(levels)])
     strata = sums.agg(F.count("*")).scalar()
+    tries = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"r{i}").alias("rejected")) for i in range(levels)])
     each = sums.select("stratum", "n", F.explode(tries).alias("t")).select("stratum", "n", "t.*", strata.alias("strata"))
-    each = each.withColumn("p_value", tail(F.col("n"), F.col("rejected").cast("long"), F.lit(risk / rules)))
-    each = each.withColumn("fails", F.col("p_value") > F.lit(error) / (F.col("strata") * rules))
-    stop = each.groupBy(F.col("stratum").alias("_s"), F.col("rule").alias("_r")).agg(F.min(F.when(F.col("fails"), F.col("i"))).alias("stop"))
-    passed = each.join(stop, F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("rule") == F.col("_r"))).where("stop is null or i < stop")
-    best = passed.groupBy("stratum", "rule").agg(F.max(F.struct("i", "cutoff", "n", "rejected", "p_value")).alias("b"))
-    return best.select("stratum", "rule", "b.cutoff", "b.n", "b.rejected", "b.p_value")
+    each = each.withColumn("p_value", tail(F.col("n"), F.col("rejected"), F.lit(risk)))
+    first = F.min(F.when(F.col("p_value") > F.lit(error) / F.col("strata"), F.col("level"))).alias("stop")
+    tried = F.collect_list(F.struct("level", "n", "rejected", "p_value")).alias("tried")  # a row for each level, so of fixed size
+    stops = each.groupBy("stratum").agg(first, tried)
+    best = stops.select("stratum", F.array_max(F.filter("tried", lambda t: F.col("stop").isNull() | (t["level"] < F.col("stop")))).alias("b")).where("b is not null")
+    at = F.create_map(*[x for rule, values in grid.items() for x in (F.lit(rule), F.get(F.array(*[F.lit(float(c)) for c in values]), F.col("b.level")))])
+    return best.select("stratum", "b.level", "b.n", "b.rejected", "b.p_value", at.alias("cutoffs"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """doc_id, the counts, the rules' shares, ``base_failed`` and ``kept`` for each document.
 
-    ``kept`` is false if the base rules fail, or a rule's share is above the certified cutoff of the document's stratum.
+    ``kept`` is false if the base rules fail, or a rule's share is above its cutoff at the level certified for the document's stratum.
     Good documents are those labelled quality 1 that pass the base rules. Null texts count as empty, a null stratum
-    is a stratum, and a stratum without enough labelled good documents to certify a cutoff has the base rules only.
+    is a stratum, and a stratum without enough labelled good documents to certify a level has the base rules only.
     Documents labelled more than once count as good only if all their labels say so; repeated rows are judged each.
     """
     # Texts are read once; what follows reads the counts.
     marked = written(signals(docs.select("doc_id", "text", F.col(stratum).alias("stratum"))).drop("text").withColumn("base_failed", base_failed()), "signals")
     known = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     holdout = marked.where("not base_failed").join(known.where("good"), "doc_id")
-    certified = cutoffs(holdout, "stratum", risk, error)
-    wide = certified.groupBy(F.col("stratum").alias("_s")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in CUTOFFS])
-    joined = marked.join(wide, F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
-    over = [F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False)) for r in CUTOFFS]
-    rejected = over[0]
-    for o in over[1:]:
-        rejected = rejected | o
+    certified = cutoffs(holdout, "stratum", risk, error).select(F.col("stratum").alias("_s"), "level")
+    joined = marked.join(certified, F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
+    rejected = F.coalesce(passed_levels(CUTOFFS) <= F.col("level"), F.lit(False))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return joined.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), F.col("stratum"), *CUTOFFS)

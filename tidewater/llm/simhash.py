@@ -206,19 +206,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
     marked = written(fingerprints(docs, words_per_shingle, text, doc_id), "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(distinct.select("fp"), radius))
-    labelled = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = distinct.join(joined.hint("merge"), distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = labelled.join(smallest, "component").select("fp", "component_id")
-    return marked.join(found, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """``docs`` without documents that have a near-duplicate of smaller doc_id.
-
-    Of rows that share a doc_id one stays; of rows without doc_id, one for each text.
-    """
-    found = near_duplicates(docs, radius, words_per_shingle)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return left.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).drop("_own")
+    found = labelled.join(smallest.hint("merge"), "component").select("fp", "component_id")
+    return marked.join(found.hint("merge"), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
