@@ -1,6 +1,7 @@
 """Chunks, evidence, merges, scores, changes, and calls to a model that isn't there."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -136,7 +137,7 @@ def test_calls():
     assert calls.answered(flaky, request, wait=lambda _: None)["attempts"] == 3
     widths = []
     cut = calls.answered(lambda r: widths.append((r["max_output"], r["effort"])) or {"status": "truncated"}, request)
-    assert cut["status"] == "too_large" and widths == [(4000, "low"), (8000, "minimal")]
+    assert cut["status"] == "too_large" and widths == [(4000, "low"), (8000, "none")]
     assert calls.answered(lambda r: {"status": "filtered"}, request)["status"] == "filtered"
     assert calls.answered(lambda r: {"status": "completed", "output": "{"}, request)["error"] == "unreadable"
 
@@ -148,3 +149,38 @@ def test_calls_from_tasks(spark):
     done = calls.called(spark.createDataFrame([(1, "hello")], "chunk int, prompt string"), fake)
     row = calls.events_of(done, ["chunk"], "kind string, title string").first()
     assert (row.chunk, row.event_no, row.kind, row.title) == (1, 0, "note", "hello")
+
+
+def test_null_and_large_keys_are_groups_of_their_own(spark):
+    """A null tenant's rows are limited together, and ids beyond 2^53 come out as they went in."""
+    big = 9_007_199_254_740_993
+    rows = [(i, None, f"2024-01-01 00:0{i}:00") for i in range(5)] + [(5, big, "2024-01-01 00:00:00"), (6, big - 1, "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "id long, t long, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1)
+    let_in = sequences.admitted(df, ["t"], "at", [F.col("at"), F.col("id")], most=2)
+    assert {r.id: (r.t, r.let_in) for r in let_in.collect()} == {0: (None, True), 1: (None, True), 2: (None, False), 3: (None, False), 4: (None, False), 5: (big, True), 6: (big - 1, True)}
+    chunks = sequences.chunked(df, ["t"], "at", [F.col("at"), F.col("id")])
+    assert {(r.id, r.chunk_id, r.chunk_place) for r in chunks.where("t is null").collect()} == {(i, 0, i + 1) for i in range(5)}
+
+
+def test_chunks_are_those_of_a_row_by_row_walk(spark):
+    r = random.Random(3)
+    at, rows = 0, []
+    for i in range(3000):
+        at += r.choice([1, 5, 60, 400, 4000, 50_000])
+        rows.append((i, i % 2, at))
+    df = spark.createDataFrame(rows, "id long, t long, s long").withColumn("at", F.timestamp_seconds("s"))
+    for least, most, gap, span in ((3, 10, 300, 5000), (1, 4, 50, 10**6), (5, 50, 10**6, 2000), (80, 200, 3600, 86400)):
+        want, state = {}, {}
+        for i, t, s in rows:
+            n, first, last, now = state.get(t, (0, 0, 0, 0))
+            if n and (s - first > span or n >= least and s - last >= gap or n >= most):
+                now, n = now + 1, 0
+            first = s if not n else first
+            state[t] = (n + 1, first, s, now)
+            want[i] = (now, n + 1)
+        found = sequences.chunked(df, ["t"], "at", [F.col("at"), F.col("id")], least, most, gap, span)
+        assert {x.id: (x.chunk_id, x.chunk_place) for x in found.collect()} == want
+
+
+def test_efforts_go_down_a_step():
+    assert [calls.notch_down(e) for e in ("xhigh", "high", "medium", "low", "none")] == ["high", "medium", "low", "none", "none"]

@@ -113,3 +113,14 @@ def window_start(at: Column, seconds: int) -> Column:
 def retry_after(at: Column, seconds: int) -> Column:
     """Seconds until the window of ``at`` ends, one at least."""
     return F.greatest(F.lit(1).cast("long"), F.unix_timestamp(window_start(at, seconds)) + seconds - F.unix_timestamp(at))
+
+
+def date_matches(said: Column, said_grain: Column, found: Column, found_grain: Column, zone: str) -> Column:
+    """Whether two dates agree, as precisely as the first is said: an unknown one always does, and a missing second never else.
+
+    Exact times count by the zone's day; days, weeks and months are kept as midnights in UTC and count as they stand.
+    """
+    day = lambda at, grain: F.when(precision(grain) == "exact", local_day(at, zone)).otherwise(F.to_date(at))
+    a, b, grain = day(said, said_grain), day(found, found_grain), precision(said_grain)
+    same = F.when(grain == "month", F.trunc(a, "month") == F.trunc(b, "month")).when(grain == "week", F.date_trunc("week", a) == F.date_trunc("week", b)).otherwise(a == b)
+    return F.when(grain == "unknown", F.lit(True)).otherwise(F.coalesce(same, F.lit(False)))

@@ -15,15 +15,14 @@ MONTHLY_ACTIONS = ("started", "stopped", "changed")
 #: Characters that a chat export sprinkles over its lines: the first ones become spaces, the others go.
 INVISIBLE_TO_SPACE, INVISIBLE = "\u202f\u00a0", "\u200e\u200f\ufeff"
 #: A line that begins a message: a bracketed stamp, or a stamp and a dash.
-START_BRACKET = r"^\[([^\]]{6,40})\]\s*"
-START_DASH = r"^(\d{1,4}[/.\-]\d{1,2}[/.\-]\d{2,4},?\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s?[APap]\.?[Mm]\.?)?)\s-\s"
+START = r"^(?:\[([^\]]{6,40})\]\s*|(\d{1,4}[/.\-]\d{1,2}[/.\-]\d{2,4},?\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s?[APap]\.?[Mm]\.?)?)\s-\s)"
 #: A line that nearly begins one, and so isn't a continuation.
 NEAR_START = r"^\[?\d{1,4}[/.\-]\d{1,2}[/.\-]\d{2,4}[,\s]"
 SENDER = r"^(~?[^:\n]{1,80}?):\s"
 CLOCK = r"\d{1,2}:\d{2}"
 MERIDIEM = r"[APap]\.?[Mm]"
 BODY_CHARS, FORMAT_SAMPLE, PREVIEW, UNPARSED_SAMPLES = 8000, 50, 5, 10
-EXPORT_BYTES, EXPORT_MESSAGES = 25 * 1024 * 1024, 60_000
+EXPORT_BYTES, EXPORT_MESSAGES, SNIFF_LINES = 25 * 1024 * 1024, 60_000, 200
 
 #: Kinds of system line, by how a body with a sender begins; the first that matches counts.
 SYSTEM_PHRASES = (
@@ -160,3 +159,16 @@ WINDOW_DAYS = 400
 TOKEN_PRICES = {"gpt-5.5-2026-04-23": ("5", "30")}
 AUDIO_PRICES = {"gpt-4o-mini-transcribe": "0.003", "gpt-4o-transcribe": "0.006", "whisper-1": "0.006"}
 CACHED_RATE, AUDIO_BITS_PER_S = "0.1", 16000
+
+# Names that events, appointments and medications are shown by, what a line about an event tells of its details, and lengths of excerpts.
+KIND_NAMES = {"symptom": "Symptom", "appointment": "Appointment", "medication": "Medication", "note": "Note"}
+APPOINTMENT_NAMES = {"gp": "GP", "specialist": "Specialist", "hospital": "Hospital", "test": "Test", "therapy": "Therapy", "other": "Other"}
+ACTION_NAMES = {
+    "started": "Started", "stopped": "Stopped", "changed": "Dose changed", "missed": "Dose missed", "refilled": "Prescription collected", "side_effect": "Possible side effect", "other": "Other",
+}
+DETAIL_KEYS = ("status", "provider_name", "location", "outcome", "dose_text", "action", "severity")
+UNINFORMATIVE = ("", "unknown", "other")
+EXCERPT_CHARS, LINE_BODY_CHARS = 300, 220
+AUDIO_TYPES = ("audio", "voice", "ptt")
+#: What a model answers with first where two records aren't one event.
+DIFFERENT = "DIFFERENT EVENT"

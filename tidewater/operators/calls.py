@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EFFORTS = ("minimal", "low", "medium", "high")
+#: Levels of effort, from least to most.
+EFFORTS = ("none", "low", "medium", "high", "xhigh")
 SCHEMA = "status string, attempts int, output string, input_tokens long, cached_input_tokens long, output_tokens long, error string"
 
 

@@ -13,14 +13,15 @@ from tidewater.functions import vocabulary as v
 NOTHING = "array<string>"
 
 
-def grounded(events: DataFrame, primary: DataFrame, context: DataFrame, by: list[str], zone: str, days: int = v.WINDOW_DAYS) -> DataFrame:
+def grounded(events: DataFrame, primary: DataFrame, context: DataFrame, by: list[str], zone: str, days: int = v.WINDOW_DAYS, run: list[str] | None = None) -> DataFrame:
     """``events`` with ``drop_reason`` (null: kept), what is left of handles and quotes, ``occurred_at_utc`` and ``excerpts``.
 
     An event needs a handle of a ``primary`` message of its chunk; a quote must stand in the messages cited (folded); an event all
     of whose quotes were invented goes, and so does one dated over ``days`` outside its run. ``events``: by (the chunk), event_no,
     source_message_handles, quotes, occurred_at, occurred_at_precision. ``primary`` and ``context``: by, handle, id, sent_at, sender, text.
+    ``run`` are the columns of ``by`` that tell runs apart: all but the last unless given; without any, all is one run.
     """
-    key = [*by, "event_no"]
+    key, run = [*by, "event_no"], by[:-1] if run is None else run
     cited = events.select(*key, F.posexplode("source_message_handles").alias("_i", "handle"))
     own = primary.select(*by, "handle", F.struct("id", "sent_at", "sender", x.fold(F.col("text")).alias("folded")).alias("m"))
     met = cited.join(own, [*by, "handle"], "left").join(context.select(*by, "handle", F.lit(True).alias("_c")).distinct(), [*by, "handle"], "left")
@@ -28,8 +29,9 @@ def grounded(events: DataFrame, primary: DataFrame, context: DataFrame, by: list
     found = met.groupBy(*key).agg(
         F.array_sort(F.collect_list(source)).alias("_s"), F.count("*").alias("handles_cited"), F.count_if(F.col("m").isNull()).alias("invalid_handles"), F.bool_and(F.coalesce("_c", F.lit(False))).alias("_context")
     )
-    run = primary.agg(F.min("sent_at").alias("_low"), F.max("sent_at").alias("_high"))
-    rows = events.withColumn("_q", x.fold_each(F.col("quotes"))).join(found, key, "left").crossJoin(F.broadcast(run))  # one row
+    ends = F.min("sent_at").alias("_low"), F.max("sent_at").alias("_high")
+    rows = events.withColumn("_q", x.fold_each(F.col("quotes"))).join(found, key, "left")
+    rows = rows.join(primary.groupBy(*run).agg(*ends), run, "left") if run else rows.crossJoin(F.broadcast(primary.agg(*ends)))  # one row
     all_text = F.array_join(F.transform("_s", lambda s: s["m"]["folded"]), " ")
     pairs = F.arrays_zip(F.coalesce("quotes", F.array().cast(NOTHING)).alias("quote"), F.col("_q").alias("folded"))
     rows = rows.withColumn("_kept", F.filter(pairs, lambda p: (p["folded"] != "") & F.contains(all_text, p["folded"])))

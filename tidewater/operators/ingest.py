@@ -6,8 +6,10 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.functions import keys, times
 from tidewater.functions import text as x
@@ -125,23 +127,29 @@ def hashed(records: DataFrame, resolved: DataFrame, order: list[Column], batch:
 def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "content_hash", other: str = "provider_message_id") -> DataFrame:
     """``rows`` with ``first``: false if an earlier one that is first has the same ``one``, or the same ``other`` (null: none).
 
-    A row that isn't first claims neither key for itself, so this goes through the batch in order; a batch is one upload.
+    A row that isn't first claims neither key for itself, so rows go through in order. Only those need to that share a key with another: the
+    rest, nearly all, are first whatever stands before them, and never meet in one task.
     """
-
-    def step(state: tuple[set, set], pdf: pd.DataFrame) -> pd.DataFrame:
+    count = lambda key: F.count("*").over(Window.partitionBy(*by, key))
+    # A row without the other key stands alone under it: its first key tells it from the rest.
+    own = F.coalesce(F.concat(F.lit("="), F.col(other).cast("string")), F.concat(F.lit("-"), F.col(one).cast("string")))
+    counted = rows.withColumn("_other", own).withColumn("_n", count(one)).withColumn("_m", count("_other")).drop("_other")
+    alone = (F.col("_n") == 1) & (F.col("_m") == 1)
+    clear = counted.where(alone).drop("_n", "_m").withColumn("first", F.lit(True))
+
+    def step(state: tuple[set, set], some: pa.Array, more: pa.Array) -> list:
         ones, others = state
-        good = np.zeros(len(pdf), bool)
-        for i, (a, b) in enumerate(zip(pdf[one].tolist(), pdf[other].tolist(), strict=True)):
-            b = None if b is None or b != b else b
+        good = np.zeros(len(some), bool)
+        for i, (a, b) in enumerate(zip(some.to_pylist(), more.to_pylist(), strict=True)):
             if a not in ones and (b is None or b not in others):
                 good[i] = True
                 ones.add(a)
                 if b is not None:
                     others.add(b)
-        return pdf.assign(first=good)
+        return [good]
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["first boolean"])
-    return in_order(rows, by, order, schema, lambda: (set(), set()), step)
+    shared = in_order(counted.where(~alone).drop("_n", "_m"), by, order, [one, other], "first boolean", lambda: (set(), set()), step)
+    return clear.unionByName(shared)
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, tenant: str = "tenant_id", one: str = "content_hash", other: str = "provider_message_id") -> DataFrame:

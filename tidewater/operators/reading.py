@@ -9,14 +9,19 @@ from pyspark.sql.window import Window
 from tidewater.functions import vocabulary as v
 
 
+def live(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
+    """``rows`` without those that carry a mark of deletion, which stays in the table for its key. Tables without such a mark pass whole."""
+    return rows.where(F.col(deleted).isNull()) if deleted in rows.columns else rows
+
+
 def feed(events: DataFrame, at: str, event_id: str, limit: int, before: Column | None = None) -> DataFrame:
-    """The newest ``limit`` events, before a moment if one is given. Only the top rows of each task are shuffled."""
-    rows = events if before is None else events.where(F.col(at) < before)
+    """The newest ``limit`` events that aren't deleted, before a moment if one is given. Only the top rows of each task are shuffled."""
+    rows = live(events) if before is None else live(events).where(F.col(at) < before)
     return rows.orderBy(F.col(at).desc_nulls_first(), F.col(event_id).desc()).limit(limit)
 
 
 def upcoming(events: DataFrame, at: str, event_id: str, now: Column, limit: int = 50) -> DataFrame:
-    return events.where(F.col(at) > now).orderBy(F.col(at).asc_nulls_last(), F.col(event_id).asc()).limit(limit)
+    return live(events).where(F.col(at) > now).orderBy(F.col(at).asc_nulls_last(), F.col(event_id).asc()).limit(limit)
 
 
 def next_before(page: DataFrame, at: str, limit: int) -> DataFrame:
@@ -45,6 +50,23 @@ def due(pending: DataFrame, tenant: str, at: str, now: Column, count: int = v.GA
     return sums.where((F.col("waiting") >= count) | (F.col("oldest") < now - F.expr(f"interval {age_s} seconds")))
 
 
+def in_run_order(events: DataFrame, by: list[str], at: str = "occurred_at_utc", key: str = "dedup_key") -> DataFrame:
+    """``events`` with ``place`` from 1: by time, those without one last, then by key."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(at).asc_nulls_last(), F.col(key))))
+
+
+def open_digest(events: DataFrame, by: list[str], n: int = 10) -> DataFrame:
+    """(by, digest): a line for each of the first ``n`` open events, dated ones first, the newest of them first.
+
+    ``events`` has kind, occurred_at (text; "undated": none), title, detail. Of equal dates, by title.
+    """
+    dated = F.col("occurred_at") != "undated"
+    top = newest(events, by, [dated.desc(), F.desc("occurred_at"), F.col("title"), F.col("kind"), F.col("detail")], n)
+    line = F.concat(F.lit("[E"), F.col("place").cast("string"), F.lit("] "), F.concat_ws(" ", "kind", "occurred_at", "title"), F.coalesce(F.concat(F.lit(" — "), F.nullif("detail", F.lit(""))), F.lit("")))
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))  # ``n`` at most
+    return top.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("digest"))
+
+
 def day_runs(events: DataFrame, by: list[str], day: Column, order: list[Column]) -> DataFrame:
     """(by, run, day, n, first and last place): consecutive events of one day, in ``order``."""
     ahead = Window.partitionBy(*by).orderBy(*order)
@@ -84,7 +106,7 @@ def report(events: DataFrame, by: list[str], order: list[Column], limit: int = 2
     ``events`` has event_id, kind, occurred_at (text), title, body. Events are numbered E1, E2, … over all kinds in ``order``,
     up to ``limit``. Nothing is inferred: each sentence is an event's own words.
     """
-    rows = newest(events, by, order, limit).withColumn("handle", F.concat(F.lit("E"), F.col("place").cast("string")))
+    rows = newest(live(events), by, order, limit).withColumn("handle", F.concat(F.lit("E"), F.col("place").cast("string")))
     body = F.when(F.coalesce(F.col("body"), F.lit("")) != "", F.concat(F.lit(": "), F.trim("body"))).otherwise("")
     sentence = F.concat("title", body, F.lit(" ["), "handle", F.lit("]"))
     cited = F.struct("place", "handle", "event_id", "kind", "occurred_at", "title", sentence.alias("sentence"))

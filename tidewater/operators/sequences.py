@@ -10,39 +10,50 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidewater.functions import text as x
 from tidewater.functions import vocabulary as v
 
 
-def in_order(rows: DataFrame, by: list[str], order: list[Column], schema: str, fresh: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Stream each group's rows in ``order`` through ``step(state, rows)``, a batch at a time; ``fresh()`` is a group's first state."""
+def in_order(rows: DataFrame, by: list[str], order: list[Column], needs: list[str], added: str, fresh: Callable[[], object], step: Callable[..., list]) -> DataFrame:
+    """``rows`` with the columns ``added``, worked out by ``step(state, *columns)`` on each group's rows in ``order``, a batch at a time.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``fresh()`` is a group's first state; ``needs`` are the columns that steps get, as Arrow arrays. A null key is a group like any other. The
+    rows' own columns pass through as they came, but for those of ``needs`` that begin with an underscore, which are left out.
+    """
+    kept = [f for f in rows.schema if not (f.name in needs and f.name.startswith("_"))]
+    names, new = [f.name for f in kept], StructType.fromDDL(added)
+    fields = list(to_arrow_schema(new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = None, None
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            codes = [pdf[k].to_numpy() for k in by]
-            change = np.zeros(len(pdf), bool)
-            for c in codes:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change), len(pdf)]
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731  used within this turn
+            change = np.zeros(n, bool)
+            for k in by:  # codes tell nulls from values, and never round
+                code = column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                change[1:] |= code[1:] != code[:-1]
+            cuts, parts = [0, *np.flatnonzero(change).tolist(), n], []
+            given = [column(c) for c in needs]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                key = tuple(c[a] for c in codes)
+                key = tuple(column(k)[a].as_py() for k in by)
                 if key != held:
                     held, state = key, fresh()
-                yield step(state, pdf.iloc[a:b])
-
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+                parts.append(step(state, *(c.slice(a, b - a) for c in given)))
+            made = [pa.array(np.concatenate(p), f.type) for p, f in zip(zip(*parts, strict=True), fields, strict=True)]
+            own = [column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*names, *(f.name for f in fields)])
 
-
-def _fields(rows: DataFrame, added: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [added])
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, StructType([*kept, *new]))
 
 
 def canonical(at: str = "sent_at", ordinal: str = "source_ordinal", row_id: str = "id") -> list[Column]:
@@ -60,22 +71,26 @@ def chunked(
     """
     gap, span = gap_s * 1_000_000, span_s * 1_000_000
 
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, place = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-        n, first, last, now = state["n"], state["first"], state["last"], state["chunk"]
-        for i, t in enumerate(pdf["_us"].tolist()):
-            if n and (t - first > span or n >= least and t - last >= gap or n >= most):
-                now, n = now + 1, 0
+    def step(state: dict, times: pa.Array) -> list:
+        t = times.to_numpy()
+        chunk, place = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+        n, first, now, at = state["n"], state["first"], state["chunk"], 0
+        gaps = np.flatnonzero(np.diff(t, prepend=state["last"] if n else t[0]) >= gap)
+        while at < len(t):
             if not n:
-                first = t
-            n, last = n + 1, t
-            chunk[i], place[i] = now, n
-        state.update(n=n, first=first, last=last, chunk=now)
-        return pdf.drop(columns="_us").assign(chunk_id=chunk, chunk_place=place)
+                first = t[at]
+            # The chunk ends when it is full, at the first row beyond its span, or at the next gap once it has enough rows.
+            after = int(np.searchsorted(gaps, at + max(0 if n else 1, least - n)))
+            end = min(len(t), at + most - n, int(np.searchsorted(t, first + span, "right")), int(gaps[after]) if after < len(gaps) else len(t))
+            chunk[at:end], place[at:end] = now, np.arange(n + 1, n + 1 + end - at)
+            n, at = n + end - at, end
+            if at < len(t):
+                now, n = now + 1, 0
+        state.update(n=n, first=first, last=t[-1], chunk=now)
+        return [chunk, place]
 
     rows = messages.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    schema = _fields(messages, "chunk_id long, chunk_place long")
-    return in_order(rows, by, order, schema, lambda: {"n": 0, "first": 0, "last": 0, "chunk": 0}, step)
+    return in_order(rows, by, order, ["_us"], "chunk_id long, chunk_place long", lambda: {"n": 0, "first": 0, "last": 0, "chunk": 0}, step)
 
 
 def contexts(chunks: DataFrame, by: list[str], at: str, order: list[Column], rows: int = v.OVERLAP_ROWS, age_s: int = v.OVERLAP_AGE_S, before: DataFrame | None = None) -> DataFrame:
@@ -136,18 +151,18 @@ def admitted(hits: DataFrame, by: list[str], at: str, order: list[Column], most:
     """``hits`` with ``let_in``: at most ``most`` in any ``window_s``, counting only those let in; one exactly that old no longer counts."""
     width = window_s * 1_000_000
 
-    def step(state: deque, pdf: pd.DataFrame) -> pd.DataFrame:
-        good = np.zeros(len(pdf), bool)
-        for i, t in enumerate(pdf["_us"].tolist()):
+    def step(state: deque, times: pa.Array) -> list:
+        good = np.zeros(len(times), bool)
+        for i, t in enumerate(times.to_pylist()):
             while state and state[0] <= t - width:
                 state.popleft()
             if len(state) < most:
                 state.append(t)
                 good[i] = True
-        return pdf.drop(columns="_us").assign(let_in=good)
+        return [good]
 
     rows = hits.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    return in_order(rows, by, order, _fields(hits, "let_in boolean"), deque, step)
+    return in_order(rows, by, order, ["_us"], "let_in boolean", deque, step)
 
 
 def tumbling(hits: DataFrame, by: list[str], start: Column, limit: int) -> DataFrame:

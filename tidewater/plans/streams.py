@@ -14,8 +14,10 @@ from tidewater.streaming import flows
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: where the cluster names one, or a temporary one on a single machine."""
+    """A new folder that driver and executors share, where the cluster names one; a temporary one only if everything runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     return f"{named}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidewater-stream-")
 
 

@@ -20,12 +20,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stamped(line: Column) -> Column:
-    """(stamp, rest, style) of a line that begins a message; null for any other."""
-    bracket, dash = F.regexp_extract(line, v.START_BRACKET, 1), F.regexp_extract(line, v.START_DASH, 1)
-    stamp = F.trim(F.when(bracket != "", bracket).otherwise(dash))
-    whole = F.when(bracket != "", F.regexp_extract(line, v.START_BRACKET, 0)).otherwise(F.regexp_extract(line, v.START_DASH, 0))
+    """(stamp, rest, style) of a line that begins a message; null for any other. The line itself is searched once."""
+    whole = F.regexp_extract(line, v.START, 0)
+    bracket = F.startswith(whole, F.lit("["))
+    stamp = F.trim(F.when(bracket, F.substring_index(F.substring(whole, 2, 48), "]", 1)).otherwise(F.regexp_replace(whole, r"\s-\s$", "")))
     rest = F.substring(line, F.char_length(whole) + 1, F.char_length(line))
-    return F.when(stamp.rlike(v.CLOCK), F.struct(stamp.alias("stamp"), rest.alias("rest"), F.when(bracket != "", "ios").otherwise("android").alias("style")))
+    return F.when(stamp.rlike(v.CLOCK), F.struct(stamp.alias("stamp"), rest.alias("rest"), F.when(bracket, "ios").otherwise("android").alias("style")))
+
+
+def limits(lines: DataFrame, most_bytes: int = v.EXPORT_BYTES, most_messages: int = v.EXPORT_MESSAGES) -> DataFrame:
+    """(file, n_bytes, n_messages, refusal): what a file holds, line ends included, and why it is refused ("bytes" or "messages"; null: it isn't)."""
+    start = stamped(x.visible(F.regexp_replace("raw", r"[\r\n]+$", ""))).isNotNull()
+    sums = lines.groupBy("file").agg(F.sum(F.octet_length("raw") + 1).alias("n_bytes"), F.count_if(start).alias("n_messages"))
+    return sums.withColumn("refusal", F.when(F.col("n_bytes") > most_bytes, "bytes").when(F.col("n_messages") > most_messages, "messages"))
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -42,14 +49,14 @@ def classified(lines: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).drop("at")
 
 
-def sniff(lines: DataFrame) -> DataFrame:
-    """A row for each file of what its lines suggest: dayfirst, evidence, style, is_12h, has_seconds, samples. Nothing is decided here."""
-    found = classified(lines).where("kind = 'start'").select("file", "n", "start.*")
-    first, second, short = _parts(F.col("stamp"))
+def sniff(lines: DataFrame, first: int = v.SNIFF_LINES) -> DataFrame:
+    """A row for each file of what its first lines suggest: dayfirst, evidence, style, is_12h, has_seconds, samples. Nothing is decided here."""
+    found = classified(lines).where((F.col("kind") == "start") & (F.col("n") <= first)).select("file", "n", "start.*")
+    one, two, short = _parts(F.col("stamp"))
     over = lambda c: F.coalesce(F.max(F.when(short, c > 12)), F.lit(False))
     head = F.min(F.struct("n", "stamp", "style"))
     sums = found.groupBy("file").agg(
-        over(first).alias("_first"), over(second).alias("_second"), head.alias("_head"), F.slice(F.array_sort(F.collect_set(F.struct("n", "stamp"))), 1, v.PREVIEW).alias("_samples")
+        over(one).alias("_first"), over(two).alias("_second"), head.alias("_head"), F.slice(F.array_sort(F.collect_set(F.struct("n", "stamp"))), 1, v.PREVIEW).alias("_samples")
     )
     clock = F.coalesce(F.nullif(F.trim(F.regexp_extract("_head.stamp", ",(.*)$", 1)), F.lit("")), F.col("_head.stamp"))
     proof = evidence(F.col("_first"), F.col("_second"))

@@ -21,7 +21,10 @@ def without_replays(records: DataFrame, keys: list[str], at: str, horizon: str)
 
 
 def append_new(records: DataFrame, stored: VersionedTable, checkpoint: str, schema: str, tenant: str = "tenant_id") -> StreamingQuery:
-    """Add each micro-batch's records to a table, but for those it has, by either key, however old. A batch that is run again adds nothing."""
+    """Add each micro-batch's records to a table, but for those it has, by either key, however old. A batch that is run again adds nothing.
+
+    Of what is stored only the keys are read, and nothing is written again.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -29,7 +32,7 @@ def append_new(records: DataFrame, stored: VersionedTable, checkpoint: str, sche
         held = spark.createDataFrame([], schema) if held is None else held
         order = [F.col("sent_at"), F.col("content_hash")]
         fresh = ingest.either_key(ingest.not_stored(batch, held, tenant), [tenant], order).where("first").drop("first")
-        stored.overwrite(held.unionByName(fresh.select(*held.columns)))
+        stored.append(fresh.select(*held.columns))
 
     return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -60,7 +63,7 @@ def admitted(hits: DataFrame, key: str, at: str, row_id: str, most: int = 10, wi
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["_us", row_id], kind="stable")
+        pdf = pd.concat([p[[key, row_id, "_us"]] for p in batches]).sort_values(["_us", row_id], kind="stable")
         good = []
         for t in pdf["_us"].tolist():
             held = [h for h in held if h > t - width]
@@ -77,8 +80,12 @@ def admitted(hits: DataFrame, key: str, at: str, row_id: str, most: int = 10, wi
     return out.select(key, row_id, F.timestamp_micros("_us").alias(at), "let_in")
 
 
-def gate(messages: DataFrame, key: str, at: str, count: int = v.GATE_COUNT, age_s: int = v.GATE_AGE_S) -> DataFrame:
-    """(key, waiting, oldest, cause): fires once a key has ``count`` messages waiting, or its oldest has waited longer than ``age_s``."""
+def gate(messages: DataFrame, key: str, at: str, count: int = v.GATE_COUNT, age_s: int = v.GATE_AGE_S, arrived: str | None = None) -> DataFrame:
+    """(key, waiting, oldest, cause): fires once a key has ``count`` messages waiting, or its oldest has waited longer than ``age_s``.
+
+    ``at`` is when a message was sent, in whatever order they come: all are counted. What passes as now is when they ``arrived`` (a column that
+    grows as they come in; by default the clock), so no message is late.
+    """
     kind = messages.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, waiting long, oldest timestamp, cause string"
 
@@ -103,7 +110,8 @@ def gate(messages: DataFrame, key: str, at: str, count: int = v.GATE_COUNT, age_
             state.update((n, oldest))
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, oldest // 1000 + age_s * 1000 + 1))
 
-    rows = messages.withWatermark(at, "0 seconds").withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    now = F.current_timestamp() if arrived is None else F.col(arrived).cast("timestamp")
+    rows = messages.withColumn("_now", now).withWatermark("_now", "0 seconds").withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
     return rows.groupBy(key).applyInPandasWithState(step, schema, "n long, oldest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
