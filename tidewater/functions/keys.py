@@ -65,3 +65,19 @@ def signed_by(secret: bytes):
         return pd.Series([each(b, s) for b, s in zip(body, signature, strict=True)])
 
     return check
+
+
+def keyed_hash(secret: bytes):
+    """A function that hides an address: its keyed BLAKE2b hash of 16 bytes, as hexadecimal digits. Without the key it can't be guessed back."""
+
+    @F.pandas_udf(T.StringType())
+    def hidden(value: pd.Series) -> pd.Series:
+        return value.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), key=secret[:64], digest_size=16).hexdigest())
+
+    return hidden
+
+
+@F.pandas_udf(T.LongType())
+def lock_key(name: pd.Series) -> pd.Series:
+    """A number by which all that work on one thing can agree to wait: the BLAKE2b hash of its name, 8 bytes, signed."""
+    return name.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True))

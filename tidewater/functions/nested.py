@@ -40,6 +40,14 @@ def json_merge(old: Column, patch: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
+def json_laid_over(old: Column, patch: Column) -> Column:
+    """The object ``old`` with the keys of ``patch`` over it, as JSON text: values of any kind stay as they are; one level deep."""
+    kept = F.map_filter(F.coalesce(F.from_json(old, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, _: ~F.coalesce(F.array_contains(F.json_object_keys(patch), k), F.lit(False)))
+    body = F.regexp_replace(F.to_json(kept), r"^\{|\}$", "")
+    over = F.regexp_replace(patch, r"^\s*\{|\}\s*$", "")
+    return F.concat(F.lit("{"), F.concat_ws(",", F.nullif(body, F.lit("")), F.nullif(F.btrim(over), F.lit(""))), F.lit("}"))
+
+
 def json_has(text: Column, key: str) -> Column:
     """True if an object has a key, whatever its value."""
     return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))

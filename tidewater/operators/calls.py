@@ -13,6 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewater.functions import nested
+from tidewater.functions import vocabulary as v
 
 #: Levels of effort, from least to most.
 EFFORTS = ("none", "low", "medium", "high", "xhigh")
@@ -92,3 +96,52 @@ def events_of(outcomes: DataFrame, by: list[str], schema: str) -> DataFrame:
     """(by, event_no, fields): the events that completed answers hold. ``schema`` is an event's, as a DDL struct."""
     found = outcomes.where("status = 'completed'").select(*by, F.from_json("output", f"events array<struct<{schema}>>").alias("o"))
     return found.select(*by, F.posexplode("o.events").alias("event_no", "e")).select(*by, F.col("event_no").cast("long"), "e.*")
+
+
+def guarded(requests: DataFrame, spent: DataFrame, tenant: str, estimate: str, limit: str = "15") -> DataFrame:
+    """``requests`` with ``allowed``: those of a tenant that has spent its limit, or would with the requests before, are to be refused.
+
+    ``spent``: tenant and spent. Requests of a tenant go in order of ``request_no``, each counted by its ``estimate``.
+    """
+    before = F.sum(estimate).over(Window.partitionBy(tenant).orderBy("request_no").rowsBetween(Window.unboundedPreceding, -1))
+    rows = requests.join(spent.select(tenant, "spent"), tenant, "left")
+    return rows.withColumn("allowed", F.coalesce("spent", F.lit(0)) + F.coalesce(before, F.lit(0)) < F.lit(limit).cast("decimal(10,2)")).drop("spent")
+
+
+def replayed(requests: DataFrame, recorded: DataFrame, order: list) -> DataFrame:
+    """``requests`` with the ``response`` recorded under their number (from 1), in ``order``; null beyond the last. For runs that call nobody."""
+    numbered = requests.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a recorded run is small
+    return numbered.join(recorded.select(F.col("number").cast("long").alias("number"), "response"), "number", "left")
+
+
+def recorded(spark, path: str) -> DataFrame:
+    """(number, response): the files NNN.json of a recorded run."""
+    found = spark.read.option("wholetext", True).text(path)
+    return found.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("long").alias("number"), F.col("value").alias("response"))
+
+
+def settled(pairs: DataFrame, call: Callable[[dict], dict], instructions: str, at_once: int = 4) -> DataFrame:
+    """``pairs`` (existing and incoming: structs of events) with ``separate`` and ``merged``: what a model makes of two mentions that differ.
+
+    A merged event whose body begins by saying that they differ leaves both as they are. What they cite is put together from the two, never
+    taken from the answer; an answer that can't be read leaves the pair separate.
+    """
+    asked = F.concat(F.lit(instructions), F.lit("\n<existing>"), F.to_json("existing"), F.lit("</existing>\n<new>"), F.to_json("incoming"), F.lit("</new>"))
+    kind = pairs.schema["existing"].dataType
+    done = called(pairs.withColumn("prompt", asked), call, at_once=at_once)
+    answer = F.from_json("output", kind)
+    differ = F.upper(F.ltrim(F.coalesce(answer["body"], F.lit("")))).startswith(v.DIFFERENT)
+    apart = (F.col("status") != "completed") | answer.isNull() | differ
+    union = lambda f: nested.ordered_union(F.col(f"existing.{f}"), F.col(f"incoming.{f}"))
+    fields = [union(f.name).alias(f.name) if f.name in ("quotes", "source_message_handles") else answer[f.name].alias(f.name) for f in kind]
+    return done.select(*pairs.columns, apart.alias("separate"), F.when(~apart, F.struct(*fields)).alias("merged"))
+
+
+def strict(schema):
+    """A JSON schema as strict output wants it: no defaults, nothing but the properties named, and all of them required."""
+    if isinstance(schema, list):
+        return [strict(x) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    out = {k: strict(x) for k, x in schema.items() if k != "default"}
+    return out | ({"additionalProperties": False, "required": list(out.get("properties", {}))} if out.get("type") == "object" else {})

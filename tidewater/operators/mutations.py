@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Columns of an event that a hand edit keeps from being overwritten.
 PROTECTABLE = ("kind", "occurred_at", "occurred_at_precision", "title", "body", "details", "actor_member_id")
@@ -96,3 +97,35 @@ def cleared(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """``rows`` with references to rows that are gone set to null."""
     met = rows.join(gone.select(F.col(gone.columns[0]).alias("_gone")).distinct(), F.col(column) == F.col("_gone"), "left")
     return met.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*rows.columns)
+
+
+def linked(links: DataFrame, wanted: DataFrame, suffix: str = "@g.us") -> tuple[DataFrame, DataFrame]:
+    """The links after tenants asked for groups, and each wish's outcome: linked, moved, unchanged, conflict or not_a_group.
+
+    ``links``: tenant_id, group_external_id, one each way. ``wanted``: tenant_id, group_external_id, asked_at; of several wishes of a tenant the last
+    counts, of several tenants for a free group the first. A group that another tenant has, before these wishes, stays with it.
+    """
+    order = Window.partitionBy("tenant_id").orderBy(F.desc("asked_at"), "group_external_id")
+    last = wanted.withColumn("group_external_id", F.btrim("group_external_id")).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    owners = links.select("group_external_id", F.col("tenant_id").alias("_owner"))
+    own = links.select("tenant_id", F.col("group_external_id").alias("_had"))
+    rows = last.join(owners, "group_external_id", "left").join(own, "tenant_id", "left")
+    first = F.row_number().over(Window.partitionBy("group_external_id").orderBy("asked_at", "tenant_id"))
+    rows = rows.withColumn("_good", F.endswith("group_external_id", F.lit(suffix))).withColumn("_first", first)
+    outcome = (
+        F.when(~F.col("_good"), "not_a_group")
+        .when(F.col("_owner") == F.col("tenant_id"), "unchanged")
+        .when(F.col("_owner").isNotNull() | (F.col("_first") > 1), "conflict")
+        .when(F.col("_had").isNotNull(), "moved")
+        .otherwise("linked")
+    )
+    said = rows.select("tenant_id", "group_external_id", "asked_at", outcome.alias("outcome"))
+    new = said.where(F.col("outcome").isin("linked", "moved")).select("tenant_id", "group_external_id")
+    return links.join(new.select("tenant_id"), "tenant_id", "left_anti").unionByName(new), said
+
+
+def advanced(imports: DataFrame, progress: DataFrame) -> DataFrame:
+    """``imports`` (import_id, status, inserted_count) after ``progress`` (import_id, at, status, inserted_count): the last word on each counts; what it leaves null stays."""
+    last = progress.groupBy("import_id").agg(F.max_by(F.struct("status", "inserted_count"), F.struct("at", "status")).alias("_p"))
+    new = {c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) for c in ("status", "inserted_count")}
+    return imports.join(last, "import_id", "left").withColumns(new).drop("_p")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import history, messages, reading, scalars, streams  # noqa: F401  they register their queries
+from tidewater.plans import history, messages, reading, records, scalars, streams  # noqa: F401  they register their queries
 from tidewater.plans.registry import QUERIES
 
 
