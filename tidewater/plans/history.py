@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.functions import keys, nested, times
 from tidewater.functions import text as x
@@ -76,7 +77,7 @@ with m as (
     case when event_id % 5 = 0 then null else strftime(ts, '%Y-%m-%d') end as occurred_at,
     case event_id % 4 when 0 then 'date' when 1 then 'week' when 2 then 'month' else 'unknown' end as grain, case event_id % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 0 end as r,
     event_id % 7 <> 0 as is_future, case event_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, 'h' || (event_id % 6)::varchar as handle
-  from events where user_id < 40 and ts < timestamp '2024-01-08')
+  from events)
 """
 
 
@@ -98,8 +99,7 @@ def absorb_mentions(spark, sf_dir):
     """All mentions of an event as one: nothing is lost, the first names it, the finest date holds."""
     i = F.col("event_id")
     text = lambda c: F.lit(c).cast("string")
-    rows = events(spark, sf_dir).where((F.col("user_id") < 40) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp")))
-    rows = rows.select(
+    rows = events(spark, sf_dir).select(
         F.col("user_id").alias("tenant_id"),
         F.col("event_type").alias("dedup_key"),
         F.struct("ts", "event_id").alias("no"),
@@ -231,44 +231,42 @@ with p as (select conv_id, turn, row_number() over (partition by conv_id order b
 e as (
   select conv_id, turn as event_no, case when turn % 4 = 3 then 'zzz never said' else left(text, 30) end as quote, case when turn % 5 = 4 then 'c1' when turn % 7 = 6 then 'm99' else 'm' || place::varchar end as handle from p)
 select conv_id, event_no, case when handle = 'c1' then 'context_only_source' when handle = 'm99' then 'no_valid_handle' when event_no % 4 = 3 then 'invented_quotes' end as drop_reason,
-  (handle = 'c1' or handle = 'm99')::bigint as invalid_handles from e""")
+  (handle = 'c1' or handle = 'm99')::bigint as invalid_handles, case when handle not in ('c1', 'm99') and event_no % 4 <> 3 then conv_id::varchar || '-' || event_no::varchar end as owner from e""")
 def grounding(spark, sf_dir):
     """Extracted events whose handles and quotes the conversation doesn't bear out, and why."""
-    from tidewater.operators.reading import newest
-
-    turns = newest(table(spark, sf_dir, "conversations"), ["conv_id"], [F.asc("turn")], 1_000_000)
+    turns = table(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     at = F.timestamp_seconds(F.lit(1_720_000_000) + F.col("turn") * 60)
     primary = turns.select("conv_id", F.concat(F.lit("m"), F.col("place").cast("string")).alias("handle"), F.concat_ws("-", "conv_id", "turn").alias("id"), at.alias("sent_at"), F.col("role").alias("sender"), "text")
     context = turns.select("conv_id", F.lit("c1").alias("handle")).distinct()
     handle = F.when(F.col("turn") % 5 == 4, "c1").when(F.col("turn") % 7 == 6, "m99").otherwise(F.concat(F.lit("m"), F.col("place").cast("string")))
     quote = F.when(F.col("turn") % 4 == 3, "zzz never said").otherwise(F.upper(F.left("text", F.lit(30))))
     said = turns.select("conv_id", F.col("turn").alias("event_no"), F.array(handle).alias("source_message_handles"), F.array(quote).alias("quotes"), F.lit("2024-07-03").alias("occurred_at"), F.lit("date").alias("occurred_at_precision"))
-    return ev.grounded(said, primary, context, ["conv_id"], ZONE).select("conv_id", "event_no", "drop_reason", "invalid_handles")
+    found = ev.grounded(said, primary, context, ["conv_id"], ZONE, run=["conv_id"])
+    return found.select("conv_id", "event_no", "drop_reason", "invalid_handles", F.get("excerpts", F.lit(0))["message_id"].alias("owner"))
 
 
 @query("""
-with l as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as no from events where event_type = 'view')
-select user_id, count(*)::bigint as labels, count(*)::bigint as dated, 0::bigint as duplicates from l where no <= 12 group by user_id""")
+select user_id, count(*)::bigint as labels, count(distinct ts::date)::bigint as dated, (count(*) - count(distinct ts::date))::bigint as duplicates from events where event_type = 'view' group by user_id""")
 def run_scores(spark, sf_dir):
-    """Labelled events against those found: here each is found with its date."""
+    """Labelled events against those found, where all of one day compete: a day's first label takes one of them, and the others are its duplicates."""
     rows = events(spark, sf_dir).where("event_type = 'view'")
-    numbered = ev.numbered(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "no").where("no <= 12")
-    word = F.concat(F.lit("event"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    labels = numbered.select("user_id", F.col("no").alias("label_no"), F.lit("symptom").alias("kind"), F.array(word).alias("must_mention"), F.to_date("ts").alias("day"))
-    found = numbered.select("user_id", F.col("no").alias("event_no"), F.lit("symptom").alias("kind"), x.fold_case(F.concat(F.lit("An "), word)).alias("searchable"), F.to_date("ts").alias("day"))
+    numbered = ev.numbered(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "no")
+    word = F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"))
+    labels = numbered.select("user_id", F.col("no").alias("label_no"), F.lit("symptom").alias("kind"), F.array(word, F.lit("an event")).alias("must_mention"), F.to_date("ts").alias("day"))
+    found = numbered.select("user_id", F.col("no").alias("event_no"), F.lit("symptom").alias("kind"), x.fold_case(F.concat(F.lit("An  Event of "), word)).alias("searchable"), F.to_date("ts").alias("day"))
     roles = ev.assigned(ev.scored(labels, found, ["user_id"], F.col("l.day") == F.col("p.day")), ["user_id"])
     hits = roles.groupBy("user_id").agg(F.count_if(F.col("role") == "dated").alias("dated"), F.count_if(F.col("role") == "duplicate").alias("duplicates"))
     return labels.groupBy("user_id").agg(F.count("*").alias("labels")).join(hits, "user_id").select("user_id", "labels", "dated", "duplicates")
 
 
 @query("""
-with e as (select user_id as tenant_id, event_id as record_no, ts, event_type from events where user_id < 60),
+with e as (select user_id as tenant_id, event_id as record_no, ts, event_type from events),
 r as (select *, case when record_no % 9 = 0 then 'orphaned' when event_type = 'error' then 'protected' when event_type = 'click' then 'updated' else 'inserted' end as outcome from e)
 select tenant_id, outcome, count(distinct case when outcome in ('updated', 'inserted') then event_type else record_no::varchar end)::bigint as n from r group by all""")
 def prepared_records(spark, sf_dir):
     """A run's records before they are written: without sources, protected, new, or further evidence."""
     i, none = F.col("event_id"), F.lit(None).cast("timestamp")
-    rows = events(spark, sf_dir).where("user_id < 60")
+    rows = events(spark, sf_dir)
     source = F.struct(i.cast("string").alias("message_id"), times.iso(F.col("ts")).alias("sent_at"), F.lit("s").alias("sender"), F.lit("q").alias("quote"))
     records = rows.select(
         F.col("user_id").cast("string").alias("tenant_id"), F.col("event_type").alias("dedup_key"), i.alias("record_no"), none.alias("occurred_at"), F.array(i.cast("string")).alias("source_message_ids"),

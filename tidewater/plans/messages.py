@@ -129,16 +129,24 @@ def batch_either_key(spark, sf_dir):
 @query("""
 select n_regionkey::varchar as tenant_id, s_suppkey as sender, n_name as display_name from supplier join nation on s_nationkey = n_nationkey""")
 def resolve_senders(spark, sf_dir):
-    """Suppliers write under their nation's name, in odd letters: each is the nation's member."""
-    nation = table(spark, sf_dir, "nation")
-    none = F.lit(None).cast("string")
-    members = nation.select(F.col("n_regionkey").cast("string").alias("tenant_id"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("member_id"), F.col("n_name").alias("display_name"), none.alias("wa_jid"), none.alias("wa_lid"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    said = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    odd = F.when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
-    senders = said.select(F.col("n_regionkey").cast("string").alias("tenant_id"), none.alias("wa_jid"), none.alias("wa_lid"), odd.alias("display_name"), F.col("s_suppkey").alias("sender"))
+    """Suppliers write for their nation: from its number under no name of its own, from its hidden number, or under its name in odd letters."""
+    nation, n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("s_suppkey")
+    number = lambda mark, where: F.when(where, F.concat(F.lit(mark), n.cast("string"), F.lit("@s.net")))
+    members = nation.select(
+        F.col("n_regionkey").cast("string").alias("tenant_id"), F.concat(F.lit("m"), n.cast("string")).alias("member_id"), F.col("n_name").alias("display_name"),
+        number("4470000000", n % 2 == 0).alias("wa_jid"), number("9900000000", n % 3 == 0).alias("wa_lid"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+    said = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == n)
+    by_jid, by_lid = (n % 2 == 0) & (k % 2 == 0), (n % 3 == 0) & (k % 2 == 1)
+    odd = F.when(by_jid, "Nobody").when(by_lid, None).when(k % 4 < 2, F.lower("n_name")).otherwise(F.col("n_name"))
+    senders = said.select(F.col("n_regionkey").cast("string").alias("tenant_id"), number("4470000000", by_jid).alias("wa_jid"), number("9900000000", by_lid).alias("wa_lid"), odd.alias("display_name"), k.alias("sender"))
     resolved, after = ing.resolve(senders, members)
-    met = senders.join(resolved.drop("wa_jid", "wa_lid", "is_new"), ["tenant_id", "display_name"])
-    return met.drop("display_name").join(after.select("tenant_id", "member_id", "display_name"), ["tenant_id", "member_id"]).select("tenant_id", "sender", "display_name")
+    asked = resolved.select("member_id", *[F.col(c).alias(f"_{c}") for c in ("tenant_id", "wa_jid", "wa_lid", "display_name")])
+    same = senders["tenant_id"] == F.col("_tenant_id")
+    for c in ("wa_jid", "wa_lid", "display_name"):
+        same = same & senders[c].eqNullSafe(F.col(f"_{c}"))
+    met = senders.join(asked, same).select("tenant_id", "sender", "member_id")
+    return met.join(after.select("tenant_id", "member_id", "display_name"), ["tenant_id", "member_id"]).select("tenant_id", "sender", "display_name")
 
 
 @query("""

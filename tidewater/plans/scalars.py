@@ -74,21 +74,30 @@ def time_renderings(spark, sf_dir):
 
 @query("""
 select event_id, case event_id % 6 when 5 then null else date_trunc('second', ts) end as sent_at,
-  case when value = 0 then null else case when event_id % 2 = 0 then value else (value * 10000) / 1000 end end as seconds from events where value * 10000 > 6000 and value <= 6000""")
+  case when n > 6000 then n / 1000 when n > 0 then n end as seconds from (select *, case when event_id % 2 = 0 then value else value * 10000 end as n from events)""")
 def sniffed_values(spark, sf_dir):
     """Instants and durations whose unit has to be guessed."""
     i, ts = F.col("event_id"), F.col("ts")
     raw = F.when(i % 6 == 0, F.unix_timestamp(ts).cast("string")).when(i % 6 == 1, (F.unix_timestamp(ts) * 1000).cast("string")).when(i % 6 == 2, times.iso(ts))
     raw = raw.when(i % 6 == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(i % 6 == 4, F.concat(F.date_format(ts + F.expr("interval 1 hour"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))).otherwise("soon")
     payload = F.when(i % 2 == 0, F.to_json(F.struct(F.col("value").alias("duration")))).otherwise(F.to_json(F.struct(F.struct((F.col("value") * 10000).alias("seconds")).alias("audio"))))
-    rows = events(spark, sf_dir).where("value * 10000 > 6000 and value <= 6000")
-    return rows.select("event_id", times.sniffed(raw).alias("sent_at"), times.duration(payload).alias("seconds"))
+    return events(spark, sf_dir).select("event_id", times.sniffed(raw).alias("sent_at"), times.duration(payload).alias("seconds"))
 
 
-@query("""
-select doc_id, case when text is null then false else regexp_matches(lower(text), 'collapsed|overdose|seizure') end as emergency_like from documents where text is null or not regexp_matches(lower(text), 'breath|chest|head|stroke')""")
+#: Words that each kind of emergency may be told in, in the order of ``vocabulary.EMERGENCIES``.
+_CALLS = (
+    "is unresponsive", "was unconscious", "passed out", "collapsed", "isn't breathing", "is struggling to breathe", "has chest pain", "has pain in her chest", "banged her head", "has a head injury",
+    "had a seizure", "is convulsing", "is turning blue", "is bleeding badly", "'s mouth has dropped", "is slurring her speech", "- can't wake her", "- cannot get her up", "took too many of them", "took an overdose",
+)
+
+
+@query(f"""
+select doc_id, coalesce(regexp_matches(text, $$(?i){"|".join(v.EMERGENCIES)}$$), false) as emergency_like from documents
+union all select -i, true from range(1, {len(v.EMERGENCIES) + 1}) t(i)""")
 def emergencies(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is null or not rlike(lower(text), 'breath|chest|head|stroke')")
+    """Texts in which help is called for; and a phrase of each kind, by negative numbers."""
+    said = [(-i, f"so mum {p} just now".upper()) for i, p in enumerate(_CALLS, 1)]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
     return docs.select("doc_id", x.emergency(F.col("text")).alias("emergency_like"))
 
 

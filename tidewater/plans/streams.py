@@ -67,8 +67,7 @@ def stream_admission(spark, sf_dir):
     return flows.drained(flows.admitted(rows, "user_id", "ts", "event_id", 2, 86400), folder(spark), "admission").select("user_id", "event_id", "let_in")
 
 
-@query("select user_id, count(*)::bigint as waiting, min(ts) as oldest, 'count' as cause from events group by user_id having count(*) >= 40")
+@query("select user_id, count(*)::bigint as waiting, min(ts) as oldest, case when count(*) >= 40 then 'count' else 'age' end as cause from events group by user_id")
 def stream_gate(spark, sf_dir):
-    """Users with enough messages waiting, as they come in; all of the first files are one batch."""
-    fired = flows.drained(flows.gate(events(spark, sf_dir).select("user_id", "ts"), "user_id", "ts", 40, 10**9), folder(spark), "gate")
-    return fired.where("cause = 'count'")
+    """Users with enough messages waiting as they come in, or whose oldest, by the clock, has waited long enough."""
+    return flows.drained(flows.gate(events(spark, sf_dir).select("user_id", "ts"), "user_id", "ts"), folder(spark), "gate")
