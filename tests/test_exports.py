@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from tidewater.sources import exports, storage
 
-IOS = """[14/07/2026, 21:04:11] Sarah: she had a bad night
-up four times
+IOS = """[14/07/2026, 21:04:11] Sarah: the cat slept on the sofa
+then under it
 
-and again at five
+and back on it
 [14/07/2026, 21:09:00] ~ Tom: I'll ring them
 17/03/2026, 09:1 - broken line
 [14/07/2026, 21:10:00] Messages and calls are end-to-end encrypted.
 [14/07/2026, 21:11:00] Tom: ‎<attached: 00000012-PHOTO-2026.jpg>
-[14/07/2026, 21:12:00] Tom: Mum added salt to everything
+[14/07/2026, 21:12:00] Tom: the bins go out on Friday
 [14/07/2026, 21:13:00] Tom: added Jean
 [14/07/2026, 21:14:00] Tom: letter.pdf (file attached)
 """
@@ -34,7 +34,7 @@ def parsed(spark, tmp_path_factory):
 def test_messages(parsed):
     rows = parsed[0].orderBy("source_ordinal").collect()
     assert [r.message_type for r in rows] == ["text", "text", "system", "image", "text", "system", "document"]
-    assert rows[0].text == "she had a bad night\nup four times\n\nand again at five"
+    assert rows[0].text == "the cat slept on the sofa\nthen under it\n\nand back on it"
     assert [r.sender_display_name for r in rows[:3]] == ["Sarah", "Tom", None]
     assert str(rows[0].sent_at) == "2026-07-14 20:04:11"
     assert [r.system_kind for r in rows if r.system_kind] == ["encryption", "member_added"]
@@ -47,7 +47,7 @@ def test_every_line_is_accounted_for(parsed):
     assert r.messages + r.system_lines + r.continuations + r.unparsed_lines == r.total_lines == 11
     assert (r.unparsed_lines, r.unparsed_samples) == (1, ["17/03/2026, 09:1 - broken line"])
     assert r.senders == {"Sarah": 1, "Tom": 4}
-    assert r.preview_head[0].startswith("she had") and r.preview_tail[-1].startswith("letter.pdf")
+    assert r.preview_head[0].startswith("the cat") and r.preview_tail[-1].startswith("letter.pdf")
 
 
 def test_lines_of_messages(parsed):
