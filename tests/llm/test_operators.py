@@ -288,10 +288,10 @@ def test_every_prefix_has_its_shares(spark):
     slots = {r.mix_slot: r.source or "" for r in out}
     assert sorted(slots) == list(range(len(slots)))
     first = max(r.mix_slot for r in out if r.mix_phase == 0) + 1
-    parts, seen = mixing.whole_parts({"a": 2.0, "b": 1.0, "": 1.0}), Counter()
+    shares, seen = {"a": 0.5, "b": 0.25, "": 0.25}, Counter()
     for slot in range(first):
         seen[slots[slot]] += 1
-        assert all(abs(seen[s] - parts[s] / mixing.UNITS * (slot + 1)) < 1 for s in parts)
+        assert all(abs(seen[s] - w * (slot + 1)) < 1 for s, w in shares.items())
     assert mixing.mix(docs.where("false")).count() == 0
     # Slots, releases and deadlines of a block are those of its number in its phase.
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
@@ -317,6 +317,48 @@ def test_shares_are_those_of_the_weights_given(n_sources, blocks):
     assert seen["hot"] == blocks * 0.5
 
 
+@pytest.mark.parametrize("weights", [(2.0, 1.0), (1.0, 1e-6), (2**0.5, 3**0.5, 3.14159265, 1 / 7), (5.0, 5.0, 5.0)])
+def test_deviation_stays_below_a_block_for_long(weights):
+    from fractions import Fraction
+
+    total, slots = sum(Fraction(w) for w in weights), 100_000
+    shares, seen = [Fraction(w) / total for w in weights], [0] * len(weights)
+    for s, _, phase, slot, *_ in mixing.schedule([(str(i), slots, w) for i, w in enumerate(weights)]):
+        if slot == slots or phase:
+            break
+        seen[int(s)] += 1
+        if slot % 97 == 0 or slot > slots - 50:
+            assert all(abs(n - share * (slot + 1)) < 1 for n, share in zip(seen, shares, strict=True))
+    assert slot >= slots - 1
+
+
+def test_schedule_is_that_of_a_plain_search():
+    """At each slot, of all released blocks the one of earliest deadline, then largest weight, then least name."""
+    r = random.Random(14)
+    for _ in range(20):
+        given = [(f"s{i}", r.randint(1, 30), float(r.randint(1, 9))) for i in range(r.randint(1, 5))]
+        left = {s: n for s, n, _ in given}
+        weight, used, want = {s: int(w) for s, _, w in given}, Counter(), []
+        while left:
+            total, done = sum(weight[s] for s in left), Counter()
+            for slot in range(10**6):
+                ready = [s for s in left if done[s] * total // weight[s] <= slot]
+                s = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weight[s]), -weight[s], s))
+                want.append((s, used[s]))
+                done[s] += 1
+                used[s] += 1
+                if used[s] == left[s]:
+                    del left[s]
+                    break
+        assert [(s, k) for s, k, *_ in mixing.schedule(given)] == want
+
+
+def test_mixing_odd_rows(spark, odd):
+    out = mixing.mix(odd, block=2)
+    assert out.count() == odd.count() and out.select("mix_position").distinct().count() == odd.count()
+    assert set(out.columns) == set(odd.columns) | {"mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position"}
+
+
 def test_more_sources_than_a_driver_would_list(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("site"), F.col("id") % 1500)).alias("source"))
     out = mixing.mix(docs, block=4).collect()
@@ -544,6 +586,42 @@ def test_pipeline(spark):
     assert leaked == 0 and simhash.near_duplicates(before).where("doc_id <> component_id").count() == 0
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, odd, none, name, stage):
+    """Nulls, empty and long texts, repeated rows, columns of other names; and no rows at all. Labels and items are those of the test tables."""
+    after = stage(spark, odd, SF)
+    assert set(corpus_pipeline.COLUMNS) <= set(after.columns) and after.count() <= odd.count()
+    assert after.select("doc_id", "text").exceptAll(odd.select("doc_id", "text")).count() == 0 or name == "line dedup"
+    assert stage(spark, none, SF).count() == 0
+
+
+def test_accepted_are_those_predicted(spark):
+    docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
+    found = queries.op4_quality_classifier(spark, SF).where("predicted = 1").select("doc_id")
+    assert sorted(found.collect()) == sorted(subwords.accepted(docs, labels).select("doc_id").collect())
+
+
+def test_classifiers_in_another_script(spark):
+    """Letters of two bytes: n-grams are of characters."""
+    from tidewater.llm.common import subword_buckets
+
+    flat, n = subword_buckets(["дом".encode(), b"dom"], (1, 2), 20)
+    assert n.tolist() == [1 + 5 + 4] * 2
+    r = random.Random(15)
+    words = {"ru": ["дом", "кот", "лес", "река", "снег"], "el": ["σπίτι", "γάτα", "δάσος", "ποτάμι", "χιόνι"], "zh": ["房子", "猫", "森林", "河", "雪"]}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(12)), k, "s", 0) for i, k in enumerate(r.choice(list(words)) for _ in range(240))]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = language.identify(docs, language.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.count() > 30 and found.where("lang_pred <> lang").count() == 0
+    assert [language.has_letter(t.encode()) for t in ("½ ² ① 7", "ß", "猫", "_", "½a")] == [False, True, True, False, True]
+
+
+def test_many_languages_take_fewer_buckets(spark):
+    rows = [(i, f"word{i % 600} " * 5, f"l{i % 600:03d}", "s", 0) for i in range(2400)]
+    model = language.fit(spark.createDataFrame(rows, DOCS), weights=1 << 18)
+    assert len(model.languages) > 550 and model.bits == 8
+
+
 def test_held_out_is_by_id(spark):
     import zlib
 

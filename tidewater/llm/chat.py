@@ -70,13 +70,16 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
     text. A null text or role counts as empty. ``segments`` is an array of (text, loss): for each turn its header,
     its escaped text and its end mark; only texts of learned roles carry loss. ``formatted`` is the segments' texts in
     order. Conversations that are not valid are formatted all the same; ``state`` says where the machine ended ("invalid"
-    if a turn was out of order). Rows with a null conv_id make one conversation. Other columns are ignored.
+    if a turn was out of order). Each row with a null conv_id is a conversation of its own. Other columns are ignored. A conversation is one row, as
+    its format is one text. Repeated rows are turns like any other.
     """
     rows = turns.select(
         F.col("conv_id"),
         F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
+    # Rows that no conversation claims stand alone, and are never gathered.
+    known = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
+    talks = known.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     moves = F.create_map(*[F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\n{role}", to)])
     step = lambda state, t: F.coalesce(F.element_at(moves, F.concat(state, F.lit("\n"), t["role"])), F.lit("invalid"))
     learned = F.array(*[F.lit(r) for r in template.learned])

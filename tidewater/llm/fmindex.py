@@ -56,9 +56,9 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         # A separator at either end, so that every symbol has one before it.
-        self.text = np.concatenate([[0], symbols, [0]]).astype(np.int64)
+        self.text = np.concatenate([[0], symbols, [0]]).astype(np.int32)
         self.depth = depth
-        self.order = suffix_order(self.text, depth + 1)
+        self.order = suffix_order(self.text, depth + 1).astype(np.int32)
         largest = int(self.text.max())
         self.wavelet = WaveletMatrix(self.text[self.order - 1], largest)
         counts = np.bincount(self.text, minlength=largest + 1)
@@ -96,5 +96,5 @@ class FMIndex:
             return np.zeros(0, np.int64)
         lows, at, which = np.unique(low, return_index=True, return_inverse=True)
         cuts = np.stack([lows, high[at]], axis=1).ravel()
-        padded = np.append(self.order, np.iinfo(np.int64).max)
-        return np.minimum.reduceat(padded, cuts)[::2][which] - 1
+        padded = np.append(self.order, np.iinfo(np.int32).max)
+        return np.minimum.reduceat(padded, cuts)[::2][which].astype(np.int64) - 1

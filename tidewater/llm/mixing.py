@@ -18,30 +18,19 @@ from pyspark.sql.window import Window
 
 from tidewater.llm.common import written
 
-#: Whole parts that weights are shown in.
-UNITS = 1000
 #: Documents in a block.
 BLOCK = 64
 #: Documents in a bucket within which places are counted, at most about, and buckets of a source at most.
 BUCKET, MOST_BUCKETS = 1024, 65_536
 
 
-def whole_parts(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
-    """Weights as whole parts of ``units``, one at least each; the largest remainders are rounded up, ties by name."""
-    total = sum(weights.values())
-    spare = units - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    parts = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: units - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
 def release(k: int, part: int, units: int) -> int:
+    """The first slot in which block ``k`` of a source of ``part`` in ``units`` may stand."""
     return k * units // part
 
 
 def deadline(k: int, part: int, units: int) -> int:
+    """The slot before which it must have stood."""
     return -(-(k + 1) * units // part)
 
 
@@ -145,7 +134,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
     ``weights`` are the target weights by source; sources without one weigh as the least of those given. Without
     ``weights``, a source weighs the square root of its count of documents. A null source is a source of its own, by the name "".
-    Rows with a null doc_id, and repeated ones, are placed like any other. Columns with the added names are replaced.
+    Rows with a null doc_id, and repeated ones, are placed like any other, in any order among those that are wholly alike in it. Sources of equal weight
+    go in order of their names where their deadlines agree. Columns with the added names are replaced.
     An empty table gives an empty result. Any number of sources will do; the table of sources never reaches the driver.
     """
     added = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position")

@@ -141,11 +141,11 @@ def _op3_sql() -> str:
     safe = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '</turn>', '&lt;/turn>'), '###', '##&num;')"
     return f"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as own from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok', null union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok', null),
 m as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
-    lag(role) over (partition by conv_id order by turn nulls first, role, text) as was from t),
+  select *, row_number() over (partition by conv_id, own order by turn nulls first, role, text) as k,
+    lag(role) over (partition by conv_id, own order by turn nulls first, role, text) as was from t),
 j as (
   select *, case when k = 1 then role in ('system', 'user') when role = 'user' then was in ('system', 'assistant') when role = 'assistant' then was = 'user' else false end as ok
   from m),
@@ -154,7 +154,7 @@ g as (
     coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '') as loss,
     sum(length('### ' || replace({safe("role")}, ':', '&colon;') || ': ' || {safe("text")} || '</turn>' || chr(10)))::bigint as formatted_chars,
     bool_and(ok) as in_turn, arg_max(role, k) as last
-  from j group by conv_id)
+  from j group by conv_id, own)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars,
   in_turn and last = 'assistant' as valid,
   case when not in_turn then 'invalid' when last = 'assistant' then 'answered' when last = 'user' then 'asked' else 'told' end as state
