@@ -193,7 +193,8 @@ def learned(rows: DataFrame, learn: Callable[[Iterator[pa.RecordBatch]], bytes],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"model": pa.array([learn(batches)], pa.binary())})
 
-    return bytes(rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()[0])
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    return bytes(found[0]) if found else learn(iter(()))  # without rows Spark may run no task
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
