@@ -20,8 +20,6 @@ from tidewater.llm.common import components, gram_hashes, map_rows, mixed, texts
 WORDS, ALIKE, PARTS = 5, 4, 5
 #: Documents, about, in which common shingles are counted, and shingles that may be named common; fixed, whatever the size of the corpus.
 SAMPLE, COMMON = 4096, 100_000
-#: Texts that share a shingle above which those alike to one of them aren't paired with each other.
-CROWDED = 128
 #: Longs of a text's bitmap: a bit for each hash of 512, odd or even by its shingles.
 LONGS = 8
 BITS = [f"b{i}" for i in range(LONGS)]
@@ -129,16 +127,15 @@ def perhaps_alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(map_rows(joined, "a long, b long", compare), "near-perhaps")
 
 
-def similarity(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, only_alike: bool = False) -> DataFrame:
+def similarity(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, shared, united) of the pairs (a, b): how many shingles their texts share, and have together.
 
-    With ``only_alike``, pairs that bitmaps show not to be alike are left out before their texts are moved.
+    Pairs that wide bitmaps show not to be alike are left out before their texts are moved.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "tag"), "node")
     all_texts = docs.select(F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
     texts = written(all_texts.join(wanted.select("tag").distinct(), "tag", "left_semi").dropDuplicates(["tag"]).join(wanted, "tag").select("node", "text"), "near-texts")
-    if only_alike:
-        pairs = perhaps_alike(pairs, texts)
+    pairs = perhaps_alike(pairs, texts)
 
     def work():
         def each(batch):
@@ -157,45 +154,52 @@ def similarity(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, only_alike:
     return map_rows(joined, "a long, b long, shared long, united long", work)
 
 
-def alike(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Edges (a, b) that join the same components as all pairs of alike sets would.
-
-    ``firsts`` has (key, node, n) for each first shingle. Texts that share one of up to ``crowded`` texts are paired. Of more,
-    each is compared with one pivot first. Those alike to it are in its component and aren't paired with each other;
-    nor with those too far from the pivot to be alike to any of them, as Jaccard distance is a metric.
-    """
-    places = F.min("node").alias("pivot"), F.max("node").alias("last")
-    shared = written(firsts.groupBy("key").agg(*places).where("pivot <> last").select("key", "pivot"), "near-keys")
-    rows = written(firsts.join(shared, "key").distinct(), "near-firsts")
-    sizes = written(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowded).select("key"), "near-crowds")
-    quiet = rows.join(sizes, "key", "left_anti").select("key", "node", "n")
-    like_sizes = (PARTS * F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
-    side = lambda df, s, *on: df.select(*on, F.col("node").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = side(quiet, "a", "key").join(side(quiet, "b", "key"), "key").where(like_sizes).select("a", "b")
-    near = F.expr(f"{PARTS} * shared >= {ALIKE} * united").alias("near")
-    edges = None
-    if not sizes.isEmpty():
-        crowd = written(rows.join(sizes, "key"), "near-crowd")
-        to_pivot = crowd.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        judged = written(similarity(to_pivot, nodes, docs), "near-pivots")
-        edges = judged.where(near).select("a", "b")
-        # 0: alike to the pivot. 1: within twice that distance. 2: further away.
-        far = F.when(near, 0).when(F.expr(f"{PARTS} * shared >= {2 * ALIKE - PARTS} * united"), 1).otherwise(2)
-        kinds = judged.select(F.col("a").alias("pivot"), F.col("b").alias("node"), far.alias("kind"))
-        placed = written(crowd.where("node <> pivot").join(kinds, ["pivot", "node"]), "near-placed")
-        meets = F.when(F.col("kind") == 0, F.array(F.lit(1))).when(F.col("kind") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
-        left = side(placed.withColumn("meets", F.explode(meets)), "a", "key", F.col("meets").alias("kind"))
-        pairs = pairs.unionByName(left.join(side(placed, "b", "key", "kind"), ["key", "kind"]).where(like_sizes).select("a", "b"))
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike: bitmaps rule most of the others out, then texts decide."""
     maps = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(b).alias(f"{b}_{s}") for b in BITS])
     apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS), F.lit(0))
     # Alike sets differ in at most this share of their sizes' sum.
     few = apart * (PARTS + ALIKE) <= (F.col("n_a") + F.col("n_b")) * (PARTS - ALIKE)
-    pairs = written(pairs.distinct().join(maps("a"), "a").join(maps("b"), "b").where(few).select("a", "b"), "near-pairs")
-    found = similarity(pairs, nodes, docs, only_alike=True).where(near).select("a", "b")
-    return found if edges is None else found.unionByName(edges)
+    left = written(pairs.join(maps("a"), "a").join(maps("b"), "b").where(few).select("a", "b"), "near-pairs")
+    return similarity(left, nodes, docs).where(f"{PARTS} * shared >= {ALIKE} * united").select("a", "b")
 
 
-def one_of_each(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def joined(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of the edges ``known`` (a, b) and of all pairs of alike sets; alike sets share a first shingle.
+
+    ``firsts`` has (key, node, n) for each first shingle. At first each text is compared with one of each first shingle's texts: that whose own
+    first shingles are shared most, as those of a text are that others were copied from. What is joined by then needs no comparison, so of a
+    shingle's texts only those outside its largest group are compared with those of other groups.
+    """
+    ends = F.min("node").alias("low"), F.max("node").alias("high")
+    shared = written(firsts.groupBy("key").agg(*ends, F.count("*").alias("size")).where("low <> high").select("key", "size"), "near-keys")
+    rows = written(firsts.join(shared.hint("merge"), "key").distinct(), "near-firsts")
+    fame = rows.groupBy("node").agg(F.sum("size").alias("fame"))
+    pivot = rows.join(fame.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("p"))
+    like_sizes = PARTS * F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b")
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = rows.join(pivot.hint("merge"), "key").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("p.node").alias("b"), F.col("p.n").alias("n_b"))
+    tried = written(pair(stars.where((F.col("a") != F.col("b")) & like_sizes)), "near-stars")
+    groups = written(components(verified(tried, nodes, docs).unionByName(known)), "near-groups")
+    of = rows.join(groups.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
+    sizes = of.groupBy("key", "group").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "group")).alias("m"), F.count("*").alias("groups"))
+    apart = written(of.join(sizes.where("groups > 1").select("key", F.col("m.group").alias("main")).hint("merge"), "key"), "near-apart")
+    side = lambda df, s: df.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("group").alias(f"g_{s}"), "main")
+    once = (F.col("g_a") != F.col("g_b")) & ((F.col("g_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    both = side(apart.where("group <> main"), "a").drop("main").join(side(apart, "b"), "key").where(once & like_sizes)
+    left = written(pair(both).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    if left.isEmpty():
+        return groups
+    group = lambda s: groups.select(F.col("node").alias(s), F.col("component").alias(f"g_{s}"))
+    more = verified(left, nodes, docs).join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b"))
+    top = written(components(more), "near-joined")
+    both = groups.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # Nodes that no edge had before are in no group: their own number is their group's.
+    fresh = top.join(groups, "node", "left_anti")
+    return both.unionByName(fresh)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of smallest doc_id.
 
     Texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or their fingerprints
@@ -206,13 +210,13 @@ def one_of_each(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     found = written(marked(docs), "near-marks")
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("least")
     nodes = written(found.groupBy("node", "fp", "n", *BITS).agg(F.min("tag").alias("tag"), place), "near-nodes")
-    edges = alike(nodes, found.select(F.explode("firsts").alias("key"), "node", "n"), docs, crowded)
-    near = components(simhash.links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "component")
-    close = nodes.select("node", "fp").join(near, "fp", "left").select("node", F.coalesce("component", "fp").alias("group"))
-    heads = close.groupBy("group").agg(F.min("node").alias("b"))
-    edges = edges.unionByName(close.join(heads, "group").where("node <> b").select(F.col("node").alias("a"), "b"))
-    joined = components(edges).select("node", "component")
-    labelled = nodes.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    # Texts of one fingerprint hang on the first of them, and linked fingerprints' first texts on each other; then one search joins all.
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
+    stars = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    head = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"head_{s}"))
+    linked = simhash.links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    near = joined(nodes, found.select(F.explode("firsts").alias("key"), "node", "n"), docs, stars.unionByName(linked))
+    labelled = nodes.select("node", "least").join(near, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     kept = labelled.groupBy("component").agg(F.min("least").alias("kept"))
     kept = labelled.join(kept, "component").select("node", "kept")
     gone = found.select("doc_id", "tag", "node").join(kept, "node").where(F.struct("doc_id", "tag") != F.col("kept")).where("doc_id is not null")
