@@ -57,11 +57,12 @@ def _resolve_tenant(key, senders: pd.DataFrame, members: pd.DataFrame) -> pd.Dat
         {"member_id": m.member_id, "display_name": text(m.display_name), "wa_jid": text(m.wa_jid), "wa_lid": text(m.wa_lid), "name_folded": text(m.name_folded), "created_at": m.created_at, "is_new": False}
         for m in members.itertuples()
     ]
-    by = {"wa_jid": {}, "wa_lid": {}}
+    by, named = {"wa_jid": {}, "wa_lid": {}}, {}
     for m in people:
         for k in by:
             if m[k]:
                 by[k][m[k]] = m
+        named.setdefault(m["name_folded"], []).append(m)
 
     def agrees(m: dict, s: dict) -> bool:
         return all(not m[k] or not s[k] or m[k] == s[k] for k in by)
@@ -72,7 +73,7 @@ def _resolve_tenant(key, senders: pd.DataFrame, members: pd.DataFrame) -> pd.Dat
         if s["wa_lid"] in by["wa_lid"]:
             m = by["wa_lid"][s["wa_lid"]]
             return m if agrees(m, s) else None
-        same = [m for m in people if s["name_folded"] and m["name_folded"] == s["name_folded"] and agrees(m, s)]
+        same = [m for m in named.get(s["name_folded"], ()) if s["name_folded"] and agrees(m, s)]
         return min(same, key=lambda m: (pd.isna(m["created_at"]), m["created_at"] if not pd.isna(m["created_at"]) else pd.Timestamp(0), m["member_id"]), default=None)
 
     rows = []
@@ -86,6 +87,7 @@ def _resolve_tenant(key, senders: pd.DataFrame, members: pd.DataFrame) -> pd.Dat
             m = {"member_id": str(uuid.uuid5(uuid.UUID(SPACE), said)), "display_name": name, "created_at": pd.NaT, "is_new": True}
             m |= {k: s[k] if s[k] and s[k] not in by[k] else None for k in by} | {"name_folded": s["name_folded"]}
             people.append(m)
+            named.setdefault(m["name_folded"], []).append(m)
             for k in by:
                 if m[k]:
                     by[k][m[k]] = m

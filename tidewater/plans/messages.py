@@ -10,7 +10,7 @@ from tidewater.functions import text as x
 from tidewater.operators import ingest as ing
 from tidewater.operators import sequences as s
 from tidewater.plans.reading import events
-from tidewater.plans.registry import query
+from tidewater.plans.registry import query, settled
 from tidewater.session import table
 from tidewater.sources import exports, webhook
 
@@ -27,25 +27,36 @@ def _export(spark, sf_dir):
     return rows.select("file", F.struct("turn", "i").alias("at"), "raw")
 
 
+def _odd_lines(spark, sf_dir):
+    """What else stands in each export: a line before all stamps, a notice of the app, and a picture that isn't there."""
+    first = F.timestamp_seconds(F.lit(1_720_000_020) + F.col("conv_id") * 86400 - 120)
+    head = F.concat(F.date_format(F.from_utc_timestamp(first, "Europe/London"), "dd/MM/yyyy, HH:mm"), F.lit(" - "))
+    lines = F.array(F.lit("Exported chat"), F.concat(head, F.lit("Messages and calls are end-to-end encrypted.")), F.concat(head, F.lit("user: \u200e<Media omitted>")))
+    talks = table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id").distinct()
+    return talks.select(F.col("conv_id").cast("string").alias("file"), F.posexplode(lines).alias("i", "raw")).select("file", F.struct(F.lit(-1).cast("long").alias("turn"), F.col("i").alias("i")).alias("at"), "raw")
+
+
 @query(r"""
 with t as (select conv_id, turn, role, text from conversations where length(text) > 0)
 select conv_id::varchar as file, (row_number() over (partition by conv_id order by turn) - 1)::int as source_ordinal, make_timestamp((1720000020 + conv_id * 86400 + turn * 60) * 1000000) as sent_at,
   role as sender_display_name, left(replace(replace(text, chr(160), ' '), chr(8239), ' '), 8000) as body from t""")
 def export_round_trip(spark, sf_dir):
     """Conversations written as chat exports and parsed back."""
-    messages, _ = exports.parse(_export(spark, sf_dir), "Europe/London", dayfirst=True)
+    messages, _ = exports.parse(_export(spark, sf_dir), "Europe/London", dayfirst=True, settle=settled)
     return messages.select("file", "source_ordinal", "sent_at", "sender_display_name", "body")
 
 
 @query(r"""
 with t as (select conv_id, turn, role, text, length(text) - length(replace(text, chr(10), '')) + 1 as lines from conversations where length(text) > 0)
-select conv_id::varchar as file, sum(lines)::bigint as total_lines, count(*)::bigint as messages, 0::bigint as system_lines, (sum(lines) - count(*))::bigint as continuations, 0::bigint as unparsed_lines,
-  make_timestamp(min(1720000020 + conv_id * 86400 + turn * 60) * 1000000) as first_sent_at, make_timestamp(max(1720000020 + conv_id * 86400 + turn * 60) * 1000000) as last_sent_at,
-  count(distinct role)::int as senders from t group by conv_id""")
+select conv_id::varchar as file, (sum(lines) + 3)::bigint as total_lines, (count(*) + 1)::bigint as messages, 1::bigint as system_lines, (sum(lines) - count(*))::bigint as continuations, 1::bigint as unparsed_lines,
+  1::bigint as media_placeholders, make_timestamp((1720000020 + conv_id * 86400 - 120) * 1000000) as first_sent_at, make_timestamp(max(1720000020 + conv_id * 86400 + turn * 60) * 1000000) as last_sent_at,
+  len(list_distinct(list_append(list(role), 'user')))::int as senders, 'Exported chat' as unparsed from t group by conv_id""")
 def parse_report(spark, sf_dir):
     """How the lines of each export were used, who spoke and when."""
-    found = exports.report(*exports.parse(_export(spark, sf_dir), "Europe/London", dayfirst=True))
-    return found.select("file", "total_lines", "messages", "system_lines", "continuations", "unparsed_lines", "first_sent_at", "last_sent_at", F.size("senders").alias("senders"))
+    lines = _export(spark, sf_dir).unionByName(_odd_lines(spark, sf_dir))
+    found = exports.report(*exports.parse(lines, "Europe/London", dayfirst=True, settle=settled))
+    counts = ("total_lines", "messages", "system_lines", "continuations", "unparsed_lines", "media_placeholders")
+    return found.select("file", *counts, "first_sent_at", "last_sent_at", F.size("senders").alias("senders"), F.array_join("unparsed_samples", ",").alias("unparsed"))
 
 
 @query("""

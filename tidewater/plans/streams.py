@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.plans.registry import query, utc
+from tidewater.plans.registry import folder, query, utc
 from tidewater.session import table
 from tidewater.streaming import flows
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, where the cluster names one; a temporary one only if everything runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-    return f"{named}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidewater-stream-")
-
-
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,13 +119,14 @@ def _straggler(dayfirst: bool):
     return parse
 
 
-def parse(lines: DataFrame, zone: str, dayfirst: bool) -> tuple[DataFrame, DataFrame]:
+def parse(lines: DataFrame, zone: str, dayfirst: bool, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """Messages and classified lines of exports. ``lines`` as ``read_lines`` gives them; no default guesses zone or day order.
 
     Messages: file, source_ordinal (from 0), n (line), sent_at (UTC), sender_display_name, text, message_type, system_kind, filename,
     mime_hint, body, raw, truncated, n_lines. Lines: as ``classified``, with the kind that each has in the end: those of a
     message whose stamp can't be read, and those beyond a body's limit, are unparsed.
-    Work on lines is dealt out by file; a file is bounded by the exporting app. An empty input gives empty outputs.
+    Work on lines is dealt out by file; a file is bounded by the exporting app. An empty input gives empty outputs. ``settle`` may write the
+    classified lines and read them again, so that what both outputs need is worked out once.
     """
     rows = classified(lines)
     order = Window.partitionBy("file", "record").orderBy("n")
@@ -135,8 +138,9 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool) -> tuple[DataFrame, DataF
     rows = rows.withColumn("_end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     over = (F.col("kind") == "continuation") & (F.col("_end") > v.BODY_CHARS)
     rows = rows.withColumn("_over", over).withColumn("kind", F.when(over, "unparsed").otherwise(F.col("kind"))).withColumn("_joined", F.col("_over") | (F.col("kind") != "unparsed"))
-    starts = rows.where("kind = 'start'").select("file", "record", "n", "start.stamp", "start.style", sender.alias("sender"))
-    piece = F.struct("n", F.when(F.col("kind") == "start", body).otherwise(F.col("line")).alias("piece"), "raw", (F.col("kind") != "unparsed").alias("own"))
+    rows = settle(rows.withColumns({"_sender": F.when(F.col("kind") == "start", sender), "_piece": F.when(F.col("kind") == "start", body).otherwise(F.col("line"))}))
+    starts = rows.where("kind = 'start'").select("file", "record", "n", "start.stamp", "start.style", F.col("_sender").alias("sender"))
+    piece = F.struct("n", F.col("_piece").alias("piece"), "raw", (F.col("kind") != "unparsed").alias("own"))
     bodies = rows.where("record > 0 and _joined").groupBy("file", "record").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("_over").alias("_over"))
     whole = F.array_join(F.transform("p", lambda q: q["piece"]), "\n")
     own = F.transform(F.filter("p", lambda q: q["own"]), lambda q: q["raw"])
