@@ -184,3 +184,45 @@ def test_chunks_are_those_of_a_row_by_row_walk(spark):
 
 def test_efforts_go_down_a_step():
     assert [calls.notch_down(e) for e in ("xhigh", "high", "medium", "low", "none")] == ["high", "medium", "low", "none", "none"]
+
+
+def test_chunks_too_large_are_asked_in_halves(spark, tmp_path):
+    """A model that can't take more than 40 lines: each message is answered once, and every call has a row in the audit."""
+    rows = [(1, 0, i + 1, f"line {i}") for i in range(150)] + [(1, 1, i + 1, f"other {i}") for i in range(20)]
+    chunks = spark.createDataFrame(rows, "t long, chunk_id long, chunk_place long, text string")
+
+    def render(some):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_place", "text"))), lambda x: x["text"])
+        return some.groupBy("t", "chunk_id").agg(F.array_join(lines, "\n").alias("prompt"))
+
+    def call(request):
+        n = request["prompt"].count("\n") + 1
+        return {"status": "truncated"} if n > 40 else {"output": json.dumps({"n": n}), "input_tokens": n, "output_tokens": 1}
+
+    settled = iter(range(100))
+
+    def settle(df):
+        path = str(tmp_path / f"round-{next(settled)}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    found = calls.called_down(chunks, ["t"], render, call, settle)
+    got = {r.chunk_id: (r.status, json.loads(r.output)["n"]) for r in found.collect()}
+    assert sum(n for _, n in got.values()) == 170 and {s for s, _ in got.values()} == {"completed"} and "1" in got and set(got) - {"1"} == {"0.1.1", "0.1.2", "0.2.1", "0.2.2"}
+    audit = calls.audited(found, VersionedTable(spark, str(tmp_path / "runs")), ["t", "chunk_id"], "extract", "m", {"m": ("5", "30")})
+    assert audit.count() == 5 and audit.where("cost > 0 and purpose = 'extract'").count() == 5
+
+
+def test_recorded_answers_are_replayed(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"{i:03d}.json").write_text(json.dumps({"n": i}))
+    requests = spark.createDataFrame([("b",), ("a",), ("c",)], "q string")
+    found = calls.replayed(requests, calls.recorded(spark, str(tmp_path)), [F.col("q")])
+    assert {r.q: r.response and json.loads(r.response)["n"] for r in found.collect()} == {"a": 1, "b": 2, "c": None}
+
+
+def test_strict_schemas():
+    loose = {"type": "object", "default": 1, "properties": {"a": {"type": "string", "default": "x"}, "b": {"anyOf": [{"type": "object", "properties": {}}, {"type": "null"}]}}}
+    tight = calls.strict(loose)
+    assert tight["required"] == ["a", "b"] and tight["additionalProperties"] is False and "default" not in tight and "default" not in tight["properties"]["a"]
+    assert tight["properties"]["b"]["anyOf"][0] == {"type": "object", "properties": {}, "additionalProperties": False, "required": []} and loose["default"] == 1

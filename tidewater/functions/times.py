@@ -124,3 +124,8 @@ def date_matches(said: Column, said_grain: Column, found: Column, found_grain: C
     a, b, grain = day(said, said_grain), day(found, found_grain), precision(said_grain)
     same = F.when(grain == "month", F.trunc(a, "month") == F.trunc(b, "month")).when(grain == "week", F.date_trunc("week", a) == F.date_trunc("week", b)).otherwise(a == b)
     return F.when(grain == "unknown", F.lit(True)).otherwise(F.coalesce(same, F.lit(False)))
+
+
+def from_wall_clock(shown: Column, zone: str) -> Column:
+    """The instant at which clocks of a zone show a time; of two, when they go back, the first."""
+    return F.to_utc_timestamp(shown.cast("timestamp"), zone)

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions import nested
+from tidewater.functions import money, nested
 from tidewater.functions import vocabulary as v
+from tidewater.operators import sequences
+from tidewater.sources.storage import VersionedTable
 
 #: Levels of effort, from least to most.
 EFFORTS = ("none", "low", "medium", "high", "xhigh")
@@ -79,14 +81,43 @@ def called(requests: DataFrame, call: Callable[[dict], dict], prompt: str = "pro
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [answered(call, {"prompt": p, "max_output": max_output, "effort": effort}) for p in pdf[prompt]]
-            done = pd.DataFrame({k: pd.Series([o.get(k) for o in out], pdf.index, object) for k in names})
-            for k in ("attempts", "input_tokens", "cached_input_tokens", "output_tokens"):
-                done[k] = done[k].fillna(0).astype("int32" if k == "attempts" else "int64")
+            kinds = {"attempts": "int32"} | {k: "int64" for k in ("input_tokens", "cached_input_tokens", "output_tokens")}
+            done = pd.DataFrame({k: pd.Series([o.get(k) or (0 if k in kinds else None) for o in out], pdf.index, kinds.get(k, object)) for k in names})
             yield pd.concat([pdf[columns], done], axis=1)
 
     return requests.repartition(at_once).mapInPandas(run, schema)
 
 
+def called_down(chunks: DataFrame, by: list[str], render: Callable[[DataFrame], DataFrame], call: Callable[[dict], dict], settle: Callable[[DataFrame], DataFrame], least: int = 30, rounds: int = 4, **options) -> DataFrame:
+    """Outcomes of chunks (by, chunk_id, chunk_place and what ``render`` makes a ``prompt`` for each chunk of): those too large are asked again in halves.
+
+    Halves of chunk "3" are "3.1" and "3.2"; chunks of ``least`` rows or fewer are left as they are. Each round is ``settle``d (written), so that
+    nobody is asked twice.
+    """
+    rest, found = chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")), None
+    for n in range(rounds + 1):
+        done = settle(called(render(rest), call, **options))
+        sizes = rest.groupBy(*by, "chunk_id").agg(F.max("chunk_place").alias("_n"))
+        split = (F.col("status") == "too_large") & (F.col("_n") > least) if n < rounds else F.lit(False)
+        judged = done.join(sizes, [*by, "chunk_id"])
+        kept = judged.where(~split).drop("_n")
+        found = kept if found is None else found.unionByName(kept)
+        large = judged.where(split).select(*by, "chunk_id")
+        if large.isEmpty():
+            break
+        halves, _ = sequences.halved(rest.join(large, [*by, "chunk_id"], "left_semi"), by, least)
+        rest = settle(halves.withColumn("chunk_id", F.concat_ws(".", "chunk_id", F.col("half").cast("string"))).drop("half"))
+    return found
+
+
+def audited(outcomes: DataFrame, runs: VersionedTable, by: list[str], purpose: str, model: str, prices: dict[str, tuple[str, str]]) -> DataFrame:
+    """The audit rows of calls (by, purpose, status, attempts, tokens, cost, error), added to ``runs``, whatever became of the calls."""
+    cost = money.token_cost(F.lit(model), F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), prices)
+    rows = outcomes.select(*by, F.lit(purpose).alias("purpose"), F.lit(model).alias("model"), "status", "attempts", "input_tokens", "cached_input_tokens", "output_tokens", cost.alias("cost"), "error")
+    runs.append(rows)
+    return runs.read()
+
+
 def prompts(transcripts: DataFrame, brief: str, instructions: str) -> DataFrame:
     """``transcripts`` (chunk columns, transcript) with ``prompt``."""
     return transcripts.withColumn("prompt", F.concat_ws("\n\n", F.lit(instructions), F.lit(brief), F.col("transcript")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions import keys
+
 #: Columns of an event that a hand edit keeps from being overwritten.
 PROTECTABLE = ("kind", "occurred_at", "occurred_at_precision", "title", "body", "details", "actor_member_id")
 
@@ -129,3 +131,8 @@ def advanced(imports: DataFrame, progress: DataFrame) -> DataFrame:
     last = progress.groupBy("import_id").agg(F.max_by(F.struct("status", "inserted_count"), F.struct("at", "status")).alias("_p"))
     new = {c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) for c in ("status", "inserted_count")}
     return imports.join(last, "import_id", "left").withColumns(new).drop("_p")
+
+
+def entered(events: DataFrame, event_id: str = "event_id") -> DataFrame:
+    """Events that a person wrote down: each is its own, by its id, and pinned, so that nothing extracted is merged into it."""
+    return events.withColumns({"dedup_key": keys.human_key(F.col(event_id)), "pinned": F.lit(True), "source_message_ids": F.array().cast("array<string>")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions import times
 from tidewater.functions import vocabulary as v
 
 
@@ -182,3 +183,10 @@ def awaiting_transcription(now: Column, on: bool = True, provider: str = "gatewa
 def pending(messages: DataFrame, now: Column, transcribing: bool = True) -> DataFrame:
     """Messages that nothing has been extracted from yet, but for system lines and notes whose words may still come."""
     return messages.where(F.col("extracted_at").isNull() & (F.col("message_type") != "system") & ~F.coalesce(awaiting_transcription(now, transcribing), F.lit(False)))
+
+
+def as_json(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(body): a JSON object for each row, of the columns that ``names`` maps to keys; instants in ISO form, nulls as null."""
+    kinds = dict(rows.dtypes)
+    value = lambda c: times.iso(F.col(c)) if kinds[c] == "timestamp" else F.col(c)
+    return rows.select(F.to_json(F.struct(*[value(c).alias(key) for c, key in names.items()]), {"ignoreNullFields": "false"}).alias("body"))

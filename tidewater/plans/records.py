@@ -240,3 +240,26 @@ def synthetic_chats(spark, sf_dir):
     back = messages.select("file", "source_ordinal", F.col("sender_display_name").alias("_sender"), F.col("text").alias("_text"), F.col("sent_at").alias("_at"))
     same = (F.col("_sender") == F.col("sender")) & (F.col("_text") == F.col("text")) & (F.col("_at") == F.col("sent_at"))
     return made.join(back, ["file", "source_ordinal"], "left").groupBy("file").agg(F.count("*").alias("messages"), F.bool_and(F.coalesce(same, F.lit(False))).alias("as_made"))
+
+
+@query(f"""
+select '{{"id":' || event_id::varchar || ',"occurred_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","kind":"' || event_type || '","who":' || coalesce('"' || c_name || '"', 'null') || '}}' as body
+from (select * from events where ts < timestamp '{AT}' order by ts desc, event_id desc limit 200) left join customer on user_id = c_custkey""")
+def feed_bodies(spark, sf_dir):
+    """A page of a feed as it is sent."""
+    page = r.feed(events(spark, sf_dir), "ts", "event_id", 200, now())
+    people = table(spark, sf_dir, "customer")
+    return r.as_json(page.join(people, F.col("user_id") == people.c_custkey, "left"), {"event_id": "id", "ts": "occurred_at", "event_type": "kind", "c_name": "who"})
+
+
+@query("select 'human:' || event_id::varchar as dedup_key, true as pinned, 0 as n from events where event_type = 'signup'")
+def entered_events(spark, sf_dir):
+    found = mutations.entered(events(spark, sf_dir).where("event_type = 'signup'"))
+    return found.select("dedup_key", "pinned", F.size("source_message_ids").alias("n"))
+
+
+@query(f"""select o_orderkey, ((o_orderdate + interval 9 hour) at time zone '{ZONE}') at time zone 'UTC' as at from orders""")
+def wall_clocks(spark, sf_dir):
+    """Times as clocks of a zone show them, as instants."""
+    shown = F.col("o_orderdate") + F.expr("interval 9 hours")
+    return table(spark, sf_dir, "orders").select("o_orderkey", times.from_wall_clock(shown, ZONE).alias("at"))
