@@ -46,10 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
