@@ -73,7 +73,7 @@ def merge_decision(spark, sf_dir):
 _MENTIONS = """
 with m as (
   select user_id as tenant_id, event_type as dedup_key, row_number() over (partition by user_id, event_type order by ts, event_id) as no, event_id,
-    'Title ' || event_id::varchar as title, case when event_id % 4 > 0 then repeat('x', (value / 10)::int) end as body, case when event_id % 3 = 0 then 'loc' || event_id::varchar end as location,
+    'Title ' || event_id::varchar as title, case when event_id % 4 > 0 then repeat('x', floor(value / 10)::int) end as body, case when event_id % 3 = 0 then 'loc' || event_id::varchar end as location,
     case when event_id % 5 = 0 then null else strftime(ts, '%Y-%m-%d') end as occurred_at,
     case event_id % 4 when 0 then 'date' when 1 then 'week' when 2 then 'month' else 'unknown' end as grain, case event_id % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 0 end as r,
     event_id % 7 <> 0 as is_future, case event_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, 'h' || (event_id % 6)::varchar as handle
@@ -104,7 +104,7 @@ def absorb_mentions(spark, sf_dir):
         F.col("event_type").alias("dedup_key"),
         F.struct("ts", "event_id").alias("no"),
         F.concat(F.lit("Title "), i.cast("string")).alias("title"),
-        F.when(i % 4 > 0, F.repeat(F.lit("x"), F.round(F.col("value") / 10).cast("int"))).alias("body"),
+        F.when(i % 4 > 0, F.repeat(F.lit("x"), F.floor(F.col("value") / 10).cast("int"))).alias("body"),
         F.when(i % 3 == 0, F.concat(F.lit("loc"), i.cast("string"))).alias("location"),
         F.when(i % 5 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("occurred_at"),
         F.when(i % 4 == 0, "date").when(i % 4 == 1, "week").when(i % 4 == 2, "month").otherwise("unknown").alias("occurred_at_precision"),
