@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.functions import keys, times
 from tidewater.functions import text as x
@@ -132,12 +131,18 @@ def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "
     A row that isn't first claims neither key for itself, so rows go through in order. Only those need to that share a key with another: the
     rest, nearly all, are first whatever stands before them, and never meet in one task.
     """
-    count = lambda key: F.count("*").over(Window.partitionBy(*by, key))
-    # A row without the other key stands alone under it: its first key tells it from the rest.
-    own = F.coalesce(F.concat(F.lit("="), F.col(other).cast("string")), F.concat(F.lit("-"), F.col(one).cast("string")))
-    counted = rows.withColumn("_other", own).withColumn("_n", count(one)).withColumn("_m", count("_other")).drop("_other")
-    alone = (F.col("_n") == 1) & (F.col("_m") == 1)
-    clear = counted.where(alone).drop("_n", "_m").withColumn("first", F.lit(True))
+    marked = rows
+    for key, mark in ((one, "_n"), (other, "_m")):
+        # Counted before they are shuffled, so that a key in a third of all rows is no task of its own.
+        twice = rows.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias(mark)).where(F.col(mark) > 1)
+        names = {c: f"_{c}" for c in (*by, key)}
+        twice = twice.withColumnsRenamed(names)
+        same = F.lit(True)
+        for c, held in names.items():
+            same = same & F.col(c).eqNullSafe(F.col(held))
+        marked = marked.join(twice, same, "left").drop(*names.values())
+    alone = F.col("_n").isNull() & F.col("_m").isNull() & F.col(one).isNotNull()
+    clear = marked.where(alone).drop("_n", "_m").withColumn("first", F.lit(True))
 
     def step(state: tuple[set, set], some: pa.Array, more: pa.Array) -> list:
         ones, others = state
@@ -150,7 +155,7 @@ def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "
                     others.add(b)
         return [good]
 
-    shared = in_order(counted.where(~alone).drop("_n", "_m"), by, order, [one, other], "first boolean", lambda: (set(), set()), step)
+    shared = in_order(marked.where(~alone).drop("_n", "_m"), by, order, [one, other], "first boolean", lambda: (set(), set()), step)
     return clear.unionByName(shared)
 
 
