@@ -167,7 +167,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def joined(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the edges ``known`` (a, b) and of all pairs of alike sets; alike sets share a first shingle.
 
-    ``firsts`` has (key, node, n) for each first shingle. At first each text is compared with one of each first shingle's texts: that whose own
+    ``firsts`` has (key, at, node, n) for each first shingle, the ``at``-th of its set in the order of all. Two sets of which it is the first that
+    they share have no more in common than stands from there on in either, which rules out pairs before they are made. At first each text is compared with one of each first shingle's texts: that whose own
     first shingles are shared most, as those of a text are that others were copied from. What is joined by then needs no comparison, so of a
     shingle's texts only those outside its largest group are compared with those of other groups.
     """
@@ -178,15 +179,16 @@ def joined(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, known: DataFram
     pivot = rows.join(fame.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("p"))
     like_sizes = PARTS * F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (PARTS + ALIKE) >= (F.col("n_a") + F.col("n_b")) * ALIKE
     stars = rows.join(pivot.hint("merge"), "key").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("p.node").alias("b"), F.col("p.n").alias("n_b"))
     tried = written(pair(stars.where((F.col("a") != F.col("b")) & like_sizes)), "near-stars")
     groups = written(components(verified(tried, nodes, docs).unionByName(known)), "near-groups")
-    of = rows.join(groups.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
+    of = rows.join(groups.hint("merge"), "node", "left").select("key", "at", "node", "n", F.coalesce("component", "node").alias("group"))
     sizes = of.groupBy("key", "group").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "group")).alias("m"), F.count("*").alias("groups"))
     apart = written(of.join(sizes.where("groups > 1").select("key", F.col("m.group").alias("main")).hint("merge"), "key"), "near-apart")
-    side = lambda df, s: df.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("group").alias(f"g_{s}"), "main")
+    side = lambda df, s: df.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"), F.col("group").alias(f"g_{s}"), "main")
     once = (F.col("g_a") != F.col("g_b")) & ((F.col("g_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    both = side(apart.where("group <> main"), "a").drop("main").join(side(apart, "b"), "key").where(once & like_sizes)
+    both = side(apart.where("group <> main"), "a").drop("main").join(side(apart, "b"), "key").where(once & like_sizes & enough)
     left = written(pair(both).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
     if left.isEmpty():
         return groups
@@ -215,7 +217,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stars = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     head = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"head_{s}"))
     linked = simhash.links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    near = joined(nodes, found.select(F.explode("firsts").alias("key"), "node", "n"), docs, stars.unionByName(linked))
+    near = joined(nodes, found.select(F.posexplode("firsts").alias("at", "key"), "node", "n"), docs, stars.unionByName(linked))
     labelled = nodes.select("node", "least").join(near, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     kept = labelled.groupBy("component").agg(F.min("least").alias("kept"))
     kept = labelled.join(kept, "component").select("node", "kept")
