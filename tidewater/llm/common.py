@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` splits on exactly these.
@@ -55,6 +56,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``place``: the number, from 0 on, that a row has within its group ``by`` in ``order`` (nulls first).
+
+    Rows are dealt out by ranges of both, so a group of any size lies in many tasks; only a count for each task and group is summed up.
+    ``rows`` should be a written table, and ``order`` should tell rows apart. No column of ``by`` may be null.
+    """
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("place_at", F.monotonically_increasing_id())
+    dealt = written(dealt, "placed").withColumn("place_in", F.shiftright("place_at", 33))
+    counts = dealt.groupBy(*by, "place_in").agg(F.count("*").alias("n"), F.min("place_at").alias("place_first"))
+    before = Window.partitionBy(*by).orderBy("place_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "place_in", "place_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place_before"))
+    found = dealt.join(starts, [*by, "place_in"])
+    return found.select(*rows.columns, (F.col("place_before") + F.col("place_at") - F.col("place_first")).alias("place"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small tables that loops read again."""
     shared_dir(df.sparkSession)

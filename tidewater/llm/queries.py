@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, html, language, linededup, mixing, rules, simhash, substring, subwords
+from tidewater.llm import chat, decontaminate, html, language, linededup, merkle, mixing, rules, simhash, substring, subwords
 from tidewater.llm.common import held_out, table
 
 
@@ -62,6 +62,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shortened = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.unhex(merkle.leaf(text=shortened)))
+    found = found.withColumns({"folded_root": merkle.folded(F.lower(F.hex("tampered"))), "proof_sha256": F.sha2(merkle.siblings(), 256)})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_simhash_dedup,
         op10_decontamination,
+        op12_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
@@ -174,5 +182,55 @@ select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bi
 from w left join kept using (doc_id)"""
 
 
+#: CRC-32 in SQL: the table of its byte steps, and the sum of a list of bytes by it.
+CRC_TABLE = """(select list(c order by i) as t from (
+  select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+  from (select unnest(range(0, 256)) as i)))"""
+
+
+def _crc(values: str) -> str:
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], {values}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """Nodes of all levels over ``nodes`` (tree, i, digest, n), and of each node what stands to its left and right in its run."""
+    return f"""
+{name}(tree, lev, i, digest, n) as (
+  select tree, 0, i, digest, n from {nodes}
+  union all
+  select tree, lev + 1, i // 3, sha256(string_agg(digest, '' order by i)), (n + 2) // 3 from {name} where n > 1 group by tree, lev, i // 3, n),
+{name}_beside as (
+  select a.tree, a.lev, a.i, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i > a.i), '') as r
+  from {name} a join {name} b on a.tree = b.tree and a.lev = b.lev and a.i // 3 = b.i // 3 where a.n > 1 group by a.tree, a.lev, a.i)"""
+
+
+def _op12_sql() -> str:
+    field = lambda c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c}::varchar end"
+    leaf = lambda text: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} || {field(text)})"
+    digits = "list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)"
+    return f"""
+with recursive t as {CRC_TABLE},
+d as (select *, case when {_crc(digits)} % 2 = 0 then replace(text, chr(10), '') else text end as cropped from documents, t),
+h as (select doc_id, coalesce('=' || source, '') as tree, {leaf('text')} as digest, {leaf('cropped')} as tampered from d),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as i, count(*) over (partition by tree) as n from h),
+{_tree_sql('a', 'leaves')},
+subs as (select '' as tree, tree as name, digest, row_number() over (order by tree) - 1 as i, count(*) over () as n from a where n = 1),
+{_tree_sql('b', 'subs')},
+f(doc_id, tree, i, lev, acc, seen, own) as (
+  select doc_id, tree, i, 0, tampered, '', i from leaves
+  union all
+  select f.doc_id, f.tree, f.i // 3, f.lev + 1, sha256(s.l || f.acc || s.r), f.seen || s.l || s.r, f.own
+  from f join a_beside s on s.tree = f.tree and s.lev = f.lev and s.i = f.i),
+low as (select doc_id, tree, own, arg_max(acc, lev) as acc, arg_max(seen, lev) as seen from f group by all),
+g(doc_id, tree, i, lev, acc, seen, own) as (
+  select doc_id, low.tree, subs.i, 0, acc, seen, own from low join subs on subs.name = low.tree
+  union all
+  select g.doc_id, g.tree, g.i // 3, g.lev + 1, sha256(s.l || g.acc || s.r), g.seen || s.l || s.r, g.own
+  from g join b_beside s on s.lev = g.lev and s.i = g.i),
+high as (select tree, own, arg_max(acc, lev) as acc, arg_max(seen, lev) as seen from g group by all)
+select leaves.doc_id, leaves.digest as leaf, subs.digest as subroot, top.digest as root, sha256(high.seen) as proof_sha256, high.acc as folded_root, high.acc = top.digest as verified
+from leaves join high on high.tree = leaves.tree and high.own = leaves.i join subs on subs.name = leaves.tree, (select digest from b where n = 1) top"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql(), "op12_merkle_manifest": _op12_sql()}
