@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, html, language, linededup, merkle, mixing, rules, simhash, substring, subwords
+from tidewater.llm import chat, decontaminate, html, language, linededup, merkle, mixing, rules, simhash, spelling, substring, subwords
 from tidewater.llm.common import held_out, table
 
 
@@ -69,6 +69,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_simhash_dedup,
         op10_decontamination,
         op12_merkle_manifest,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -232,5 +237,29 @@ select leaves.doc_id, leaves.digest as leaf, subs.digest as subroot, top.digest
 from leaves join high on high.tree = leaves.tree and high.own = leaves.i join subs on subs.name = leaves.tree, (select digest from b where n = 1) top"""
 
 
+def _op13_sql() -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    # Of the letters beyond ASCII, UTF-8 has 195 and the code point less 64.
+    octets = "flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end))"
+    cut = lambda w, i: f"left({w}, ({i})::bigint) || substr({w}, ({i})::bigint + 2)"
+    return rf"""
+with recursive t as {CRC_TABLE},
+r as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {letters}) as run from documents),
+c as (select run, {_crc(octets)} as h from r, t),
+v as (select case when h % 97 = 0 then {cut('run', 'h % length(run)')} else run end as word from c),
+w as (select word, count(*) as n from v where length(word) >= 5 group by word having count(*) >= 3),
+d as (select word, n, i, {cut('word', 'i')} as less from (select *, unnest(range(0, length(word))) as i from w)),
+p as (
+  select a.word, b.word as other, b.n from d a join d b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select d.word, w.word, w.n from d join w on d.less = w.word
+  union select w.word, d.word, d.n from d join w on d.less = w.word),
+q as (select word, count(*) as n_near, min({{'less': -n, 'word': other}}) as best from p group by word),
+f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when -best.less >= 2 * w.n then best.word end as form, case when -best.less >= 2 * w.n then -best.less end as form_n
+  from w left join q using (word)),
+chain(word, now, k) as (select word, word, 0 from f union all select chain.word, f.form, k + 1 from chain join f on f.word = chain.now where f.form is not null)
+select word, form, (select arg_max(now, k) from chain where chain.word = f.word) as root, n, n_near, form_n from f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql(), "op12_merkle_manifest": _op12_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql(), "op12_merkle_manifest": _op12_sql(), "op13_spelling_variants": _op13_sql()}
