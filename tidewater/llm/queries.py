@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, html, language, linededup, merkle, mixing, rules, simhash, spelling, substring, subwords
+from tidewater.llm import chat, decontaminate, html, language, linededup, merkle, mixing, rules, simhash, spelling, substring, subwords, syncmers
 from tidewater.llm.common import held_out, table
 
 
@@ -62,6 +62,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = syncmers.with_next(table(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("long"))
+    cut = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(head, 1, cast(n_chars div 4 as int)))")
+    docs = docs.select("doc_id", "n_chars", "sketch", "next_sketch", cut.alias("edited"))
+    docs = syncmers.sketched(docs, "edited", "edited_sketch").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    docs = syncmers.likeness(syncmers.likeness(docs, "sketch", "edited_sketch", "near_edited"), "sketch", "next_sketch", "near_next")
+    prints = syncmers.fingerprint("sketch").alias("fingerprint"), syncmers.fingerprint("edited_sketch").alias("edited_fingerprint")
+    return docs.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     shortened = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.unhex(merkle.leaf(text=shortened)))
@@ -85,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_simhash_dedup,
         op10_decontamination,
+        op11_document_fingerprints,
         op12_merkle_manifest,
         op13_spelling_variants,
     )
@@ -237,6 +248,50 @@ select leaves.doc_id, leaves.digest as leaf, subs.digest as subroot, top.digest
 from leaves join high on high.tree = leaves.tree and high.own = leaves.i join subs on subs.name = leaves.tree, (select digest from b where n = 1) top"""
 
 
+def _op11_sql() -> str:
+    prime, places, kept = syncmers.PRIME, syncmers.PLACES, syncmers.KEPT
+    digits = "list_transform(range(octet_length(encode(u))), lambda j: (instr('123456789ABCDEF', x[2 * j + 1]) * 16 + instr('123456789ABCDEF', x[2 * j + 2]))::bigint)"
+    mask, low = 1 << places, (1 << places) - 1
+
+    def like(name: str, a: str, b: str) -> str:
+        """Likeness of sketches ``a`` and ``b``, sets of rows (doc_id, h, p)."""
+        return f"""
+{name}_both as (select a.doc_id, a.h, a.p - b.p as d from {a} a join {b} b on a.doc_id = b.doc_id and a.h = b.h),
+{name}_all as (select doc_id, h, p from {a} union all select doc_id, h, p from {b}),
+{name}_some as (select doc_id, h from (select *, row_number() over (partition by doc_id order by h) as r from (select distinct doc_id, h from {name}_all)) where r <= {kept}),
+{name}_span as (select doc_id, greatest({syncmers.LEAST}, max(p) // {syncmers.PART}) as span from {name}_all group by doc_id),
+{name}_middle as (select doc_id, d as middle from (select *, row_number() over (partition by doc_id order by d) as r, count(*) over (partition by doc_id) as k from {name}_both) where r = (k - 1) // 2 + 1),
+{name}_good as (select doc_id, h from {name}_both join {name}_span using (doc_id) join {name}_middle using (doc_id) where abs(d - middle) <= span),
+{name} as (
+  select doc_id, 2 * (good::double / seen) / (1 + good::double / seen) as near
+  from (select s.doc_id, count(*) as seen, count(g.h) as good from {name}_some s left join {name}_good g on g.doc_id = s.doc_id and g.h = s.h group by s.doc_id))"""
+
+    return rf"""
+with t as {CRC_TABLE},
+o as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n, coalesce(lead(doc_id) over (order by doc_id), min(doc_id) over ()) as next from documents),
+e as (select o.doc_id, o.text, o.n, o.next, left(o.text, o.n - o.n // 4) || left(b.text, o.n // 4) as edited from o join o b on b.doc_id = o.next),
+x as (select doc_id, 'own' as kind, text as txt from e union all select doc_id, 'edited', edited from e),
+u as (select doc_id, kind, unnest(us) as u, generate_subscripts(us, 1) - 1 as i, len(us) as k from (select doc_id, kind, regexp_extract_all(txt, '[^ 	-]{{1,4}}') as us from x)),
+c as (select u, {_crc(digits)} as h from (select u, hex(encode(u)) as x from (select distinct u from u)), t),
+h as (select doc_id, kind, i, k, h from u join c using (u)),
+g as (select doc_id, kind, i, k, (h * 48271 + lead(h) over w * 69621 + 11) % {prime} as g from h window w as (partition by doc_id, kind order by i)),
+r as (
+  select doc_id, kind, i, (g * 16807 + g2 * 39373 + g3 * 62089 + 7) % {prime} as a, least(g, g3) <= least(g1, g2) as edge, bool_or(least(g, g3) <= least(g1, g2)) over (partition by doc_id, kind) as any_edge
+  from (select *, lead(g, 1) over w as g1, lead(g, 2) over w as g2, lead(g, 3) over w as g3 from g window w as (partition by doc_id, kind order by i)) where i <= k - 5),
+short as (select doc_id, kind, 0 as i, list_reduce(list_concat([1::bigint], list(h order by i)), lambda acc, v: (acc * 48271 + v * 69621 + 11) % {prime}) as a from h where k < 5 group by doc_id, kind),
+anchors as (select doc_id, kind, i, a from r where edge or not any_edge union all select * from short),
+s as (
+  select doc_id, kind, h, p from (select *, row_number() over (partition by doc_id, kind order by h) as n from (select doc_id, kind, a as h, least(min(i), {low}) as p from anchors group by all))
+  where n <= {kept}),
+own as (select doc_id, h, p from s where kind = 'own'), edited as (select doc_id, h, p from s where kind = 'edited'),
+next as (select o.doc_id, own.h, own.p from o join own on own.doc_id = o.next),{like("ne", "own", "edited")},{like("nn", "own", "next")},
+f as (select doc_id, kind, string_agg(lower(printf('%08x%05x', h::bigint, p::bigint)), '' order by h) as f from s group by doc_id, kind)
+select e.doc_id, e.n as n_chars, sha256(e.edited) as edited_sha256, coalesce(a.f, '') as fingerprint, coalesce(b.f, '') as edited_fingerprint,
+  coalesce(ne.near, 1.0) as near_edited, coalesce(nn.near, 1.0) as near_next
+from e left join f a on a.doc_id = e.doc_id and a.kind = 'own' left join f b on b.doc_id = e.doc_id and b.kind = 'edited'
+  left join ne on ne.doc_id = e.doc_id left join nn on nn.doc_id = e.doc_id"""
+
+
 def _op13_sql() -> str:
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     # Of the letters beyond ASCII, UTF-8 has 195 and the code point less 64.
@@ -262,4 +317,4 @@ select word, form, (select arg_max(now, k) from chain where chain.word = f.word)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql(), "op12_merkle_manifest": _op12_sql(), "op13_spelling_variants": _op13_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op2_line_dedup": _op2_sql(), "op3_chat_formatting": _op3_sql(), "op5_substring_dedup": _op5_sql(), "op11_document_fingerprints": _op11_sql(), "op12_merkle_manifest": _op12_sql(), "op13_spelling_variants": _op13_sql()}
