@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import keys, times
 from tidewater.functions import text as x
+from tidewater.operators.graphs import components
+from tidewater.operators.pieces import PIECE, parted
 from tidewater.operators.sequences import in_order, occurrences
 
 SPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
@@ -125,24 +127,28 @@ def hashed(records: DataFrame, resolved: DataFrame, order: list[Column], batch:
     return rows.withColumn("content_hash", keys.content_hash(F.col("tenant_id"), F.col("sent_at"), F.col("sender_key"), F.col("folded"), F.col("occurrence")))
 
 
-def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "content_hash", other: str = "provider_message_id") -> DataFrame:
+def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "content_hash", other: str = "provider_message_id", piece: int = PIECE) -> DataFrame:
     """``rows`` with ``first``: false if an earlier one that is first has the same ``one``, or the same ``other`` (null: none).
 
     A row that isn't first claims neither key for itself, so rows go through in order. Only those need to that share a key with another: the
-    rest, nearly all, are first whatever stands before them, and never meet in one task.
+    rest, nearly all, are first whatever stands before them, and never meet in one task. Where over ``piece`` rows of a group share keys,
+    they are parted by connected components of their keys, since a row's fate hangs on no other component. ``rows`` is read twice, for
+    both keys' counts at once and for the rows: it should be cheap to read, or written.
     """
+    names = {c: f"_{c}" for c in by}
+    # Counted before they are shuffled, so that a key in a third of all rows is no task of its own. A kind of key for each key.
+    kinds = F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col(one).cast("string").alias("key")), F.struct(F.lit(2).alias("kind"), F.col(other).cast("string").alias("key"))))
+    keyed = rows.select(*by, kinds.alias("k")).where("k.key is not null")
+    twice = keyed.groupBy(*by, "k").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*by, "k.kind", "k.key").withColumnsRenamed(names)
     marked = rows
-    for key, mark in ((one, "_n"), (other, "_m")):
-        # Counted before they are shuffled, so that a key in a third of all rows is no task of its own.
-        twice = rows.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias(mark)).where(F.col(mark) > 1)
-        names = {c: f"_{c}" for c in (*by, key)}
-        twice = twice.withColumnsRenamed(names)
-        same = F.lit(True)
-        for c, held in names.items():
-            same = same & F.col(c).eqNullSafe(F.col(held))
-        marked = marked.join(twice, same, "left").drop(*names.values())
-    alone = F.col("_n").isNull() & F.col("_m").isNull() & F.col(one).isNotNull()
-    clear = marked.where(alone).drop("_n", "_m").withColumn("first", F.lit(True))
+    for kind, (key, mark) in enumerate(((one, "_n"), (other, "_m")), 1):
+        held = twice.where(F.col("kind") == kind).select(*names.values(), F.col("key").alias("_key"), F.lit(True).alias(mark))
+        same = F.col(key).cast("string") == F.col("_key")
+        for c, name in names.items():
+            same = same & F.col(c).eqNullSafe(F.col(name))
+        marked = marked.join(held, same, "left").drop(*names.values(), "_key")
+    marked = marked.withColumn("_alone", F.col("_n").isNull() & F.col("_m").isNull() & F.col(one).isNotNull()).drop("_n", "_m")
+    clear = marked.where("_alone").drop("_alone").withColumn("first", F.lit(True))
 
     def step(state: tuple[set, set], some: pa.Array, more: pa.Array) -> list:
         ones, others = state
@@ -155,8 +161,19 @@ def either_key(rows: DataFrame, by: list[str], order: list[Column], one: str = "
                     others.add(b)
         return [good]
 
-    shared = in_order(marked.where(~alone).drop("_n", "_m"), by, order, [one, other], "first boolean", lambda: (set(), set()), step)
-    return clear.unionByName(shared)
+    fresh = lambda: (set(), set())
+    few, many = parted(marked.where("not _alone").drop("_alone"), by, piece)
+    found = clear.unionByName(in_order(few, by, order, [one, other], "first boolean", fresh, step))
+    if many is None:
+        return found
+    # Nodes are keys, with their group; a row joins its two.
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    node = lambda c, mark: F.sha2(F.concat_ws("\x1f", group, F.lit(mark), F.coalesce(F.col(c).cast("string"), F.lit(""))), 256)
+    mine = F.when(F.col(one).isNull(), node(one, "none")).otherwise(node(one, "one"))
+    many = many.withColumn("_node", mine)
+    groups = components(many.select(F.col("_node").alias("a"), F.coalesce(F.when(F.col(other).isNotNull(), node(other, "other")), F.col("_node")).alias("b")))
+    many = many.join(groups.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "_node").drop("_node")
+    return found.unionByName(in_order(many, [*by, "_component"], order, [one, other], "first boolean", fresh, step).drop("_component"))
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, tenant: str = "tenant_id", one: str = "content_hash", other: str = "provider_message_id") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import wraps
@@ -11,6 +9,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import folder, settled
+
+__all__ = ["AT", "QUERIES", "ZONE", "Query", "folder", "now", "query", "settled", "utc"]
+
 #: The moment that queries take as now.
 AT = "2024-01-16 00:00:00"
 ZONE = "Europe/London"
@@ -46,18 +48,3 @@ def now():
 def utc(column: str):
     """A zone-less timestamp of the tables, taken as UTC."""
     return F.col(column).cast("timestamp")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, where the cluster names one; a temporary one only if everything runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-    return f"{named}/tidewater-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidewater-")
-
-
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` written to a shared folder and read again: what is asked of them more than once is worked out once."""
-    path = f"{folder(rows.sparkSession)}/rows"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)

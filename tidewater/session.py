@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: What results depend on (the zone), and what lets one plan fit any size: sizes are measured as a query runs.
@@ -24,3 +27,21 @@ def session(name: str = "tidewater", master: str | None = None, **more: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, where the cluster names one; a temporary one only if everything runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{named}/tidewater-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidewater-")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a shared folder and read again: what is asked of them more than once is worked out once. The folder goes when the driver ends."""
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/rows"
+    rows.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(rows.schema).parquet(path)
