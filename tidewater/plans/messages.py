@@ -116,8 +116,8 @@ def ingest_accounting(spark, sf_dir):
     both = first.unionByName(second)
     nobody = spark.createDataFrame([], "tenant_id string, member_id string, display_name string, wa_jid string, wa_lid string, created_at timestamp")
     resolved, _ = ing.resolve(both.select("tenant_id", "wa_jid", "wa_lid", "display_name"), nobody)
-    hashed = ing.hashed(both, resolved, [F.col("source_ordinal")], ["batch"])
-    fresh = ing.either_key(hashed.drop("source_ordinal"), ["tenant_id", "batch"], [F.col("sent_at"), F.col("content_hash")]).where("first")
+    hashed = settled(ing.hashed(both, resolved, [F.col("source_ordinal")], ["batch"]).select("tenant_id", "batch", "sent_at", "content_hash", "provider_message_id", "message_type", "text", "payload"))
+    fresh = settled(ing.either_key(hashed, ["tenant_id", "batch"], [F.col("sent_at"), F.col("content_hash")]).where("first"))
     one, two = fresh.where("batch = 1"), fresh.where("batch = 2")
     inserted = one.unionByName(ing.not_stored(two, one).select(*one.columns))
     return ing.accounted(both, inserted, ["tenant_id", "batch"])
@@ -175,6 +175,41 @@ def chunk_assignment(spark, sf_dir):
     return found.select("user_id", "event_id", "chunk_id", "chunk_place", s.handle().alias("handle"))
 
 
+def _hot(spark, sf_dir, every):
+    """Events by tenant: one tenant has those of every so-manieth user, each other user is a tenant."""
+    tenant = F.when(F.col("user_id") % every == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id"))
+    return events(spark, sf_dir).select(tenant.alias("tenant"), "event_id", "ts")
+
+
+@query("""
+with recursive e as (select case when user_id % 2 = 0 then -1 else user_id end as tenant, event_id, ts from events),
+o as (select tenant, event_id, ts, row_number() over w as k, lag(ts) over w as prev from e window w as (partition by tenant order by ts, event_id)),
+f as (
+  select *, least(k + 200, 1 + max(k) over (partition by tenant order by ts range between current row and interval 14 day following),
+    coalesce(min(case when ts - prev >= interval 4 hour then k end) over (partition by tenant order by k rows between 80 following and 199 following), k + 200)) as next from o),
+w as (select tenant, k, next, 0 as chunk_id from f where k = 1 union all select f.tenant, f.k, f.next, chunk_id + 1 from w join f on f.tenant = w.tenant and f.k = w.next)
+select f.tenant, f.event_id, w.chunk_id::bigint as chunk_id, (f.k - w.k + 1)::bigint as chunk_place from f join w on f.tenant = w.tenant and f.k >= w.k and f.k < w.next""")
+def hot_tenant_chunks(spark, sf_dir):
+    """Chunks by the limits of the contract where one tenant has half of the log, which goes in pieces."""
+    found = s.chunked(_hot(spark, sf_dir, 2), ["tenant"], "ts", [F.col("ts"), F.col("event_id")], piece=1024)
+    return found.select("tenant", "event_id", "chunk_id", "chunk_place")
+
+
+@query("""
+with recursive o as (
+  select tenant, event_id, ts, row_number() over (partition by tenant order by ts, event_id) as k from (select case when user_id % 5 = 0 then -1 else user_id end as tenant, event_id, ts from events)),
+w as (
+  select tenant, event_id, k, [ts] as held, true as let_in from o where k = 1
+  union all
+  select o.tenant, o.event_id, o.k, case when len(f.held) < 2 then list_append(f.held, o.ts) else f.held end, len(f.held) < 2
+  from w join o on o.tenant = w.tenant and o.k = w.k + 1, lateral (select list_filter(w.held, lambda t: t > o.ts - interval 15 minute) as held) f)
+select tenant, event_id, let_in from w""")
+def hot_tenant_admission(spark, sf_dir):
+    """At most two in any quarter of an hour where one tenant has a fifth of the log, which is cut where its state is certain."""
+    found = s.admitted(_hot(spark, sf_dir, 5), ["tenant"], "ts", [F.col("ts"), F.col("event_id")], 2, 900, piece=256)
+    return found.select("tenant", "event_id", "let_in")
+
+
 @query("""
 with o as (select user_id, event_id, ts, (row_number() over w - 1) // 25 as chunk_id, row_number() over w as pos from events window w as (partition by user_id order by ts, event_id)),
 st as (select user_id, chunk_id, min(pos) as start, min(ts) as first from o group by all),
