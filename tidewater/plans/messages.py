@@ -24,7 +24,12 @@ def _export(spark, sf_dir):
     head = F.concat(F.date_format(F.from_utc_timestamp(at, "Europe/London"), "dd/MM/yyyy, HH:mm"), F.lit(" - "), F.col("role"), F.lit(": "))
     lines = F.split(F.concat(head, "text"), "\n")
     rows = turns.select(F.col("conv_id").cast("string").alias("file"), "turn", F.posexplode(lines).alias("i", "raw"))
-    return rows.select("file", F.struct("turn", "i").alias("at"), "raw")
+    return rows.select("file", _at(F.col("turn"), F.col("i")), "raw")
+
+
+def _at(turn, i):
+    """Where a line stands: four turns are a block of the file."""
+    return F.struct(F.floor(turn / 4).alias("block"), F.struct(turn.cast("long").alias("turn"), i.alias("i")).alias("row")).alias("at")
 
 
 def _odd_lines(spark, sf_dir):
@@ -33,7 +38,7 @@ def _odd_lines(spark, sf_dir):
     head = F.concat(F.date_format(F.from_utc_timestamp(first, "Europe/London"), "dd/MM/yyyy, HH:mm"), F.lit(" - "))
     lines = F.array(F.lit("Exported chat"), F.concat(head, F.lit("Messages and calls are end-to-end encrypted.")), F.concat(head, F.lit("user: \u200e<Media omitted>")))
     talks = table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id").distinct()
-    return talks.select(F.col("conv_id").cast("string").alias("file"), F.posexplode(lines).alias("i", "raw")).select("file", F.struct(F.lit(-1).cast("long").alias("turn"), F.col("i").alias("i")).alias("at"), "raw")
+    return talks.select(F.col("conv_id").cast("string").alias("file"), F.posexplode(lines).alias("i", "raw")).select("file", _at(F.lit(-1), F.col("i")), "raw")
 
 
 @query(r"""
@@ -54,7 +59,8 @@ select conv_id::varchar as file, (sum(lines) + 3)::bigint as total_lines, (count
 def parse_report(spark, sf_dir):
     """How the lines of each export were used, who spoke and when."""
     lines = _export(spark, sf_dir).unionByName(_odd_lines(spark, sf_dir))
-    found = exports.report(*exports.parse(lines, "Europe/London", dayfirst=True, settle=settled))
+    messages, kinds = exports.parse(lines, "Europe/London", dayfirst=True, settle=settled)
+    found = exports.report(settled(messages), kinds)
     counts = ("total_lines", "messages", "system_lines", "continuations", "unparsed_lines", "media_placeholders")
     return found.select("file", *counts, "first_sent_at", "last_sent_at", F.size("senders").alias("senders"), F.array_join("unparsed_samples", ",").alias("unparsed"))
 

@@ -1,4 +1,9 @@
-"""Chat exports: text files of stamped lines, read and parsed as one job over any number of files."""
+"""Chat exports: text files of stamped lines, read and parsed as one job over any number of files of any size.
+
+A file is read in the blocks that Spark splits it into, each in a task of its own. A first pass counts lines and starts by block; their sums
+over the blocks before number a block's lines and records. What is open where a block ends (the record that goes on, and how long it is by
+then) is summed up the same way, so no step sorts or gathers a file.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from tidewater.functions import vocabulary as v
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, raw): the lines of text files; ``at`` orders the lines of a file, wherever a file was split."""
+    """(file, at, raw): the lines of text files; ``at`` has the block of the file that a line was read in, and its row in it."""
     lines = spark.read.option("lineSep", "\n").text(path)
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("raw"))
@@ -37,18 +42,46 @@ def limits(lines: DataFrame, most_bytes: int = v.EXPORT_BYTES, most_messages: in
     return sums.withColumn("refusal", F.when(F.col("n_bytes") > most_bytes, "bytes").when(F.col("n_messages") > most_messages, "messages"))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """``lines`` (file, at, raw) with ``n`` (from 1), ``start`` (as ``stamped``), ``record`` (from 1; 0 before the first) and ``kind``:
-    start, continuation or unparsed."""
-    order = Window.partitionBy("file").orderBy("at")
+def classified(lines: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``lines`` (file, at, raw) with ``block``, ``n`` (from 1), ``start`` (as ``stamped``), ``record`` (from 1; 0 before the first) and
+    ``kind``: start, continuation or unparsed.
+
+    Where ``at`` is a struct of block and row, a file's blocks are numbered each by itself, after what those before it hold; any other ``at`` only
+    orders a file's lines, which are one block then. ``settle`` may write the lines as far as they are read for two purposes.
+    """
+    kind = lines.schema["at"].dataType
+    split = isinstance(kind, T.StructType) and kind.fieldNames()[:1] == ["block"]
     raw = F.replace(F.regexp_replace("raw", r"[\r\n]+$", ""), F.lit("\x00"), F.lit(""))
-    rows = lines.select("file", "at", raw.alias("raw")).withColumn("line", x.visible(F.col("raw")))
+    rows = lines.select("file", (F.col("at.block") if split else F.lit(0)).cast("long").alias("block"), "at", raw.alias("raw")).withColumn("line", x.visible(F.col("raw")))
     rows = rows.withColumn("start", stamped(F.col("line")))
-    rows = rows.select(
-        "*", F.row_number().over(order).alias("n"), F.count("start").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("record")
-    )
+    order = Window.partitionBy("file", "block").orderBy("at")
+    rows = rows.select("*", F.row_number().over(order).alias("n"), F.count("start").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("record")).drop("at")
+    if split:
+        rows = settle(rows)
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not lines
+        sums = rows.groupBy("file", "block").agg(F.max("n").alias("_n"), F.max("record").alias("_r"))
+        sums = sums.select("file", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_r")])
+        rows = rows.join(sums, ["file", "block"]).withColumns({"n": F.col("n") + F.col("_n"), "record": F.col("record") + F.col("_r")}).drop("_n", "_r")
     kind = F.when(F.col("start").isNotNull(), "start").when((F.col("record") == 0) | F.col("line").rlike(v.NEAR_START), "unparsed").otherwise("continuation")
-    return rows.withColumn("kind", kind).drop("at")
+    return rows.withColumn("kind", kind)
+
+
+def _ends(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` with ``_size`` and ``_end``: how many characters a line's record has with it. A record that goes on over blocks brings what those before have of it."""
+    rows = rows.withColumn("_size", size)
+    order = Window.partitionBy("file", "block", "record").orderBy("n")
+    rows = rows.withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Of each block: whether a record begins in it, and what its last record has in it.
+    tails = rows.groupBy("file", "block", "record").agg(F.sum("_size").alias("s"), F.count("start").alias("k"))
+    tails = tails.groupBy("file", "block").agg(F.max(F.struct("record", "s")).alias("last"), F.max("k").alias("begins"))
+    by_file = Window.partitionBy("file").orderBy("block")
+    tails = tails.withColumn("_run", F.sum("begins").over(by_file))
+    tails = tails.withColumn("_sum", F.sum("last.s").over(Window.partitionBy("file", "_run").orderBy("block")))
+    carried = tails.select("file", "block", F.coalesce(F.lag("_sum").over(by_file), F.lit(0)).alias("_carry"))
+    opens = rows.groupBy("file", "block").agg(F.min("record").alias("_open"), F.min(F.struct("n", F.col("start").isNull().alias("goes_on"))).alias("_head"))
+    carried = carried.join(opens, ["file", "block"]).select("file", "block", "_carry", F.when(F.col("_head.goes_on"), F.col("_open")).alias("_open"))
+    rows = rows.join(carried, ["file", "block"])
+    return rows.withColumn("_end", F.col("_end") + F.when(F.col("record") == F.col("_open"), F.col("_carry")).otherwise(0)).drop("_carry", "_open")
 
 
 def sniff(lines: DataFrame, first: int = v.SNIFF_LINES) -> DataFrame:
@@ -125,23 +158,23 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool, settle: Callable[[DataFra
     Messages: file, source_ordinal (from 0), n (line), sent_at (UTC), sender_display_name, text, message_type, system_kind, filename,
     mime_hint, body, raw, truncated, n_lines. Lines: as ``classified``, with the kind that each has in the end: those of a
     message whose stamp can't be read, and those beyond a body's limit, are unparsed.
-    Work on lines is dealt out by file; a file is bounded by the exporting app. An empty input gives empty outputs. ``settle`` may write the
-    classified lines and read them again, so that what both outputs need is worked out once.
+    Work on lines is dealt out by block of a file, on messages by message. An empty input gives empty outputs. ``settle`` may write
+    what several steps need and read it again, so that it is worked out once.
     """
-    rows = classified(lines)
-    order = Window.partitionBy("file", "record").orderBy("n")
+    rows = classified(lines, settle)
     rest = F.col("start.rest")
     named = rest.rlike(v.SENDER)
     sender = F.when(named, F.nullif(F.trim(F.regexp_replace(F.regexp_extract(rest, v.SENDER, 1), "^~+", "")), F.lit("")))
     body = F.when(named, F.substring(rest, F.char_length(F.regexp_extract(rest, v.SENDER, 0)) + 1, F.char_length(rest))).otherwise(rest)
     size = F.when(F.col("kind") == "start", F.char_length(body)).when(F.col("kind") == "continuation", F.char_length("line") + 1).otherwise(0)
-    rows = rows.withColumn("_end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _ends(rows, size)
     over = (F.col("kind") == "continuation") & (F.col("_end") > v.BODY_CHARS)
     rows = rows.withColumn("_over", over).withColumn("kind", F.when(over, "unparsed").otherwise(F.col("kind"))).withColumn("_joined", F.col("_over") | (F.col("kind") != "unparsed"))
     rows = settle(rows.withColumns({"_sender": F.when(F.col("kind") == "start", sender), "_piece": F.when(F.col("kind") == "start", body).otherwise(F.col("line"))}))
     starts = rows.where("kind = 'start'").select("file", "record", "n", "start.stamp", "start.style", F.col("_sender").alias("sender"))
     piece = F.struct("n", F.col("_piece").alias("piece"), "raw", (F.col("kind") != "unparsed").alias("own"))
-    bodies = rows.where("record > 0 and _joined").groupBy("file", "record").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("_over").alias("_over"))
+    # Lines that begin beyond the limit add nothing, however many follow.
+    bodies = rows.where((F.col("record") > 0) & F.col("_joined") & (F.col("_end") - F.col("_size") <= v.BODY_CHARS)).groupBy("file", "record").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("_over").alias("_over"))
     whole = F.array_join(F.transform("p", lambda q: q["piece"]), "\n")
     own = F.transform(F.filter("p", lambda q: q["own"]), lambda q: q["raw"])
     bodies = bodies.select(
@@ -163,7 +196,7 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool, settle: Callable[[DataFra
     found = starts.join(bodies, ["file", "record"]).join(best, "file")
     strict = F.try_to_timestamp(F.col("stamp"), F.col("format"))
     lenient = _straggler(dayfirst)(F.when(strict.isNull(), F.col("stamp"))).try_cast("timestamp")
-    found = found.withColumn("sent_at", F.to_utc_timestamp(F.coalesce(strict, lenient), zone))
+    found = settle(found.withColumn("sent_at", F.to_utc_timestamp(F.coalesce(strict, lenient), zone)))
     good = found.where("sent_at is not null").withColumn("system_kind", x.system_kind(F.col("body"), F.col("sender")))
     good = good.withColumn("m", F.when(F.col("system_kind").isNull(), x.media(F.col("body"))))
     text = F.when(F.col("m").isNotNull(), F.nullif(F.col("m.caption"), F.lit(""))).otherwise(F.col("body"))
@@ -194,22 +227,31 @@ def report(messages: DataFrame, lines: DataFrame) -> DataFrame:
     messages + continuations + system_lines + unparsed_lines = total_lines.
     """
     count = lambda kind: F.count_if(F.col("kind") == kind)
-    samples = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "unparsed", F.struct("n", "line")))), 1, v.UNPARSED_SAMPLES), lambda s: s["line"])
-    by_line = lines.groupBy("file").agg(F.count("*").alias("total_lines"), count("continuation").alias("continuations"), count("unparsed").alias("unparsed_lines"), samples.alias("unparsed_samples"))
+    by_line = lines.groupBy("file").agg(F.count("*").alias("total_lines"), count("continuation").alias("continuations"), count("unparsed").alias("unparsed_lines"))
     human = F.col("message_type") != "system"
-    ahead, back = Window.partitionBy("file", human).orderBy("source_ordinal"), Window.partitionBy("file", human).orderBy(F.desc("source_ordinal"))
-    ranked = messages.withColumn("_a", F.row_number().over(ahead)).withColumn("_b", F.row_number().over(back))
-    ends = lambda rank: F.transform(F.array_sort(F.collect_list(F.when(human & (F.col(rank) <= v.PREVIEW), F.struct("source_ordinal", "body")))), lambda s: s["body"])
-    by_message = ranked.groupBy("file").agg(
+    by_message = messages.groupBy("file").agg(
         F.count_if(human).alias("messages"),
         F.count_if(~human).alias("system_lines"),
         F.count_if(human & (F.col("message_type") != "text")).alias("media_placeholders"),
         F.min("sent_at").alias("first_sent_at"),
         F.max("sent_at").alias("last_sent_at"),
-        ends("_a").alias("preview_head"),
-        ends("_b").alias("preview_tail"),
     )
+
+    def few(rows: DataFrame, order: Column, at: str, value: str, most: int, name: str) -> DataFrame:
+        """The first ``most`` of each file: tasks hand on no more than that."""
+        ranked = rows.select("file", at, value, F.row_number().over(Window.partitionBy("file").orderBy(order)).alias("_k")).where(F.col("_k") <= most)
+        return ranked.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s[value]).alias(name))
+
+    some = [
+        few(lines.where("kind = 'unparsed'"), F.col("n"), "n", "line", v.UNPARSED_SAMPLES, "unparsed_samples"),
+        few(messages.where(human), F.col("source_ordinal"), "source_ordinal", "body", v.PREVIEW, "preview_head"),
+        few(messages.where(human), F.desc("source_ordinal"), "source_ordinal", "body", v.PREVIEW, "preview_tail"),
+    ]
     said = messages.where(human & F.col("sender_display_name").isNotNull()).groupBy("file", "sender_display_name").count()
     senders = said.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("sender_display_name", "count"))).alias("senders"))
     zero = {c: 0 for c in ("messages", "system_lines", "media_placeholders")}
-    return by_line.join(by_message, "file", "left").join(senders, "file", "left").fillna(zero)
+    found = by_line.join(by_message, "file", "left").join(senders, "file", "left").fillna(zero)
+    for each in some:
+        name = each.columns[-1]
+        found = found.join(each, "file", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return found
