@@ -154,6 +154,7 @@ TARGET, LEAST_FOR_GAP, MOST_ROWS = 120, 80, 200
 QUIET_GAP_S, OVERLAP_ROWS, OVERLAP_AGE_S, SPAN_S = 4 * 3600, 20, 6 * 3600, 14 * 86400
 GATE_COUNT, GATE_AGE_S, TRANSCRIPTION_GRACE_S = 40, 6 * 3600, 300
 WINDOW_DAYS = 400
+JOIN_BURST_S = 45
 
 #: Dollars for a million tokens read and written, and for a minute of audio.
 TOKEN_PRICES = {"gpt-5.5-2026-04-23": ("5", "30")}

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tidewater.functions import keys, times
 from tidewater.functions import text as x
 from tidewater.operators import ingest as ing
+from tidewater.operators import joins
 from tidewater.operators import sequences as s
 from tidewater.plans.reading import events
 from tidewater.plans.registry import query, settled
@@ -261,3 +262,23 @@ def webhook_messages(spark, sf_dir):
     )
     bodies = table(spark, sf_dir, "conversations").select(F.to_json(F.struct(F.lit("message").alias("event"), payload.alias("payload"))).alias("body"))
     return webhook.messages(webhook.checked(bodies)).select("group_external_id", "provider_message_id", "sender_wa_jid", "sent_at", "text", "message_type")
+
+
+_JOINS = """
+with e as (select user_id as grp, event_id, ts, case when event_type in ('signup', 'view') then 'joined' else event_type end as kind from events),
+k as (select *, row_number() over (partition by grp order by ts, event_id) = 1 as first from e),
+f as (
+  select event_id, count(*) over (order by ts range between interval '899.999999' second preceding and current row) as appeared,
+    count(*) over (order by ts range between interval '899.999999' second preceding and interval 900 second following) as appeared_later from k where first),
+j as (
+  select k.grp, k.event_id, k.ts, kind, appeared, appeared_later,
+    case when kind <> 'joined' then 'not_a_join' when not first then 'already_known' when appeared > 1 then 'burst_suppressed' when appeared_later > 1 then 'withheld' else 'welcomed' end as outcome
+  from k left join f using (event_id))
+"""
+
+
+@query(_JOINS + "select grp, event_id, outcome, appeared, appeared_later from j")
+def group_joins(spark, sf_dir):
+    """What becomes of each group's events: of those that join, only the ones that turn up alone are welcomed."""
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("grp"), "event_id", "ts", F.when(F.col("event_type").isin("signup", "view"), "joined").otherwise(F.col("event_type")).alias("kind"))
+    return joins.outcomes(rows, "grp", "ts", "kind", ["event_id"], 900).select("grp", "event_id", "outcome", "appeared", "appeared_later")

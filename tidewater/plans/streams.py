@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewater.plans.registry import folder, query, utc
 from tidewater.session import table
+from tidewater.plans.messages import _JOINS
 from tidewater.streaming import flows
+from tidewater.streaming import joins
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +62,15 @@ def stream_admission(spark, sf_dir):
 def stream_gate(spark, sf_dir):
     """Users with enough messages waiting as they come in, or whose oldest, by the clock, has waited long enough."""
     return flows.drained(flows.gate(events(spark, sf_dir).select("user_id", "ts"), "user_id", "ts"), folder(spark), "gate")
+
+
+@query(_JOINS + "select grp::varchar as grp, event_id, outcome from j where outcome = 'burst_suppressed' or outcome in ('welcomed', 'withheld') and ts < (select max(ts) from events) - interval 901 second")
+def stream_group_joins(spark, sf_dir):
+    """Joins as they come in: refused at once in a burst, else held and asked about again."""
+    kind = F.when(F.col("event_type").isin("signup", "view"), "joined").otherwise(F.col("event_type"))
+    rows = events(spark, sf_dir).select("user_id", "event_id", "ts", kind.alias("kind"))
+    found = flows.drained(joins.joins(rows, "user_id", "ts", "kind", "event_id", window_s=900), folder(spark), "joins")
+    last = table(spark, sf_dir, "events").agg(F.max(utc("ts")).alias("last"))
+    at = table(spark, sf_dir, "events").select(F.col("event_id").alias("row"), utc("ts").alias("ts")).crossJoin(last)
+    met = found.join(at, "row").where((F.col("outcome") == "burst_suppressed") | (F.col("ts") < F.col("last") - F.expr("interval 901 seconds")))
+    return met.select(F.col("group").alias("grp"), F.col("row").alias("event_id"), "outcome")
