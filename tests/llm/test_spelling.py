@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from binascii import crc32
@@ -31,15 +32,19 @@ def made(seed, count, longest=7, letters="abé"):
 def test_automaton_finds_the_neighbours_of_all_pairs(seed):
     words = made(seed, 150)
     counts = {w: i + 1 for i, w in enumerate(words)}
-    trie = spelling.Trie.unpacked(spelling.Trie.packed([(w.encode("latin-1"), counts[w]) for w in words]))
-    for word in [*words, "", "zzz", "aaaaaaaaa"]:
-        found = sorted((p.decode("latin-1"), n) for p, n in trie.near(word.encode("latin-1")))
-        assert found == sorted((w, counts[w]) for w in words if at_one_edit(w, word))
+    entries = [(w.encode("latin-1"), counts[w]) for w in words]
+    asked = [*words, "", "zzz", "aaaaaaaaa"]
+    for cuts in ([0, len(words)], [0, 7, 60, len(words)]):
+        forest = spelling.Forest([spelling.packed(entries[a:b]) for a, b in itertools.pairwise(cuts)])
+        for order in (sorted(asked), asked[::-1]):
+            for word, nodes in forest.near(w.encode("latin-1") for w in order):
+                found = sorted((forest.spelt(x).decode("latin-1"), forest.count(x)) for x in nodes)
+                assert found == sorted((w, counts[w]) for w in words if at_one_edit(w, word.decode("latin-1")))
 
 
 def test_a_trie_is_compact():
     words = [w.encode() for w in made(1, 30_000, 12, "abcdefghij")]
-    assert len(spelling.Trie.packed([(w, 1) for w in words])) < sum(map(len, words)) * 2.2 + 8 * len(words)
+    assert len(spelling.packed([(w, 1) for w in words])) < sum(map(len, words)) * 2.2 + 8 * len(words)
 
 
 def plain(counts, times=2):

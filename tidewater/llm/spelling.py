@@ -6,14 +6,15 @@ depth-first: its state says whether the path is the word's beginning so far, and
 visited once and a branch ends where no state is left. Where the automaton accepts, the path spells a neighbour. Counts and best forms are
 reduced by word.
 
-A shard is a stretch of the sorted words: a word leaves one with which it doesn't share its beginning after a few nodes.
+Words go through the tries in order, so what words that begin alike have in common is walked once. A shard is a stretch of the words in
+order: those that begin otherwise leave it after a few nodes.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -31,6 +32,8 @@ SIZE, OCCURRENCES, TIMES = 5, 3, 2
 RARE = 97
 #: Words in a shard, and bytes of tries that are broadcast at a time. Of words beyond LONG code points, a shard has the fewer the longer they are.
 SHARD, PORTION, LONG = 65_536, 32 << 20, 64
+#: Words, about, that a task takes through the tries of a lot.
+TASK = 32_768
 
 
 def words(docs: DataFrame, size: int = SIZE, occurrences: int = OCCURRENCES, rare: int = RARE) -> DataFrame:
@@ -49,88 +52,114 @@ def words(docs: DataFrame, size: int = SIZE, occurrences: int = OCCURRENCES, rar
     return runs.select(word.alias("word")).where(F.char_length("word") >= size).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= occurrences)
 
 
-@dataclass
-class Trie:
-    """Nodes by level: node i's children are those from ``first[i]`` to ``first[i + 1]``, ``labels[i]`` leads to node i, ``ends[i]`` is its word's number or -1."""
-
-    labels: bytes
-    first: list[int]
-    ends: list[int]
-    counts: list[int]
-
-    @staticmethod
-    def packed(entries: list[tuple[bytes, int]]) -> bytes:
-        """The trie of ``entries`` (word, count), whose words are distinct and sorted."""
-        labels, degrees, ends, counts = bytearray(b"\0"), [], [], []
-        level = [(0, len(entries))]
-        depth = 0
-        while level:
-            below = []
-            for a, b in level:
-                whole = a < b and len(entries[a][0]) == depth
-                ends.append(len(counts) if whole else -1)
-                if whole:
-                    counts.append(entries[a][1])
-                    a += 1
-                heads = [entries[i][0][depth] for i in range(a, b)]
-                cuts = [a + i for i, (x, y) in enumerate(pairwise([None, *heads])) if x != y] + [b]
-                parts = list(pairwise(cuts)) if a < b else []
-                labels.extend(entries[i][0][depth] for i, _ in parts)
-                degrees.append(len(parts))
-                below += parts
-            level, depth = below, depth + 1
-        arrays = np.array(degrees, np.uint8), np.packbits(np.array(ends) >= 0), np.array(counts, np.int64)
-        return len(degrees).to_bytes(8, "little") + b"".join([bytes(labels), *(x.tobytes() for x in arrays)])
-
-    @staticmethod
-    def unpacked(data: bytes) -> Trie:
-        n = int.from_bytes(data[:8], "little")
-        bits = (n + 7) // 8
-        labels, degrees = data[8 : 8 + n], np.frombuffer(data, np.uint8, n, 8 + n)
-        whole = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8 + 2 * n), count=n).astype(bool)
-        counts = np.frombuffer(data[8 + 2 * n + bits :], np.int64)
-        first = np.concatenate([[1], 1 + np.cumsum(degrees, dtype=np.int64)])
-        return Trie(labels, first.tolist(), np.where(whole, np.cumsum(whole) - 1, -1).tolist(), counts.tolist())
-
-    def near(self, word: bytes) -> Iterator[tuple[bytes, int]]:
-        """(neighbour, count) of each word of the trie at one edit from ``word``: the intersection with its automaton, depth-first."""
-        labels, first, ends, size = self.labels, self.first, self.ends, len(word)
-        # (node, depth, exact, edits): the path may be the word's beginning, or be so but for a letter more (1), another (2) or one less (4).
-        stack = [(0, 0, True, 4)]
-        while stack:
-            node, depth, exact, edits = stack.pop()
-            if ends[node] >= 0 and (edits & 1 and depth == size + 1 or edits & 2 and depth == size or edits & 4 and depth == size - 1):
-                yield self.spelt(node), self.counts[ends[node]]
-            a, b = first[node], first[node + 1]
-            if a == b:
-                continue
-            waits = ((1, depth - 1), (2, depth), (4, depth + 1))
-            if exact:
-                right = word[depth] if depth < size else -1
-                for child in range(a, b):
-                    c = labels[child]
-                    after = 1  # a letter more
-                    for edit, at in waits:
-                        if edits & edit and at < size and word[at] == c:
-                            after |= edit
-                    if c == right:
-                        stack.append((child, depth + 1, True, after | (4 if depth + 1 < size else 0)))
-                    else:
-                        stack.append((child, depth + 1, False, after | (2 if depth < size else 0)))
-                continue
-            after = {}
-            for edit, at in waits:
-                if edits & edit and at < size:
-                    after[word[at]] = after.get(word[at], 0) | edit
-            for c, edit in after.items():
-                child = labels.find(c, a, b)
-                if child >= 0:
-                    stack.append((child, depth + 1, False, edit))
+def packed(entries: list[tuple[bytes, int]]) -> bytes:
+    """A trie of ``entries`` (word, count), whose words are distinct and sorted, level by level: of each node the letter that leads to it, how
+    many children it has and whether it ends a word; then the words' counts."""
+    labels, degrees, ends, counts = bytearray(b"\0"), [], [], []
+    level, depth = [(0, len(entries))], 0
+    while level:
+        below = []
+        for a, b in level:
+            whole = a < b and len(entries[a][0]) == depth
+            ends.append(whole)
+            if whole:
+                counts.append(entries[a][1])
+                a += 1
+            heads = [entries[i][0][depth] for i in range(a, b)]
+            cuts = [a + i for i, (x, y) in enumerate(pairwise([None, *heads])) if x != y] + [b]
+            parts = list(pairwise(cuts)) if a < b else []
+            labels.extend(entries[i][0][depth] for i, _ in parts)
+            degrees.append(len(parts))
+            below += parts
+        level, depth = below, depth + 1
+    arrays = np.array(degrees, np.uint8), np.packbits(np.array(ends, bool)), np.array(counts, np.int64)
+    return len(degrees).to_bytes(8, "little") + b"".join([bytes(labels), *(x.tobytes() for x in arrays)])
+
+
+class Forest:
+    """Tries side by side in a few arrays: node i's children are those from ``first[i]`` to ``first[i + 1]``, ``ends[i]`` is its word's number or -1."""
+
+    def __init__(self, packs: list[bytes]):
+        labels, first, ends, counts, self.roots = [], [], [], [], []
+        at = words = 0
+        for data in packs:
+            n = int.from_bytes(data[:8], "little")
+            bits = (n + 7) // 8
+            degrees = np.frombuffer(data, np.uint8, n, 8 + n)
+            whole = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8 + 2 * n), count=n).astype(bool)
+            self.roots.append(at)
+            labels.append(data[8 : 8 + n] + b"\0")  # a node without children after each trie
+            first.append(at + np.concatenate([[1], 1 + np.cumsum(degrees, dtype=np.int64)]))
+            ends.append(np.append(np.where(whole, words + np.cumsum(whole) - 1, -1), -1))
+            counts.append(np.frombuffer(data[8 + 2 * n + bits :], np.int64))
+            at, words = at + n + 1, words + len(counts[-1])
+        # Arrays of plain numbers: a few bytes a node, and quick to read one by one.
+        whole = lambda parts: array("q", np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64).tobytes())
+        self.labels, self.first, self.ends, self.counts = b"".join(labels), whole([*first, [at]]), whole(ends), whole(counts)
+
+    def near(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """(word, nodes of the words at one edit from it) for each of ``words``, best in order.
+
+        The automata of all words go through the tries together, depth-first: a word's automaton is in the states of the one before it as far
+        as the two words agree. A state (node, exact, edits) says that the path to the node may be the word's beginning, or be so but for
+        a letter more (1), another letter (2) or a letter less (4). Where no state is left, the branch ends.
+        """
+        first, labels, ends = self.first, self.labels, self.ends
+        find = labels.find
+        held: list[list[tuple[int, bool, int]]] = []  # the states at each depth
+        last = b""
+        for word in words:
+            size, same = len(word), 0
+            for x, y in zip(word, last, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del held[same:]  # the states at a depth hang on one letter more than that
+            last = word
+            if not held:
+                held.append([(root, True, 4 if size else 0) for root in self.roots])
+            while len(held) < size + 2 and held[-1]:
+                depth = len(held)
+                more = word[depth - 2] if 1 < depth < size + 2 else -1  # the letters that each kind of state waits for
+                other = word[depth - 1] if depth <= size else -1
+                less = word[depth] if depth < size else -1
+                skip, change = 4 if depth < size else 0, 2 if depth <= size else 0
+                states = []
+                for node, exact, edits in held[-1]:
+                    a, b = first[node], first[node + 1]
+                    if a == b:
+                        continue
+                    if exact:
+                        for child in range(a, b):
+                            c = labels[child]
+                            after = 1 | (edits & 2 if c == other else 0) | (edits & 4 if c == less else 0)
+                            states.append((child, True, after | skip) if c == other else (child, False, after | change))
+                        continue
+                    for c, bit in ((more, 1), (other, 2), (less, 4)):
+                        if edits & bit and c >= 0:
+                            after = bit
+                            if bit < 2 and edits & 2 and c == other:
+                                after |= 2
+                            if bit < 4 and edits & 4 and c == less:
+                                after |= 4
+                            edits &= ~after
+                            child = find(c, a, b)
+                            if child >= 0:
+                                states.append((child, False, after))
+                held.append(states)
+            found = []
+            for depth, bit in ((size - 1, 4), (size, 2), (size + 1, 1)):
+                if 0 <= depth < len(held):
+                    found += [node for node, exact, edits in held[depth] if edits & bit and ends[node] >= 0 and not (exact and depth == size)]
+            yield word, found
+
+    def count(self, node: int) -> int:
+        return self.counts[self.ends[node]]
 
     def spelt(self, node: int) -> bytes:
         """The path from the root to a node."""
         path = bytearray()
-        while node:
+        while node not in self.roots:
             path.append(self.labels[node])
             node = bisect_right(self.first, node) - 1
         return bytes(reversed(path))
@@ -142,7 +171,7 @@ def tries(vocabulary: DataFrame, shard: int = SHARD) -> DataFrame:
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
         entries = [(w.encode("latin-1"), n) for w, n in zip(group.column("word").to_pylist(), group.column("n").to_pylist(), strict=True)]
-        trie = Trie.packed(entries)
+        trie = packed(entries)
         return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.string()), "trie": pa.array([trie], pa.binary()), "size": pa.array([len(trie)], pa.int64())})
 
     # Latin-1 has the order of code points, and so has UTF-8. Classes of words by length: each twice as long, and half as many in a shard.
@@ -174,25 +203,26 @@ def neighbours(vocabulary: DataFrame, shard: int = SHARD, portion: int = PORTION
     spark = vocabulary.sparkSession
     shards = written(tries(vocabulary, shard), "spelling-tries")
     schema = "word string, n_near long, best string, best_n long"
+    # In order, so that words that begin alike go through the tries together.
+    words = vocabulary.select("word").repartitionByRange(-(-vocabulary.count() // TASK) or 1, "word").sortWithinPartitions("word")
     out = None
     for lot in portions([tuple(r) for r in shards.select("shard", "size").orderBy("shard").collect()], portion):
         sent = spark.sparkContext.broadcast([bytes(r.trie) for r in shards.where(F.col("shard").isin(lot)).orderBy("shard").collect()])
 
         def walk(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = [Trie.unpacked(t) for t in sent.value]
+            forest = Forest(sent.value)
             for batch in batches:
                 rows: list[tuple] = []
-                for text in batch.column(0).to_pylist():
-                    word = text.encode("latin-1")
-                    found = [x for trie in held for x in trie.near(word)]
+                for word, found in forest.near(x.encode("latin-1") for x in batch.column(0).to_pylist()):
                     if found:
-                        best, n = min(found, key=lambda x: (-x[1], x[0]))
-                        rows.append((text, len(found), best.decode("latin-1"), n))
+                        most = max(map(forest.count, found))
+                        best = min(forest.spelt(x) for x in found if forest.count(x) == most)
+                        rows.append((word.decode("latin-1"), len(found), best.decode("latin-1"), most))
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 kinds = pa.string(), pa.int64(), pa.string(), pa.int64()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["word", "n_near", "best", "best_n"])
 
-        found = written(vocabulary.select("word").repartition("word").mapInArrow(walk, schema), "spelling-near")
+        found = written(words.mapInArrow(walk, schema), "spelling-near")
         sent.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
