@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from tidewater.functions import money, nested
 from tidewater.functions import vocabulary as v
 from tidewater.operators import sequences
+from tidewater.session import settled as settled_rows
+from tidewater.sources.keyed import KeyedTable
 from tidewater.sources.storage import VersionedTable
 
 #: Levels of effort, from least to most.
@@ -88,26 +90,63 @@ def called(requests: DataFrame, call: Callable[[dict], dict], prompt: str = "pro
     return requests.repartition(at_once).mapInPandas(run, schema)
 
 
-def called_down(chunks: DataFrame, by: list[str], render: Callable[[DataFrame], DataFrame], call: Callable[[dict], dict], settle: Callable[[DataFrame], DataFrame], least: int = 30, rounds: int = 4, **options) -> DataFrame:
+def called_down(chunks: DataFrame, by: list[str], render: Callable[[DataFrame], DataFrame], call: Callable[[dict], dict], settle: Callable[[DataFrame], DataFrame], least: int = 30, overlap: int = v.OVERLAP_ROWS, **options) -> DataFrame:
     """Outcomes of chunks (by, chunk_id, chunk_place and what ``render`` makes a ``prompt`` for each chunk of): those too large are asked again in halves.
 
-    Halves of chunk "3" are "3.1" and "3.2"; chunks of ``least`` rows or fewer are left as they are. Each round is ``settle``d (written), so that
-    nobody is asked twice.
+    Rows of a chunk whose ``context`` is true may be read only, and have places of their own; without that column there are none. The first half
+    of a chunk keeps its context, the second has the last ``overlap`` rows of the first. Halves of chunk "3" are "3.1" and "3.2"; chunks of
+    ``least`` rows or fewer are left as they are, so it ends. Each round is ``settle``d (written), so that nobody is asked twice.
     """
     rest, found = chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")), None
-    for n in range(rounds + 1):
+    if "context" not in rest.columns:
+        rest = rest.withColumn("context", F.lit(False))
+    while True:
         done = settle(called(render(rest), call, **options))
-        sizes = rest.groupBy(*by, "chunk_id").agg(F.max("chunk_place").alias("_n"))
-        split = (F.col("status") == "too_large") & (F.col("_n") > least) if n < rounds else F.lit(False)
+        sizes = rest.where("not context").groupBy(*by, "chunk_id").agg(F.max("chunk_place").alias("_n"))
+        split = (F.col("status") == "too_large") & (F.col("_n") > least)
         judged = done.join(sizes, [*by, "chunk_id"])
         kept = judged.where(~split).drop("_n")
         found = kept if found is None else found.unionByName(kept)
         large = judged.where(split).select(*by, "chunk_id")
         if large.isEmpty():
+            return found
+        mine = rest.join(large, [*by, "chunk_id"], "left_semi")
+        halves, tails = sequences.halved(mine.where("not context"), by, least, overlap)
+        first = mine.where("context").withColumn("half", F.lit(1))
+        second = tails.withColumns({"context": F.lit(True), "half": F.lit(2)})
+        parts = halves.unionByName(first).unionByName(second)
+        rest = settle(parts.withColumn("chunk_id", F.concat_ws(".", "chunk_id", F.col("half").cast("string"))).drop("half"))
+
+
+def called_within(requests: DataFrame, by: list[str], number: str, call: Callable[[dict], dict], runs: KeyedTable, limit: str, model: str, prices: dict[str, tuple[str, str]], spent: DataFrame | None = None, monthly: str = "15", at_once: int = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of the requests of runs (by) that must not cost more than ``limit``, and the requests that were left, with ``reason``.
+
+    A run's requests go ``at_once`` at a time in order of ``number``; what the audit in ``runs`` (a table by ``by`` and ``number``) says they cost
+    decides whether the next ones go out: a run goes on until it has spent ``limit``, so it may go over by one round. Runs go side by side. A run whose
+    ``spent`` (by, spent: what was spent before, by any run) has reached ``monthly`` isn't begun.
+
+    Each round is in the audit, whole, before the next one begins. After a crash the same call goes on where the audit ends: only requests of the
+    round that was lost are asked again. ``reason``: budget (not begun), spend_cap.
+    """
+    spark, key = requests.sparkSession, [*by, number]
+    kept = [c for c in requests.columns if c not in key and c != "prompt"]
+    cost = money.token_cost(F.lit(model), F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), prices)
+    shut = spark.createDataFrame([], requests.select(*by).schema) if spent is None else spent.where(F.col("spent") >= F.lit(monthly).cast("decimal(10,2)")).select(*by).distinct()
+    # A round asks a bounded number of requests of each run; ``settled`` calls are made once, however often they are read.
+    while True:
+        audit = runs.read()
+        waiting = requests.join(shut, by, "left_anti")
+        if audit is not None:
+            over = audit.groupBy(*by).agg(F.sum("cost").alias("_c")).where(F.col("_c") >= F.lit(limit).cast("decimal(12,6)")).select(*by)
+            waiting = waiting.join(audit.select(*key), key, "left_anti").join(over, by, "left_anti")
+        turn = waiting.withColumn("_turn", F.row_number().over(Window.partitionBy(*by).orderBy(number))).where(F.col("_turn") <= at_once).drop("_turn")
+        if turn.isEmpty():
             break
-        halves, _ = sequences.halved(rest.join(large, [*by, "chunk_id"], "left_semi"), by, least)
-        rest = settle(halves.withColumn("chunk_id", F.concat_ws(".", "chunk_id", F.col("half").cast("string"))).drop("half"))
-    return found
+        done = settled_rows(called(turn, call, at_once=at_once, **options))
+        runs.put(done.select(*key, *kept, F.lit(model).alias("model"), "status", "attempts", "output", "input_tokens", "cached_input_tokens", "output_tokens", cost.alias("cost"), "error"))
+    left = requests if audit is None else requests.join(audit.select(*key), key, "left_anti")
+    begun = left.join(shut.withColumn("_shut", F.lit(True)), by, "left")
+    return runs.read(), begun.withColumn("reason", F.when(F.col("_shut"), "budget").otherwise("spend_cap")).drop("_shut")
 
 
 def audited(outcomes: DataFrame, runs: VersionedTable, by: list[str], purpose: str, model: str, prices: dict[str, tuple[str, str]]) -> DataFrame:

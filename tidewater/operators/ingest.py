@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import keys, times
 from tidewater.functions import text as x
+from tidewater.operators import pieces
 from tidewater.operators.graphs import components
 from tidewater.operators.pieces import PIECE, parted
 from tidewater.operators.sequences import in_order, occurrences
+from tidewater.session import settled
 
 SPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 
@@ -33,20 +35,46 @@ MEMBERS = "tenant_id string, member_id string, display_name string, wa_jid strin
 RESOLVED = "tenant_id string, kind string, member_id string, display_name string, wa_jid string, wa_lid string, name_folded string, created_at timestamp, is_new boolean, said_jid string, said_lid string, said_name string"
 
 
-def resolve(senders: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Senders and members, about, that are resolved in one group.
+PEOPLE = 4096
+
+
+def _parts(said: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part``: of tenants with over ``most`` people, those who share an address or a name over any chain have the same one."""
+    people = said.select("tenant_id", "wa_jid", "wa_lid", "name_folded", F.lit(None).cast("string").alias("member_id")).unionByName(known.select("tenant_id", "wa_jid", "wa_lid", "name_folded", "member_id"))
+    sizes = settled(people.groupBy("tenant_id").agg(F.count("*").alias("_size")).where(F.col("_size") > most))
+    if sizes.isEmpty():
+        return said.withColumn("part", F.lit(0).cast("long")), known.withColumn("part", F.lit(0).cast("long"))
+    node = lambda mark, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat_ws("\x1f", F.coalesce("tenant_id", F.lit("")), F.lit(mark), c))
+    names = [node("jid", "wa_jid"), node("lid", "wa_lid"), node("name", "name_folded")]
+    large = pieces.matched(people, sizes, ["tenant_id"]).select(F.coalesce(*names, node("member", "member_id")).alias("a"), F.explode(F.array(*names, node("member", "member_id"))).alias("b"))
+    groups = components(large)
+
+    def dealt(rows: DataFrame, last) -> DataFrame:
+        keyed = pieces.matched(rows.withColumn("_node", F.coalesce(*names, last)), sizes, ["tenant_id"], "left")
+        found = keyed.join(groups.select(F.col("node").alias("_node"), "component"), "_node", "left")
+        part = F.pmod(F.xxhash64("component"), F.ceil(F.col("_size") / most))
+        return found.withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).select(*rows.columns, "part")
+
+    return dealt(said, F.lit(None).cast("string")), dealt(known, node("member", "member_id"))
+
+
+def resolve(senders: DataFrame, members: DataFrame, most: int = PEOPLE) -> tuple[DataFrame, DataFrame]:
     """(tenant_id, wa_jid, wa_lid, display_name, member_id) for each distinct sender, and the members afterwards.
 
     A sender is the member of the same jid; else of the same lid, if nothing contradicts it (if something does, a new one); else
     the longest known member of the same folded name that nothing contradicts; else a new member. Members learn addresses they
-    lack. Senders go in order of (jid, lid, name), as each may change what the next one finds: a tenant's distinct senders, a
-    few people, are one small group. ``senders``: tenant_id, wa_jid, wa_lid, display_name. ``members``: tenant_id, member_id,
-    display_name, wa_jid, wa_lid, created_at.
+    lack. Senders go in order of (jid, lid, name), as each may change what the next one finds; but only what those do that share an
+    address or a name, or are linked by a chain of such. So a tenant of over ``most`` people is parted by connected components, as many to
+    a group as make about ``most``. ``senders``: tenant_id, wa_jid, wa_lid, display_name. ``members``: tenant_id, member_id, display_name,
+    wa_jid, wa_lid, created_at.
     """
     blank = lambda c: F.nullif(x.stripped(F.col(c)), F.lit(""))
     said = senders.select(F.col("tenant_id").cast("string").alias("tenant_id"), x.address(F.col("wa_jid")).alias("wa_jid"), x.address(F.col("wa_lid")).alias("wa_lid"), blank("display_name").alias("display_name"))
     said = said.where("coalesce(wa_jid, wa_lid, display_name) is not null").distinct().withColumn("name_folded", x.fold_name(F.col("display_name")))
     known = members.select(F.col("tenant_id").cast("string").alias("tenant_id"), "member_id", "display_name", "wa_jid", "wa_lid", "created_at").withColumn("name_folded", x.fold_name(F.col("display_name")))
-    out = said.groupBy("tenant_id").cogroup(known.groupBy("tenant_id")).applyInPandas(_resolve_tenant, RESOLVED)
+    said, known = _parts(said, known, most)
+    out = said.groupBy("tenant_id", "part").cogroup(known.groupBy("tenant_id", "part")).applyInPandas(_resolve_tenant, RESOLVED)
     resolved = out.where("kind = 'sender'").select("tenant_id", F.col("said_jid").alias("wa_jid"), F.col("said_lid").alias("wa_lid"), F.col("said_name").alias("display_name"), "member_id", "is_new")
     after = out.where("kind = 'member'").select("tenant_id", "member_id", "display_name", "wa_jid", "wa_lid", "created_at", "is_new")
     return resolved, after

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import keys
+from tidewater.sources.keyed import KeyedTable
 
 #: Columns of an event that a hand edit keeps from being overwritten.
 PROTECTABLE = ("kind", "occurred_at", "occurred_at_precision", "title", "body", "details", "actor_member_id")
@@ -48,6 +49,15 @@ def upsert(stored: DataFrame, rows: DataFrame, on: list[str], protectable: list[
     return old.join(new, same, "full").select(*[value(c).alias(c) for c in stored.columns])
 
 
+def upserted(table: KeyedTable, rows: DataFrame, on: list[str], protectable: list[str], evidence: dict[str, Column], now: Column) -> int:
+    """``upsert`` on a table that others may change too: reads the buckets that ``rows`` fall in and writes only rows of their keys."""
+
+    def work(stored: DataFrame | None) -> tuple[DataFrame, None]:
+        return upsert(rows.limit(0) if stored is None else stored.select(*rows.columns), rows, on, protectable, evidence, now), None
+
+    return table.change(rows, work)
+
+
 def stamped(rows: DataFrame, ids: DataFrame, on: list[str], column: str, now: Column) -> DataFrame:
     """``rows`` with ``column`` set to ``now`` where it is null and the key is among ``ids``; a second time changes nothing."""
     hit = rows.join(ids.select(*on).distinct().withColumn("_hit", F.lit(True)), on, "left")
