@@ -96,3 +96,31 @@ def test_broken_markup_takes_time_in_proportion(bad):
     began = time.process_time()
     assert html.main_text(bad)[:2] in ("", "ok", "x", "<<")
     assert time.process_time() - began < 1.5
+
+
+@pytest.mark.parametrize("name", sorted({*html.BLOCK, *html.VOID, *html.FURNITURE, *html.WRAPPERS, *html.RAW, "head", "a", "b", "span"}))
+def test_an_element_that_repeats_without_end(name):
+    for bad in (f"<{name}>" * 50_000, f"<{name} class='comments'>x" * 20_000):
+        began = time.process_time()
+        html.main_text(bad)
+        assert time.process_time() - began < 4
+
+
+BODY = "<h1>Title</h1>" + "".join(f"<p>{'word ' * 60}</p>" for _ in range(4)) + "<p>End.</p>"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "comments-2", "related-posts", "share-buttons", "ad-slot-300"])
+def test_furniture_inside_an_article_goes(name):
+    text = html.main_text(f"<body><article>{BODY}<div class='{name}'><p>{'nice ' * 80}</p></div></article></body>")
+    assert text.startswith("Title\nword") and text.endswith("End.") and "nice" not in text
+
+
+@pytest.mark.parametrize("page", ["<form><nav>home about</nav><article>{}</article><input></form>", "<noscript><main>{}</main></noscript>", "<nav><a href=x>home</a><article>{}</article>", "<form action=x><div>{}</div></form>"])
+def test_no_wrapper_loses_the_article(page):
+    text = html.main_text("<body>" + page.format(BODY) + "</body>")
+    assert text.startswith("Title\nword") and text.endswith("End.") and "home" not in text
+
+
+def test_small_forms_go():
+    text = html.main_text(f"<body><article>{BODY}<form><p>{'subscribe ' * 40}</p></form></article><form><p>{'search ' * 60}</p></form></body>")
+    assert text.endswith("End.") and "subscribe" not in text and "search" not in text

@@ -283,7 +283,7 @@ def test_pages_on_odd_rows(spark):
 def test_every_prefix_has_its_shares(spark):
     sources = ["a"] * 700 + ["b"] * 260 + [None] * 40
     docs = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "doc_id long, source string").withColumn("mix_slot", F.lit("x"))
-    out = mixing.mix(docs, {"a": 2.0, "b": 1.0, "": 1.0}, block=4).collect()
+    out = mixing.mix(docs, {"a": 2.0, "b": 1.0, None: 1.0}, block=4).collect()
     assert sorted(r.doc_id for r in out) == list(range(1000)) and len({r.mix_position for r in out}) == 1000
     slots = {r.mix_slot: r.source or "" for r in out}
     assert sorted(slots) == list(range(len(slots)))
@@ -359,6 +359,26 @@ def test_mixing_odd_rows(spark, odd):
     assert set(out.columns) == set(odd.columns) | {"mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position"}
 
 
+def test_null_and_empty_sources_share_no_block(spark):
+    docs = spark.createDataFrame([(i, (None, "", "=")[i % 3]) for i in range(600)], "doc_id long, source string")
+    out = mixing.mix(docs, block=8).collect()
+    by = defaultdict(set)
+    for r in out:
+        by[r.mix_slot].add(r.source)
+    assert all(len(s) == 1 for s in by.values()) and {s for x in by.values() for s in x} == {None, "", "="} and len(out) == 600
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Names that operators use on the way, on tables that have them: each comes out as it went in."""
+    names = ["_hash", "_gone", "_doc", "_tag", "_found", "_place", "_own", "_bucket", "_rank", "_first", "_source", "_kind"]
+    r = random.Random(3)
+    docs = documents(spark, [" ".join(r.choice(WORDS) for _ in range(30)) for _ in range(12)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    benchmark = spark.createDataFrame([(1, "what no document says at all in so many words")], "item_id long, text string")
+    for out in (mixing.mix(docs, block=2), linededup.without_repeated_lines(docs), decontaminate.without_contaminated(docs, benchmark), nearcopies.one_of_each(docs)):
+        rows = out.collect()
+        assert len(rows) == 12 and all(row[n] == f"{n}{row.doc_id}" for row in rows for n in names) and set(docs.columns) <= set(out.columns)
+
+
 def test_more_sources_than_a_driver_would_list(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("site"), F.col("id") % 1500)).alias("source"))
     out = mixing.mix(docs, block=4).collect()

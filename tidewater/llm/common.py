@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,18 @@ def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return found.select(*rows.columns, (F.col("place_before") + F.col("place_at") - F.col("place_first")).alias("place"))
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns, which begin with an underscore, meet no column of its first table: such ones go through it under other names."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *given, **named) -> DataFrame:
+        safe = {c: f"kept{i}-{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        out = operator(docs.withColumnsRenamed(safe) if safe else docs, *given, **named)
+        return out.withColumnsRenamed({held: c for c, held in safe.items()}) if safe else out
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small tables that loops read again."""
     shared_dir(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import gram_hashes, map_rows, mixed, texts_of, word_hashes, written
+from tidewater.llm.common import gram_hashes, map_rows, mixed, shielded, texts_of, word_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 19
@@ -255,6 +255,7 @@ def contaminated(
     return reduce(DataFrame.unionByName, [against(p) for p in range(parts)])
 
 
+@shielded
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item. Rows with a null doc_id stay."""
     found = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct(), "leaks")

@@ -5,8 +5,8 @@ weighs as many characters as it has, or nothing if it is mostly links. Sums over
 at the first line from which a window weighs ``SURGE``, and dives after the last line up to which one does; runs are parted where a
 whole window weighs nothing. The text between the points is the page's.
 
-Markup is evidence beside it. Elements that are never text (menus, footers, asides, forms) are left out. Elements whose class or role
-says so are left out, unless all runs of the page stand in such elements: then the one with most text counts. An element that marks
+Markup is evidence beside it. Elements that are never text (menus, footers, asides) are left out. Forms, and elements whose class or role
+says so, are left out, unless all runs of the page stand in such elements: then the one with most text counts. An element that marks
 the article gives the borders, unless text outside it weighs more in its densest window than any inside.
 """
 
@@ -36,7 +36,9 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
-FURNITURE = frozenset("nav footer aside form button dialog menu noscript template svg object math select canvas audio video".split())
+FURNITURE = frozenset("nav footer aside button dialog menu template svg object math select canvas audio video".split())
+#: Elements that are none either, but for pages that stand in one as a whole.
+WRAPPERS = frozenset(("form", "noscript"))
 #: Words of class, id or role that say the same, and words that may stand beside them in one name ("comment-list").
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -44,7 +46,7 @@ FURNITURE_WORDS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
     "pagination pager skip search copyright contentinfo complementary alert alertdialog tags tag hidden".split()
 )
-BESIDE = frozenset("list lists box bar wrap wrapper container section area block left right top bottom form inner outer item items links link text site page main global the".split())
+BESIDE = frozenset("list lists box bar wrap wrapper container section area block left right top bottom form inner outer item items links link text site page main global the user users reader readers post posts button buttons slot slots unit".split())
 #: Words that say it of an element only outside an article.
 OUTER_WORDS = frozenset(("header", "head"))
 ARTICLE = frozenset(("article", "main"))
@@ -158,7 +160,9 @@ def block_lines(page: str) -> list[Line]:
                         break  # an inline element doesn't close the blocks inside it
             continue
         if name == "head":
-            over = HEAD_END.search(page, at)
+            over = None if name in gone else HEAD_END.search(page, at)
+            if not over:
+                gone.add(name)
             at = over.end() if over else at
             continue
         if name in RAW:
@@ -173,9 +177,11 @@ def block_lines(page: str) -> list[Line]:
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
+        if name in ARTICLE and opened.get("nav"):  # no menu holds an article: its end tag is missing
+            close(next(i for i, x in enumerate(stack) if x[0] == "nav"))
         names, covered = attributes(rest) if rest else ([], False)
         marks = name in ARTICLE or any(n in ARTICLE_WORDS for n in names)
-        says = name not in ("html", "body") and not marks and any(furnishes(n, article) for n in names)
+        says = name in WRAPPERS or name not in ("html", "body") and not marks and any(furnishes(n, article) for n in names)
         hides = covered or name in FURNITURE or name == "header" and not article
         if name in BLOCK or hides or says:
             if name not in BLOCK:
@@ -205,7 +211,7 @@ def furnishes(name: str, inside: bool) -> bool:
     """Whether a name says furniture: each of its words does, or stands beside one that does."""
     words = [w for w in re.split(r"[_-]", name) if w]
     known = FURNITURE_WORDS if inside else FURNITURE_WORDS | OUTER_WORDS
-    return any(w in known for w in words) and all(w in known or w in BESIDE for w in words)
+    return any(w in known for w in words) and all(w in known or w in BESIDE or w.isdigit() for w in words)
 
 
 def runs(weight: np.ndarray, span: int, surge: int) -> list[tuple[int, int, int]]:
@@ -255,9 +261,9 @@ def main_lines(lines: list[Line], span: int = SPAN, surge: int = SURGE) -> list[
             doubtful.setdefault(x.doubt, []).append(x)
     if doubtful and most < surge:
         best = max(doubtful.values(), key=lambda part: sum(len(x.text) - x.linked for x in part))
-        found, weight = between(best)
+        found, weight = between([x for x in best if x.article] or best)
         if weight >= surge and weight > most:
-            return found
+            return [x.text for x in best if x.article] or found
     return text
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import shielded, written
 
 #: What a run of lines must have to count as repeated: so many characters, in one line or several, or so many lines.
 CHARACTERS, LINES = 24, 3
@@ -88,6 +88,7 @@ def repeated_runs(docs: DataFrame, characters: int = CHARACTERS, most: int = LIN
     return later.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("rows"))).alias("gone"))
 
 
+@shielded
 def without_repeated_lines(docs: DataFrame, characters: int = CHARACTERS, most: int = LINES, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its repeated runs of lines, and the long columns ``n_lines`` and ``n_removed`` after it.
 

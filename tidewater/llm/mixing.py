@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import written
+from tidewater.llm.common import shielded, written
 
 #: Documents in a block.
 BLOCK = 64
@@ -124,7 +124,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return ranked.join(firsts, ["_source", "_bucket"]).withColumn("_place", F.col("_first") + F.col("_rank")).drop("_bucket", "_first", "_rank", "_hash")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
+@shielded
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
     """``docs`` with its place in the mixture: all rows, none twice.
 
     Adds ``mix_block`` (the block's number in its source), ``mix_slot`` (the slot of that block), ``mix_release`` and
@@ -133,17 +134,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     last block isn't full). Up to any slot of a phase, a source has had its share of the phase's slots to within one block.
 
     ``weights`` are the target weights by source; sources without one weigh as the least of those given. Without
-    ``weights``, a source weighs the square root of its count of documents. A null source is a source of its own, by the name "".
+    ``weights``, a source weighs the square root of its count of documents. A null source is a source of its own (None in ``weights``), the empty name another.
     Rows with a null doc_id, and repeated ones, are placed like any other, in any order among those that are wholly alike in it. Sources of equal weight
-    go in order of their names where their deadlines agree. Columns with the added names are replaced.
+    go in order of their names where their deadlines agree. Columns with the added names are replaced; all others stay, whatever their names.
     An empty table gives an empty result. Any number of sources will do; the table of sources never reaches the driver.
     """
     added = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_phase", "mix_position")
-    docs = docs.drop(*added).withColumn("_source", F.coalesce(F.col(source), F.lit("")))
+    # A name of its own for rows without source, which no source can have.
+    docs = docs.drop(*added).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     counts = docs.groupBy("_source").agg(F.count("*").alias("_n"))
     weight = F.sqrt("_n")
     if weights is not None:
-        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _given double")
+        given = docs.sparkSession.createDataFrame([("" if s is None else f"={s}", float(w)) for s, w in weights.items()], "_source string, _given double")
         counts, weight = counts.join(F.broadcast(given), "_source", "left"), F.coalesce("_given", F.lit(float(min(weights.values()))))
     blocks = written(planned(counts.select("_source", F.expr(f"(_n + {block - 1}) div {block}").alias("_blocks"), weight.alias("_weight"))), "mix-blocks")
     # A row for each block, and a source's blocks lie apart: a hot source is many keys of a block each.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm import simhash
-from tidewater.llm.common import components, gram_hashes, map_rows, mixed, texts_of, word_hashes, written
+from tidewater.llm.common import components, gram_hashes, map_rows, mixed, shielded, texts_of, word_hashes, written
 
 #: Words in a shingle; sets are alike if PARTS times their intersection is at least ALIKE times their union.
 WORDS, ALIKE, PARTS = 5, 4, 5
@@ -201,6 +201,7 @@ def joined(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, known: DataFram
     return both.unionByName(fresh)
 
 
+@shielded
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of smallest doc_id.
 
