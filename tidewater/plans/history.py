@@ -10,8 +10,9 @@ from tidewater.functions import text as x
 from tidewater.operators import events as ev
 from tidewater.operators import mutations as mu
 from tidewater.plans.reading import events
-from tidewater.plans.registry import AT, ZONE, now, query
+from tidewater.plans.registry import AT, QUERIES, ZONE, folder, now, query
 from tidewater.session import table
+from tidewater.sources.keyed import KeyedTable
 
 _GRAIN = "case event_id % 5 when 0 then 'exact' when 1 then 'day' when 2 then 'week' when 3 then 'month' else 'unknown' end"
 _LOCAL = f"((ts at time zone 'UTC') at time zone '{ZONE}')"
@@ -138,6 +139,15 @@ from stored s full join incoming i using (tenant_id, dedup_key)"""
 )
 def event_upsert(spark, sf_dir):
     """Events written again: hands off what people edited, deleted or pinned; evidence only grows."""
+    stored, incoming, *how = _upserts(spark, sf_dir)
+    return _upserted(mu.upsert(stored, incoming, *how))
+
+
+def _upserted(found):
+    return found.select("tenant_id", "dedup_key", "kind", "title", F.array_join("sources", ",").alias("sources"), F.col("updated_at").isNotNull().cast("int").alias("updated"))
+
+
+def _upserts(spark, sf_dir):
     k, none = F.col("o_orderkey"), F.lit(None).cast("timestamp")
     base = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant_id"), k.alias("dedup_key"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").cast("decimal(12,2)").alias("title"), "o_orderkey")
     flags = lambda own: {
@@ -151,8 +161,18 @@ def event_upsert(spark, sf_dir):
     stored = base.where("o_orderkey % 4 < 3").withColumns(flags(True)).drop("o_orderkey")
     incoming = base.where("o_orderkey % 4 > 1").withColumns({"kind": F.lit("X"), "title": (F.col("title") + 1).cast("decimal(12,2)")}).withColumns(flags(False)).drop("o_orderkey")
     evidence = {"sources": nested.ordered_union(F.col("old.sources"), F.col("new.sources"))}
-    found = mu.upsert(stored, incoming, ["tenant_id", "dedup_key"], ["kind", "title"], evidence, now())
-    return found.select("tenant_id", "dedup_key", "kind", "title", F.array_join("sources", ",").alias("sources"), F.col("updated_at").isNotNull().cast("int").alias("updated"))
+    return stored, incoming, ["tenant_id", "dedup_key"], ["kind", "title"], evidence, now()
+
+
+@query(QUERIES["event_upsert"].sql)
+def stored_upserts(spark, sf_dir):
+    """The same on a table by key: each of two upserts reads the buckets that it touches, and writes only its own rows."""
+    stored, incoming, *how = _upserts(spark, sf_dir)
+    held = KeyedTable(spark, folder(spark), how[0], buckets=8)
+    held.overwrite(stored)
+    for half in (0, 1):
+        mu.upserted(held, incoming.where(F.col("dedup_key") % 2 == half), *how)
+    return _upserted(held.read())
 
 
 @query("""

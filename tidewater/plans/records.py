@@ -7,12 +7,16 @@ import json
 from pyspark.sql import functions as F
 
 from tidewater.functions import keys, lines, nested, times
+from tidewater.functions import text as x
 from tidewater.operators import calls, mutations, transcripts
+from tidewater.operators import events as ev
+from tidewater.operators import ingest as ing
 from tidewater.operators import reading as r
 from tidewater.plans.reading import events
-from tidewater.plans.registry import AT, ZONE, now, query
+from tidewater.plans.registry import AT, ZONE, folder, now, query, settled
 from tidewater.session import table
 from tidewater.sources import exports, storage, synthetic
+from tidewater.sources.keyed import KeyedTable
 
 _LOCAL = f"((ts at time zone 'UTC') at time zone '{ZONE}')"
 
@@ -201,7 +205,7 @@ select event_id, coalesce(spent, 0) + coalesce(sum(cost) over (partition by user
 def budget_guard(spark, sf_dir):
     """Requests are refused once what a tenant has spent, and its requests before, reach its limit."""
     rows = events(spark, sf_dir).withColumn("cost", F.col("value").cast("decimal(10,2)"))
-    requests = r.newest(rows, ["user_id"], [F.col("ts"), F.col("event_id")], 2**31 - 1).select("event_id", "user_id", "cost", F.col("place").alias("request_no"))
+    requests = ev.numbered(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "request_no").select("event_id", "user_id", "cost", "request_no")
     spent = rows.groupBy("user_id").agg(F.sum(F.when(F.col("event_id") % 5 == 0, F.col("cost")).otherwise(0)).alias("spent"))
     return calls.guarded(requests, spent, "user_id", "cost", "300").select("event_id", "allowed")
 
@@ -263,3 +267,44 @@ def wall_clocks(spark, sf_dir):
     """Times as clocks of a zone show them, as instants."""
     shown = F.col("o_orderdate") + F.expr("interval 9 hours")
     return table(spark, sf_dir, "orders").select("o_orderkey", times.from_wall_clock(shown, ZONE).alias("at"))
+
+
+@query("""
+with q as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as k, 1 + event_id % 3 as cost from events),
+r as (select *, coalesce(sum(cost) over (partition by user_id order by (k - 1) // 4 range between unbounded preceding and 1 preceding), 0) as before from q)
+select event_id, case when user_id % 10 = 0 then 'budget' when before < 14 then 'completed' else 'spend_cap' end as fate from r""")
+def spending_runs(spark, sf_dir):
+    """Each user's requests go out four at a time until a run has spent its limit by the audit; users who have spent the month's aren't begun."""
+    requests = ev.numbered(events(spark, sf_dir), ["user_id"], [F.col("ts"), F.col("event_id")], "request_no")
+    requests = settled(requests.select("event_id", "user_id", "request_no", F.col("event_id").cast("string").alias("prompt")))
+    spent = requests.select("user_id", F.when(F.col("user_id") % 10 == 0, 15).otherwise(14).cast("decimal(10,2)").alias("spent")).distinct()
+    audit = KeyedTable(spark, folder(spark), ["user_id", "request_no"], buckets=8)
+    call = lambda request: {"output": "{}", "input_tokens": 1_000_000 * (1 + int(request["prompt"]) % 3)}
+    done, left = calls.called_within(requests, ["user_id"], "request_no", call, audit, "14", "m", {"m": ("1", "1")}, spent)
+    return done.select("event_id", F.col("status").alias("fate")).unionByName(left.select("event_id", F.col("reason").alias("fate")))
+
+
+@query("select conv_id, turn, coalesce(text, '') as body, coalesce(role, '') as deep, 'xy' as half from conversations")
+def storable_payloads(spark, sf_dir):
+    """Payloads with NULs and halves of characters at any depth, cleaned as they are."""
+    nul, half = F.lit("\x00"), '{"half":"x\\ud83d\\u0000y",'
+    made = F.struct(F.concat(nul, F.coalesce("text", F.lit("")), nul).alias("body"), F.array(F.struct(F.concat(F.coalesce("role", F.lit("")), nul).alias("deep"))).alias("list"))
+    payload = x.storable_json(F.concat(F.lit(half), F.substring(F.to_json(made), 2, 2**31 - 1)))
+    at = lambda path: F.get_json_object("p", path)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", payload.alias("p"))
+    return rows.select("conv_id", "turn", at("$.body").alias("body"), at("$.list[0].deep").alias("deep"), at("$.half").alias("half"))
+
+
+@query("""
+select (c_nationkey % 2)::varchar as tenant_id, c_custkey as sender, c_name as display_name, c_custkey % 3 = 2 as is_new from customer""")
+def people_by_components(spark, sf_dir):
+    """Customers write from their number, under their name in odd letters, or for the first time, where two tenants share them all."""
+    k, tenant = F.col("c_custkey"), (F.col("c_nationkey") % 2).cast("string").alias("tenant_id")
+    jid = F.concat(F.lit("44"), (k + 7_000_000_000).cast("string"), F.lit("@s.net"))
+    people = table(spark, sf_dir, "customer")
+    members = people.where(k % 3 != 2).select(tenant, k.cast("string").alias("member_id"), F.col("c_name").alias("display_name"), F.when(k % 3 == 0, jid).alias("wa_jid"), F.lit(None).cast("string").alias("wa_lid"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    said = people.select(tenant, F.when(k % 3 == 0, jid).alias("wa_jid"), F.lit(None).cast("string").alias("wa_lid"), F.when(k % 3 == 0, "Nobody").when(k % 3 == 1, F.upper("c_name")).otherwise(F.col("c_name")).alias("display_name"), k.alias("sender"))
+    resolved, after = ing.resolve(said.drop("sender"), members, most=64)
+    resolved = resolved.withColumnRenamed("tenant_id", "t").withColumnRenamed("wa_jid", "j").select("t", "j", F.col("display_name").alias("d"), "member_id", "is_new")
+    met = said.join(resolved, (F.col("tenant_id") == F.col("t")) & F.col("wa_jid").eqNullSafe(F.col("j")) & (F.col("display_name") == F.col("d")))
+    return met.select("tenant_id", "sender", "member_id", "is_new").join(after.select("tenant_id", "member_id", "display_name"), ["tenant_id", "member_id"]).select("tenant_id", "sender", "display_name", "is_new")
