@@ -11,9 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewater.functions import vocabulary as v
 from tidewater.operators.joins import slots
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from tidewater.streaming.flows import on_disk
 
 class FirstSighting(StatefulProcessor):
     """A value for each group, on disk: whether anything of it came before."""
@@ -91,9 +89,8 @@ def joins(events: DataFrame, group: str, at: str, kind: str, row: str, late: str
     (and ``late``, by which events may come out of order; those that come later are dropped and counted by Spark). Of a group only its first
     sighting is kept. State is on disk, in RocksDB, which this sets for the session; it outlives restarts from the same checkpoint.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     width = window_s * 1_000_000
-    rows = events.withWatermark(at, late).where(F.col(group).isNotNull())
+    rows = on_disk(events).withWatermark(at, late).where(F.col(group).isNotNull())
     rows = rows.select(F.col(group).cast("string").alias("group"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(row).cast("long").alias("row"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(at).alias("at"))
     seen = rows.groupBy("group").transformWithStateInPandas(FirstSighting(), "group string, us long, row long, kind string, first boolean, at timestamp", "Append", "eventTime", eventTimeColumnName="at")
     near = slots(seen.where("first").withColumn("join", F.col("kind") == joined), F.col("us"), width)
