@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import keys, nested
 from tidewater.functions import text as x
-from tidewater.operators import calls, ingest, mutations, sequences
+from tidewater.operators import calls, ingest, mutations, sequences, transcripts
 from tidewater.operators import events as ev
 from tidewater.session import settled
 from tidewater.sources import exports, storage, webhook
@@ -189,3 +189,35 @@ def test_a_run_stops_when_it_has_spent_its_limit_and_goes_on_after_a_crash(spark
     times = {p.name: len(p.read_text()) for p in asked.iterdir()}
     assert all(times[f"{t}{i}"] == 1 for t in ("a", "b") for i in range(1, 5)) and not any(n.startswith("c") for n in times)
     assert calls.called_within(*args)[0].count() == 16 and {p.name: len(p.read_text()) for p in asked.iterdir()} == times
+
+
+def test_voice_notes_are_written_down(spark, tmp_path):
+    """Bytes up to a limit go to a function of our own: one that fails once, one that fails for good, one too large, silence."""
+    audio = tmp_path / "audio"
+    audio.mkdir()
+    for name, content in {"1.ogg": b"one" * 1000, "2.ogg": b"two", "3.ogg": b"bad", "4.ogg": b"x" * 5000, "5.ogg": b"hush"}.items():
+        (audio / name).write_bytes(content)
+    (tmp_path / "once").write_text("")
+    once = str(tmp_path / "once")
+
+    def call(content, name):
+        import os
+
+        if content == b"bad":
+            raise ValueError("not audio")
+        if content == b"two" and os.path.exists(once):
+            os.unlink(once)
+            raise calls.TransientError
+        return {"text": "" if content == b"hush" else f"words of {name.rpartition('/')[2]}", "duration_seconds": 30.0 if content == b"two" else None}
+
+    files = transcripts.media(spark, str(audio), 4000).withColumn("id", F.regexp_extract("file", r"(\d)\.ogg", 1).cast("long"))
+    files = files.withColumn("payload", F.when(F.col("id") == 5, '{"duration": 12}').otherwise("{}")).select("id", "file", "content", "payload")
+    found = settled(transcripts.transcribed(files, call, "whisper-1", wait=lambda s: None))
+    got = {r.id: (r.status, r.attempts, r.words, r.billed_seconds, str(r.cost)) for r in found.collect()}
+    assert got == {
+        1: ("done", 1, "words of 1.ogg", 1.5, "0.000150"), 2: ("done", 2, "words of 2.ogg", 30.0, "0.003000"), 3: ("failed", 1, None, 0.0, "0.000000"),
+        4: ("no_media", 0, None, 0.0, "0.000000"), 5: ("done", 1, "", 12.0, "0.001200"),
+    }
+    messages = spark.createDataFrame([(i, None, "{}") for i in range(1, 6)], "id long, text string, payload string")
+    after = {r.id: (r.text, json.loads(r.payload).get("transcribed")) for r in transcripts.written_down(messages, found.where("status = 'done'")).collect()}
+    assert after == {1: ("words of 1.ogg", True), 2: ("words of 2.ogg", True), 3: (None, None), 4: (None, None), 5: (None, None)}

@@ -60,6 +60,9 @@ def test_new_records_are_added_once(spark, tmp_path):
     assert sorted((r.tenant_id, r.content_hash) for r in table.read().collect()) == want
     number, versions = table.current()
     assert number == 6 and len(versions) == 6
+    third = batches(spark, tmp_path / "third", schema, [("t", "h9", "p9", T)], [("t", "h9", "p9", T)])
+    flows.append_new(third, table, str(tmp_path / "state3"), schema, most=6).awaitTermination()
+    assert len(table.current()[1]) == 2 and sorted((r.tenant_id, r.content_hash) for r in table.read().collect()) == [*want[:3], ("t", "h9"), want[3]]
     table.overwrite(table.read().where("tenant_id = 'u'"))
     assert table.read().count() == 1 and len(table.current()[1]) == 1
 

@@ -170,6 +170,7 @@ ACTION_NAMES = {
 DETAIL_KEYS = ("status", "provider_name", "location", "outcome", "dose_text", "action", "severity")
 UNINFORMATIVE = ("", "unknown", "other")
 EXCERPT_CHARS, LINE_BODY_CHARS = 300, 220
+AUDIO_BYTES = 20 * 1024 * 1024
 AUDIO_TYPES = ("audio", "voice", "ptt")
 #: What a model answers with first where two records aren't one event.
 DIFFERENT = "DIFFERENT EVENT"

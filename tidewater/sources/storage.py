@@ -40,6 +40,14 @@ class VersionedTable:
         """Adds ``rows``; what is there isn't read or written again."""
         return self._write(rows, partition_by, True)
 
+    def compacted(self, most: int = 64) -> bool:
+        """Writes the table as one version if over ``most`` hold; whether it did. What a stream adds in small parts is gathered up this way."""
+        now = self.current()
+        if not now or len(now[1]) <= most:
+            return False
+        self.overwrite(self.read())
+        return True
+
     def _write(self, rows: DataFrame, partition_by: tuple[str, ...], more: bool) -> int:
         now = self.current()
         number, version = (now[0] + 1 if now else 1), f"v-{uuid.uuid4().hex}"

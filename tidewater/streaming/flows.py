@@ -31,10 +31,10 @@ def without_replays(records: DataFrame, keys: list[str], at: str, horizon: str)
     return on_disk(records).withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new(records: DataFrame, stored: VersionedTable, checkpoint: str, schema: str, tenant: str = "tenant_id") -> StreamingQuery:
+def append_new(records: DataFrame, stored: VersionedTable, checkpoint: str, schema: str, tenant: str = "tenant_id", most: int = 64) -> StreamingQuery:
     """Add each micro-batch's records to a table, but for those it has, by either key, however old. A batch that is run again adds nothing.
 
-    Of what is stored only the keys are read, and nothing is written again.
+    Of what is stored only the keys are read. When over ``most`` small versions hold, they are gathered into one.
     """
 
     def add(batch: DataFrame, _: int) -> None:
@@ -44,6 +44,7 @@ def append_new(records: DataFrame, stored: VersionedTable, checkpoint: str, sche
         order = [F.col("sent_at"), F.col("content_hash")]
         fresh = ingest.either_key(ingest.not_stored(batch, held, tenant), [tenant], order).where("first").drop("first")
         stored.append(fresh.select(*held.columns))
+        stored.compacted(most)
 
     return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
