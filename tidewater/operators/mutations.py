@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import keys
+from tidewater.functions import vocabulary as v
 from tidewater.sources.keyed import KeyedTable
 
 #: Columns of an event that a hand edit keeps from being overwritten.
@@ -136,6 +137,22 @@ def linked(links: DataFrame, wanted: DataFrame, suffix: str = "@g.us") -> tuple[
     return links.join(new.select("tenant_id"), "tenant_id", "left_anti").unionByName(new), said
 
 
+def filed(table: KeyedTable, sections: DataFrame, summaries: DataFrame, by: list[str], start: Column, end: Column, title: str, now: Column) -> int:
+    """Puts a report of each group in ``table`` (keyed by ``by`` and report_id), made of what ``reading.report`` and ``reading.summary`` give.
+
+    Columns: by, report_id, status, title, period_start, period_end, summary, sections (heading, body_markdown and handles, in the fixed order of
+    kinds), watch_items, data_gaps, created_at. Its id is drawn from group, period and time, so a job that is run again files nothing twice.
+    """
+    place = F.array_position(F.array(*[F.lit(k) for k in v.KINDS]), F.col("kind"))
+    one = F.struct(place.alias("place"), "heading", "body_markdown", "handles")
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["heading"].alias("heading"), s["body_markdown"].alias("body_markdown"), s["handles"].alias("handles")))
+    rows = sections.groupBy(*by).agg(listed.alias("sections")).join(summaries, by)
+    rows = rows.withColumns({"status": F.lit("ready"), "title": F.lit(title), "period_start": start, "period_end": end, "created_at": now})
+    name = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in (*by, "period_start", "period_end", "created_at")])
+    names = ("report_id", "status", "title", "period_start", "period_end", "summary", "sections", "watch_items", "data_gaps", "created_at")
+    return table.insert(rows.withColumn("report_id", F.left(F.sha2(name, 256), F.lit(32))).select(*by, *names))
+
+
 def advanced(imports: DataFrame, progress: DataFrame) -> DataFrame:
     """``imports`` (import_id, status, inserted_count) after ``progress`` (import_id, at, status, inserted_count): the last word on each counts; what it leaves null stays."""
     last = progress.groupBy("import_id").agg(F.max_by(F.struct("status", "inserted_count"), F.struct("at", "status")).alias("_p"))

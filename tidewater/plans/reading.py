@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tidewater.functions import money, nested, times
 from tidewater.functions import text as x
 from tidewater.operators import events as ev
+from tidewater.operators import mutations
 from tidewater.operators import reading as r
 from tidewater.operators import sequences as s
-from tidewater.plans.registry import AT, ZONE, now, query, utc
+from tidewater.plans.registry import AT, ZONE, folder, now, query, settled, utc
 from tidewater.session import table
+from tidewater.sources.keyed import KeyedTable
 
 
 def events(spark, sf_dir):
@@ -226,6 +228,23 @@ def open_items(spark, sf_dir):
     return top.select("user_id", "event_id", "ts", k.cast("int").alias("k"), F.concat(F.lit("E"), F.col("place").cast("string")).alias("handle"))
 
 
+@query(
+    _REPORT
+    + f""", h as (select *, case kind when 'symptom' then 1 when 'appointment' then 2 when 'medication' then 3 else 4 end as place,
+  case kind when 'symptom' then 'Symptoms and wellbeing' when 'appointment' then 'Appointments' when 'medication' then 'Medication' else 'Care and logistics' end as heading from s)
+select user_id, string_agg(heading, '|' order by place) as headings, string_agg(body_markdown, '|' order by place) as bodies, sum(n)::bigint as cited, timestamp '{AT}' as period_end, 'ready' as status from h group by user_id"""
+)
+def stored_reports(spark, sf_dir):
+    """Reports of all tenants, filed twice by the same job and read back."""
+    sections = settled(_sections(spark, sf_dir))
+    held = KeyedTable(spark, folder(spark), ["user_id", "report_id"], buckets=8)
+    for _ in range(2):
+        mutations.filed(held, sections, r.summary(sections, ["user_id"]), ["user_id"], F.lit("2024-01-05").cast("timestamp"), now(), "Care summary", now())
+    part = lambda f: F.array_join(F.transform("sections", lambda s: s[f]), "|")
+    cited = F.size(F.flatten(F.transform("sections", lambda s: s["handles"]))).cast("long")
+    return held.read().select("user_id", part("heading").alias("headings"), part("body_markdown").alias("bodies"), cited.alias("cited"), "period_end", "status")
+
+
 @query(f"""
 with p as (select event_id as report_id, user_id, ts as period_end, ts + (event_id % 90) * interval 1 minute as created_at from events where event_type = 'signup')
 select report_id, user_id, period_end::timestamp as period_end, created_at::timestamp as created_at from p where period_end between timestamp '2024-01-05' and timestamp '{AT}'""")
