@@ -42,12 +42,12 @@ def limits(lines: DataFrame, most_bytes: int = v.EXPORT_BYTES, most_messages: in
     return sums.withColumn("refusal", F.when(F.col("n_bytes") > most_bytes, "bytes").when(F.col("n_messages") > most_messages, "messages"))
 
 
-def classified(lines: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def classified(lines: DataFrame) -> DataFrame:
     """``lines`` (file, at, raw) with ``block``, ``n`` (from 1), ``start`` (as ``stamped``), ``record`` (from 1; 0 before the first) and
     ``kind``: start, continuation or unparsed.
 
     Where ``at`` is a struct of block and row, a file's blocks are numbered each by itself, after what those before it hold; any other ``at`` only
-    orders a file's lines, which are one block then. ``settle`` may write the lines as far as they are read for two purposes.
+    orders a file's lines, which are one block then.
     """
     kind = lines.schema["at"].dataType
     split = isinstance(kind, T.StructType) and kind.fieldNames()[:1] == ["block"]
@@ -57,7 +57,6 @@ def classified(lines: DataFrame, settle: Callable[[DataFrame], DataFrame] = lamb
     order = Window.partitionBy("file", "block").orderBy("at")
     rows = rows.select("*", F.row_number().over(order).alias("n"), F.count("start").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("record")).drop("at")
     if split:
-        rows = settle(rows)
         before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not lines
         sums = rows.groupBy("file", "block").agg(F.max("n").alias("_n"), F.max("record").alias("_r"))
         sums = sums.select("file", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_r")])
@@ -66,22 +65,23 @@ def classified(lines: DataFrame, settle: Callable[[DataFrame], DataFrame] = lamb
     return rows.withColumn("kind", kind)
 
 
-def _ends(rows: DataFrame, size: Column) -> DataFrame:
-    """``rows`` with ``_size`` and ``_end``: how many characters a line's record has with it. A record that goes on over blocks brings what those before have of it."""
-    rows = rows.withColumn("_size", size)
-    order = Window.partitionBy("file", "block", "record").orderBy("n")
-    rows = rows.withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Of each block: whether a record begins in it, and what its last record has in it.
-    tails = rows.groupBy("file", "block", "record").agg(F.sum("_size").alias("s"), F.count("start").alias("k"))
-    tails = tails.groupBy("file", "block").agg(F.max(F.struct("record", "s")).alias("last"), F.max("k").alias("begins"))
-    by_file = Window.partitionBy("file").orderBy("block")
-    tails = tails.withColumn("_run", F.sum("begins").over(by_file))
-    tails = tails.withColumn("_sum", F.sum("last.s").over(Window.partitionBy("file", "_run").orderBy("block")))
-    carried = tails.select("file", "block", F.coalesce(F.lag("_sum").over(by_file), F.lit(0)).alias("_carry"))
-    opens = rows.groupBy("file", "block").agg(F.min("record").alias("_open"), F.min(F.struct("n", F.col("start").isNull().alias("goes_on"))).alias("_head"))
-    carried = carried.join(opens, ["file", "block"]).select("file", "block", "_carry", F.when(F.col("_head.goes_on"), F.col("_open")).alias("_open"))
-    rows = rows.join(carried, ["file", "block"])
-    return rows.withColumn("_end", F.col("_end") + F.when(F.col("record") == F.col("_open"), F.col("_carry")).otherwise(0)).drop("_carry", "_open")
+def _ends(rows: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with ``_end``: how many characters (``_size``) a line's record has with it, if it has over a body's limit in all; else 0.
+
+    A record that goes on over blocks brings what those before have of it. Only the lines of records that are too long are looked at one by one.
+    """
+    sums = rows.groupBy("file", "record").agg(F.sum("_size").alias("_sum")).where((F.col("record") > 0) & (F.col("_sum") > v.BODY_CHARS))
+    if sums.isEmpty():
+        return rows.withColumn("_end", F.lit(0).cast("long"))
+    marked = rows.join(settle(sums.select("file", "record", F.lit(True).alias("_large"))), ["file", "record"], "left")
+    some = marked.where("_large")
+    some = some.withColumn("_end", F.sum("_size").over(Window.partitionBy("file", "block", "record").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("file", "record").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not lines
+    sums = some.groupBy("file", "record", "block").agg(F.sum("_size").alias("_s"))
+    carried = sums.select("file", "record", "block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
+    some = some.join(carried, ["file", "record", "block"]).withColumn("_end", F.col("_end") + F.col("_carry"))
+    short = marked.where("_large is null").withColumn("_end", F.lit(0).cast("long"))
+    return short.drop("_large").unionByName(some.drop("_large", "_carry"))
 
 
 def sniff(lines: DataFrame, first: int = v.SNIFF_LINES) -> DataFrame:
@@ -161,16 +161,16 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool, settle: Callable[[DataFra
     Work on lines is dealt out by block of a file, on messages by message. An empty input gives empty outputs. ``settle`` may write
     what several steps need and read it again, so that it is worked out once.
     """
-    rows = classified(lines, settle)
+    rows = classified(lines)
     rest = F.col("start.rest")
     named = rest.rlike(v.SENDER)
     sender = F.when(named, F.nullif(F.trim(F.regexp_replace(F.regexp_extract(rest, v.SENDER, 1), "^~+", "")), F.lit("")))
     body = F.when(named, F.substring(rest, F.char_length(F.regexp_extract(rest, v.SENDER, 0)) + 1, F.char_length(rest))).otherwise(rest)
     size = F.when(F.col("kind") == "start", F.char_length(body)).when(F.col("kind") == "continuation", F.char_length("line") + 1).otherwise(0)
-    rows = _ends(rows, size)
+    rows = rows.withColumns({"_sender": F.when(F.col("kind") == "start", sender), "_piece": F.when(F.col("kind") == "start", body).otherwise(F.col("line")), "_size": size})
+    rows = _ends(settle(rows), settle)
     over = (F.col("kind") == "continuation") & (F.col("_end") > v.BODY_CHARS)
     rows = rows.withColumn("_over", over).withColumn("kind", F.when(over, "unparsed").otherwise(F.col("kind"))).withColumn("_joined", F.col("_over") | (F.col("kind") != "unparsed"))
-    rows = settle(rows.withColumns({"_sender": F.when(F.col("kind") == "start", sender), "_piece": F.when(F.col("kind") == "start", body).otherwise(F.col("line"))}))
     starts = rows.where("kind = 'start'").select("file", "record", "n", "start.stamp", "start.style", F.col("_sender").alias("sender"))
     piece = F.struct("n", F.col("_piece").alias("piece"), "raw", (F.col("kind") != "unparsed").alias("own"))
     # Lines that begin beyond the limit add nothing, however many follow.
@@ -196,7 +196,7 @@ def parse(lines: DataFrame, zone: str, dayfirst: bool, settle: Callable[[DataFra
     found = starts.join(bodies, ["file", "record"]).join(best, "file")
     strict = F.try_to_timestamp(F.col("stamp"), F.col("format"))
     lenient = _straggler(dayfirst)(F.when(strict.isNull(), F.col("stamp"))).try_cast("timestamp")
-    found = settle(found.withColumn("sent_at", F.to_utc_timestamp(F.coalesce(strict, lenient), zone)))
+    found = found.withColumn("sent_at", F.to_utc_timestamp(F.coalesce(strict, lenient), zone))
     good = found.where("sent_at is not null").withColumn("system_kind", x.system_kind(F.col("body"), F.col("sender")))
     good = good.withColumn("m", F.when(F.col("system_kind").isNull(), x.media(F.col("body"))))
     text = F.when(F.col("m").isNotNull(), F.nullif(F.col("m.caption"), F.lit(""))).otherwise(F.col("body"))
