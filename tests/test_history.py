@@ -187,13 +187,13 @@ def test_efforts_go_down_a_step():
 
 
 def test_chunks_too_large_are_asked_in_halves(spark, tmp_path):
-    """A model that can't take more than 40 lines: each message is answered once, and every call has a row in the audit."""
+    """A model that can't take more than 40 lines: each message is answered once, whatever else a half may read, and every call has a row in the audit."""
     rows = [(1, 0, i + 1, f"line {i}") for i in range(150)] + [(1, 1, i + 1, f"other {i}") for i in range(20)]
     chunks = spark.createDataFrame(rows, "t long, chunk_id long, chunk_place long, text string")
 
     def render(some):
         lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_place", "text"))), lambda x: x["text"])
-        return some.groupBy("t", "chunk_id").agg(F.array_join(lines, "\n").alias("prompt"))
+        return some.where("not context").groupBy("t", "chunk_id").agg(F.array_join(lines, "\n").alias("prompt"))
 
     def call(request):
         n = request["prompt"].count("\n") + 1
