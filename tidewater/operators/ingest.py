@@ -42,10 +42,10 @@ PEOPLE = 4096
 def _parts(said: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``part``: of tenants with over ``most`` people, those who share an address or a name over any chain have the same one."""
     people = said.select("tenant_id", "wa_jid", "wa_lid", "name_folded", F.lit(None).cast("string").alias("member_id")).unionByName(known.select("tenant_id", "wa_jid", "wa_lid", "name_folded", "member_id"))
-    sizes = settled(people.groupBy("tenant_id").agg(F.count("*").alias("_size")).where(F.col("_size") > most))
+    sizes = people.groupBy("tenant_id").agg(F.count("*").alias("_size")).where(F.col("_size") > most)
     if sizes.isEmpty():
         return said.withColumn("part", F.lit(0).cast("long")), known.withColumn("part", F.lit(0).cast("long"))
-    said, known = settled(said), settled(known)
+    sizes, said, known = settled(sizes), settled(said), settled(known)
     people = said.select("tenant_id", "wa_jid", "wa_lid", "name_folded", F.lit(None).cast("string").alias("member_id")).unionByName(known.select("tenant_id", "wa_jid", "wa_lid", "name_folded", "member_id"))
     node = lambda mark, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat_ws("\x1f", F.coalesce("tenant_id", F.lit("")), F.lit(mark), c))
     names = [node("jid", "wa_jid"), node("lid", "wa_lid"), node("name", "name_folded")]

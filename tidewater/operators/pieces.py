@@ -45,10 +45,9 @@ def placed(rows: DataFrame, by: list[str], order: list[Column], place: str = "_p
 def parted(rows: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of groups of at most ``most`` rows, and those of larger ones (none: there is no such group)."""
     large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by, F.lit(True).alias("_large"))
-    large = settled(large)
     if large.isEmpty():
         return rows, None
-    marked = matched(rows, large, by, "left")
+    marked = matched(rows, settled(large), by, "left")
     return marked.where("_large is null").drop("_large"), marked.where("_large").drop("_large")
 
 
