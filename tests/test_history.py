@@ -226,3 +226,59 @@ def test_strict_schemas():
     tight = calls.strict(loose)
     assert tight["required"] == ["a", "b"] and tight["additionalProperties"] is False and "default" not in tight and "default" not in tight["properties"]["a"]
     assert tight["properties"]["b"]["anyOf"][0] == {"type": "object", "properties": {}, "additionalProperties": False, "required": []} and loose["default"] == 1
+
+
+def _greedy(pairs):
+    """Roles of the pairs of one run, label by label."""
+    taken, roles = set(), {}
+    for label in sorted({p[0] for p in pairs}):
+        free = sorted((e, d) for one, e, d in pairs if one == label and e not in taken)
+        dated = [e for e, d in free if d]
+        for e in dated or [e for e, _ in free[:1]]:
+            roles[label, e] = ("duplicate" if dated and e != dated[0] else "dated" if dated else "found")
+            taken.add(e)
+    return roles
+
+
+@pytest.mark.parametrize("piece", [5, 16_384])
+def test_labels_of_large_runs_take_what_they_would_in_one_go(spark, piece):
+    rng = random.Random(piece)
+    runs = {r: sorted({(rng.randrange(12), rng.randrange(40)) for _ in range(n)}) for r, n in (("a", 60), ("b", 25), (None, 30), ("c", 3))}
+    rows = [(r, a, b, rng.random() < 0.4) for r, some in runs.items() for a, b in some]
+    pairs = spark.createDataFrame(rows, "r string, label_no long, event_no long, dated boolean")
+    found = {(r.r, r.label_no, r.event_no): r.role for r in events.assigned(pairs, ["r"], piece=piece).collect()}
+    want = {(r, *k): role for r in runs for k, role in _greedy([(a, b, d) for run, a, b, d in rows if run == r]).items()}
+    assert found == want
+
+
+def test_candidates_of_a_large_run_come_from_an_index(spark):
+    # 100,000 predictions hold common words; every thousandth holds a rare one too.
+    n = F.col("id")
+    words = F.concat(F.lit("seen at the surgery with a cough "), F.when(n % 1000 == 7, F.concat(F.lit("and xylitol "), n.cast("string"))).otherwise(""))
+    predictions = spark.range(100_000).select(F.lit("r").alias("run"), n.alias("event_no"), F.lit("note").alias("kind"), words.alias("searchable"))
+    rows = [("r", 0, "note", ["the surgery", "xylitol"]), ("r", 1, "note", ["cough", "zebra"]), ("r", 2, "note", ["xylitol 7007"]), ("r", 3, "other", ["cough"]), ("q", 4, "note", ["cough"]), ("r", 5, "note", ["cough", None]), ("r", 6, "note", None)]
+    labels = spark.createDataFrame(rows, "run string, label_no long, kind string, must_mention array<string>")
+    met = events.candidates(labels, predictions, ["run"]).groupBy("label_no").count().collect()
+    # All pairs of a kind would be 500,000. Label 2 is looked up by "700", which 70007 has too.
+    assert {r.label_no: r["count"] for r in met} == {0: 100, 2: 2}
+    found = events.scored(labels, predictions, ["run"], F.lit(True)).groupBy("label_no").count().collect()
+    assert {r.label_no: r["count"] for r in found} == {0: 100, 2: 1}
+
+
+def test_candidates_leave_out_no_pair(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé\n𝔸") for _ in range(rng.randrange(6)))
+    labels = [(i, rng.choice("xy"), [word() for _ in range(rng.randrange(3))]) for i in range(40)] + [(40, None, ["a"]), (41, "x", [])]
+    texts = [(i, rng.choice("xy"), "".join(word() for _ in range(rng.randrange(8)))) for i in range(120)] + [(120, "x", None), (121, None, "aab"), (122, "x", "")]
+    left = spark.createDataFrame(labels, "label_no long, kind string, must_mention array<string>")
+    right = spark.createDataFrame(texts, "event_no long, kind string, searchable string")
+    found = {(r.label_no, r.event_no) for r in events.scored(left, right, [], F.lit(None)).collect()}
+    assert found == {(i, j) for i, k, must in labels for j, kind, text in texts if k is not None and k == kind and all(text is not None and m in text for m in must)}
+
+
+def test_a_recorded_run_is_replayed(spark, tmp_path):
+    asked = spark.createDataFrame([(3, "z"), (1, None), (2, "y")], "n int, output string")
+    kept = calls.record(asked, [F.col("n")], str(tmp_path))
+    again = calls.replayed(asked.select("n"), kept, [F.desc("n")])
+    assert {(r.n, r.number, r.response) for r in again.collect()} == {(3, 1, None), (2, 2, "y"), (1, 3, "z")}
+    assert calls.replayed(asked.select("n").limit(0), kept, [F.col("n")]).count() == 0

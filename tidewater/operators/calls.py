@@ -11,13 +11,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import money, nested
 from tidewater.functions import vocabulary as v
 from tidewater.operators import sequences
+from tidewater.operators.pieces import placed
 from tidewater.session import settled as settled_rows
 from tidewater.sources.keyed import KeyedTable
 from tidewater.sources.storage import VersionedTable
@@ -178,9 +179,22 @@ def guarded(requests: DataFrame, spent: DataFrame, tenant: str, estimate: str, l
     return rows.withColumn("allowed", F.coalesce("spent", F.lit(0)) + F.coalesce(before, F.lit(0)) < F.lit(limit).cast("decimal(10,2)")).drop("spent")
 
 
-def replayed(requests: DataFrame, recorded: DataFrame, order: list) -> DataFrame:
-    """``requests`` with the ``response`` recorded under their number (from 1), in ``order``; null beyond the last. For runs that call nobody."""
-    numbered = requests.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a recorded run is small
+def record(outcomes: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """(number, response) of calls that were made, written to ``path``: their outputs under their numbers (from 1) in ``order``, for replays.
+
+    Calls without output have a null response, so the others keep their numbers. Nothing is written over.
+    """
+    numbered = placed(outcomes, [], order, "_number")
+    numbered.select((F.col("_number") + 1).alias("number"), F.col("output").alias("response")).write.parquet(f"{path}/recorded")
+    return outcomes.sparkSession.read.schema("number long, response string").parquet(f"{path}/recorded")
+
+
+def replayed(requests: DataFrame, recorded: DataFrame, order: list[Column]) -> DataFrame:
+    """``requests`` with the ``response`` recorded under their number (from 1), in ``order``; null beyond the last. For runs that call nobody.
+
+    Rows are numbered by ranges of ``order`` (``placed``), so a long run is no single task.
+    """
+    numbered = placed(requests, [], order, "_number").withColumn("number", F.col("_number") + 1).drop("_number")
     return numbered.join(recorded.select(F.col("number").cast("long").alias("number"), "response"), "number", "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +10,10 @@ from pyspark.sql.window import Window
 from tidewater.functions import nested, times
 from tidewater.functions import text as x
 from tidewater.functions import vocabulary as v
+from tidewater.operators.graphs import components
+from tidewater.operators.pieces import PIECE, parted
+from tidewater.operators.sequences import in_order
+from tidewater.session import settled
 
 NOTHING = "array<string>"
 
@@ -180,48 +185,94 @@ def prepared(records: DataFrame, messages: DataFrame, stored: DataFrame) -> tupl
     return ready, counts
 
 
+#: Characters of the runs by which texts are looked up.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The different runs of ``GRAM`` characters of ``text``, in one pass over it; none if it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def candidates(labels: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label_no, event_no): pairs of one kind that an index leaves over; every pair that ``scored`` finds is among them.
+
+    The index has the runs of three characters of the predictions' texts that any label of their run and kind asks for; a label is looked up by the
+    one of its runs that fewest predictions hold, whichever of its words that is from, and a label with a run that none holds meets nothing. Texts
+    are read once, and only ids are shuffled. Labels all of whose words are shorter meet every prediction of their kind.
+    """
+    key = [*by, "kind"]
+    # A null among the words, or no list, is never found in a text.
+    wanted = labels.select(*key, "label_no", F.array_distinct(F.flatten(F.transform("must_mention", grams))).alias("_grams")).where("_grams is not null")
+    asked = wanted.select(*key, "label_no", F.explode("_grams").alias("_gram"))
+    held = predictions.select(*key, "event_no", F.explode(grams(F.col("searchable"))).alias("_gram"))
+    held = settled(held.join(asked.select(*key, "_gram").distinct(), [*key, "_gram"], "left_semi"))
+    counts = held.groupBy(*key, "_gram").agg(F.count("*").alias("_n"))
+    least = asked.join(counts, [*key, "_gram"], "left").groupBy(*key, "label_no").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r"))
+    rarest = least.where("r.n > 0").select(*key, "label_no", F.col("r.gram").alias("_gram"))
+    short = wanted.where(F.size("_grams") == 0).select(*key, "label_no")
+    found = rarest.join(held, [*key, "_gram"]).select(*by, "label_no", "event_no")
+    return found.unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
+
+
 def scored(labels: DataFrame, predictions: DataFrame, by: list[str], matches: Column) -> DataFrame:
     """(by, label_no, event_no, dated): pairs of a label and a prediction of its kind that mentions all it must. Texts come folded.
 
-    ``labels``: by, label_no, kind, must_mention; ``predictions``: by, event_no, kind, searchable. ``matches`` says if the
-    dates agree, over ``l`` and ``p``. An equi-join on run and kind; a run has a few dozen labels.
+    ``labels``: by, label_no, kind, must_mention; ``predictions``: by, event_no, kind, searchable; label_no and event_no tell a run's rows apart.
+    ``matches`` says if the dates agree, over ``l`` and ``p``. Pairs come from an index (``candidates``); only their texts are compared.
     """
-    left, right = labels.alias("l"), predictions.alias("p")
-    same = F.col("l.kind") == F.col("p.kind")
-    for b in by:
-        same = same & (F.col(f"l.{b}") == F.col(f"p.{b}"))
+    pairs, left, right = candidates(labels, predictions, by).alias("c"), labels.alias("l"), predictions.alias("p")
+
+    def same(side: str, number: str) -> Column:
+        on = F.col(f"c.{number}") == F.col(f"{side}.{number}")
+        for b in by:
+            on = on & (F.col(f"c.{b}") == F.col(f"{side}.{b}"))
+        return on
+
     said = F.forall("l.must_mention", lambda m: F.contains(F.col("p.searchable"), m))
-    return left.join(right, same).where(said).select(*[F.col(f"l.{b}") for b in by], "l.label_no", "p.event_no", F.coalesce(matches, F.lit(False)).alias("dated"))
+    met = pairs.join(left, same("l", "label_no")).join(right, same("p", "event_no")).where(said & (F.col("l.kind") == F.col("p.kind")))
+    return met.select(*[F.col(f"c.{b}") for b in by], "c.label_no", "c.event_no", F.coalesce(matches, F.lit(False)).alias("dated"))
 
 
-def assigned(pairs: DataFrame, by: list[str]) -> DataFrame:
+def assigned(pairs: DataFrame, by: list[str], piece: int = PIECE) -> DataFrame:
     """(by, label_no, event_no, role): each label, in order, takes the first free prediction, one of its date if it can.
 
-    Others of its date are "duplicate"; the one taken is "dated" or "found". What a label takes the later ones can't have, so a run's
-    pairs (not its texts) go through one small function.
+    Others of its date are "duplicate"; the one taken is "dated" or "found". What a label takes the later ones can't have, so pairs go through in
+    order, of which a task keeps what is taken only. A run of over ``piece`` pairs is parted by connected components of labels and predictions:
+    labels that compete for nothing never wait for each other. ``pairs`` is read twice: it should be cheap to read, or written.
     """
-    fields = pairs.schema
-    types = {b: fields[b].dataType.simpleString() for b in by}
-    schema = ", ".join([f"`{b}` {t}" for b, t in types.items()] + ["label_no long", "event_no long", "role string"])
-
-    def greedy(key, pdf):
-        import pandas as pd
-
-        claimed, rows = set(), []
-        for label, group in pdf.sort_values(["label_no", "event_no"]).groupby("label_no", sort=True):
-            free = [(e, d) for e, d in zip(group.event_no.tolist(), group.dated.tolist(), strict=True) if e not in claimed]
-            dated = [e for e, d in free if d]
-            if not free:
+    rows = pairs.where("label_no is not null and event_no is not null").withColumn("dated", F.coalesce("dated", F.lit(False)))
+
+    def step(state: dict, *columns) -> list:
+        roles = np.full(len(columns[0]), None, object)
+        for i, (label, event, dated) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+            if label != state["label"]:
+                state["label"], state["role"] = label, None
+            if event in state["taken"]:
                 continue
-            chosen = dated[0] if dated else free[0][0]
-            claimed.add(chosen)
-            rows.append((*key, label, chosen, "dated" if dated else "found"))
-            for e in dated[1:]:
-                claimed.add(e)
-                rows.append((*key, label, e, "duplicate"))
-        return pd.DataFrame(rows, columns=[*by, "label_no", "event_no", "role"])
-
-    return pairs.groupBy(*by).applyInPandas(greedy, schema)
+            if state["role"] is None:
+                roles[i] = state["role"] = "dated" if dated else "found"
+            elif state["role"] == "dated" and dated:
+                roles[i] = "duplicate"
+            if roles[i] is not None:
+                state["taken"].add(event)
+        return [roles]
+
+    def walked(some: DataFrame, group: list[str]) -> DataFrame:
+        fresh = lambda: {"taken": set(), "label": None, "role": None}
+        done = in_order(some, group, [F.col("label_no"), F.desc("dated"), F.col("event_no")], ["label_no", "event_no", "dated"], "role string", fresh, step)
+        return done.where("role is not null").select(*by, "label_no", "event_no", "role")
+
+    few, many = parted(rows, by, piece)
+    found = walked(few, by)
+    if many is None:
+        return found
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    node = lambda mark, number: F.sha2(F.concat_ws("\x1f", group, F.lit(mark), F.col(number).cast("string")), 256)
+    many = many.withColumn("_node", node("label", "label_no"))
+    groups = components(many.select(F.col("_node").alias("a"), node("event", "event_no").alias("b")))
+    many = many.join(groups.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "_node").drop("_node")
+    return found.unionByName(walked(many, [*by, "_component"]))
 
 
 def unclaimed(predictions: DataFrame, assigned_: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:

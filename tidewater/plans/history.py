@@ -10,7 +10,7 @@ from tidewater.functions import text as x
 from tidewater.operators import events as ev
 from tidewater.operators import mutations as mu
 from tidewater.plans.reading import events
-from tidewater.plans.registry import AT, QUERIES, ZONE, folder, now, query
+from tidewater.plans.registry import AT, QUERIES, ZONE, folder, now, query, settled
 from tidewater.session import table
 from tidewater.sources.keyed import KeyedTable
 
@@ -266,19 +266,33 @@ def grounding(spark, sf_dir):
 
 
 @query("""
-select user_id, count(*)::bigint as labels, count(distinct ts::date)::bigint as dated, (count(*) - count(distinct ts::date))::bigint as duplicates from events where event_type = 'view' group by user_id""")
+select user_id, count(*)::bigint as labels, count(distinct ts::date)::bigint as dated, (count(*) - count(distinct ts::date))::bigint as duplicates from events group by user_id""")
 def run_scores(spark, sf_dir):
     """Labelled events against those found, where all of one day compete: a day's first label takes one of them, and the others are its duplicates."""
-    rows = events(spark, sf_dir).where("event_type = 'view'")
-    numbered = ev.numbered(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "no")
+    numbered = ev.numbered(events(spark, sf_dir), ["user_id"], [F.col("ts"), F.col("event_id")], "no")
     word = F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"))
     labels = numbered.select("user_id", F.col("no").alias("label_no"), F.lit("symptom").alias("kind"), F.array(word, F.lit("an event")).alias("must_mention"), F.to_date("ts").alias("day"))
     found = numbered.select("user_id", F.col("no").alias("event_no"), F.lit("symptom").alias("kind"), x.fold_case(F.concat(F.lit("An  Event of "), word)).alias("searchable"), F.to_date("ts").alias("day"))
-    roles = ev.assigned(ev.scored(labels, found, ["user_id"], F.col("l.day") == F.col("p.day")), ["user_id"])
+    pairs = settled(ev.scored(labels, settled(found), ["user_id"], F.col("l.day") == F.col("p.day")))
+    roles = ev.assigned(pairs, ["user_id"])
     hits = roles.groupBy("user_id").agg(F.count_if(F.col("role") == "dated").alias("dated"), F.count_if(F.col("role") == "duplicate").alias("duplicates"))
     return labels.groupBy("user_id").agg(F.count("*").alias("labels")).join(hits, "user_id").select("user_id", "labels", "dated", "duplicates")
 
 
+@query("""
+with l as (select item_id, substr(text, 1, 24) as a, substr(text, 25, 24) as b from benchmark where text is not null)
+select item_id, count(doc_id)::bigint as documents, min(doc_id) as first from l left join documents on contains(text, a) and contains(text, b) group by item_id""")
+def quoted_items(spark, sf_dir):
+    """Documents in which the first words of a benchmark's items stand, by the rarest three characters of each."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    kind, words = F.lit("quote").alias("kind"), F.array(F.substring("text", 1, 24), F.substring("text", 25, 24)).alias("must_mention")
+    labels = items.select(F.col("item_id").alias("label_no"), kind, words)
+    found = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("event_no"), kind, F.col("text").alias("searchable"))
+    pairs = ev.scored(labels, found, [], F.lit(None))
+    counts = pairs.groupBy(F.col("label_no").alias("item_id")).agg(F.count("*").alias("documents"), F.min("event_no").alias("first"))
+    return items.select("item_id").join(counts, "item_id", "left").fillna(0, ["documents"])
+
+
 @query("""
 with e as (select user_id as tenant_id, event_id as record_no, ts, event_type from events),
 r as (select *, case when record_no % 9 = 0 then 'orphaned' when event_type = 'error' then 'protected' when event_type = 'click' then 'updated' else 'inserted' end as outcome from e)

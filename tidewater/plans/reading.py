@@ -246,10 +246,10 @@ def stored_reports(spark, sf_dir):
 
 
 @query(f"""
-with p as (select event_id as report_id, user_id, ts as period_end, ts + (event_id % 90) * interval 1 minute as created_at from events where event_type = 'signup')
+with p as (select event_id as report_id, user_id, ts as period_end, ts + (event_id % 90) * interval 1 minute as created_at from events)
 select report_id, user_id, period_end::timestamp as period_end, created_at::timestamp as created_at from p where period_end between timestamp '2024-01-05' and timestamp '{AT}'""")
 def report_list(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_type = 'signup'").select(F.col("event_id").alias("report_id"), "user_id", F.col("ts").alias("period_end"))
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("report_id"), "user_id", F.col("ts").alias("period_end"))
     rows = rows.withColumn("created_at", F.timestamp_micros(F.unix_micros("period_end") + (F.col("report_id") % 90) * 60_000_000))
     rows = rows.where(F.col("period_end").between(F.lit("2024-01-05").cast("timestamp"), now()))
     return rows.orderBy(F.desc("period_end"), F.desc("created_at"), "report_id")

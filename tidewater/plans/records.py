@@ -211,7 +211,7 @@ def budget_guard(spark, sf_dir):
 
 
 @query("""
-select event_id, event_id % 3 = 0 as separate, case when event_id % 3 > 0 then 'T ' || event_id::varchar end as title, case when event_id % 3 > 0 then 'a,b,c' end as quotes from events where event_type = 'purchase'""")
+select event_id, event_id % 3 = 0 as separate, case when event_id % 3 > 0 then 'T ' || event_id::varchar end as title, case when event_id % 3 > 0 then 'a,b,c' end as quotes from events""")
 def paid_merges(spark, sf_dir):
     """Two mentions of one event go to a model, here one that answers by rule; what they cite is put together."""
 
@@ -222,8 +222,7 @@ def paid_merges(spark, sf_dir):
         return {"output": json.dumps({"title": f"T {n}", "body": body, "quotes": ["made up"]}), "input_tokens": 1}
 
     event = lambda title, *quotes: F.struct(title.alias("title"), F.lit("b").alias("body"), F.array(*[F.lit(q) for q in quotes]).alias("quotes"))
-    rows = events(spark, sf_dir).where("event_type = 'purchase'")
-    pairs = rows.select("event_id", event(F.lit("old"), "a", "b").alias("existing"), event(F.col("event_id").cast("string"), "b", "c").alias("incoming"))
+    pairs = events(spark, sf_dir).select("event_id", event(F.lit("old"), "a", "b").alias("existing"), event(F.col("event_id").cast("string"), "b", "c").alias("incoming"))
     return calls.settled(pairs, call, "Are these one event?").select("event_id", "separate", "merged.title", F.array_join("merged.quotes", ",").alias("quotes"))
 
 
@@ -236,10 +235,11 @@ def hidden_addresses(spark, sf_dir):
     return rows.join(once.where("m = 1"), "h").where("length(h) = 32").select("c_custkey", "lock_of", F.char_length("c_name").alias("n"))
 
 
-@query("select 'chat-' || lpad((i // 40)::varchar, 5, '0') as file, count(*)::bigint as messages, true as as_made from range(0, 400) t(i) group by 1")
+@query("select 'chat-' || c_custkey::varchar as file, 10::bigint as messages, true as as_made from customer")
 def synthetic_chats(spark, sf_dir):
-    """Chats made from a seed parse to what they were made of. Reads no table."""
-    found, made = synthetic.chats(spark, 10, 40, 7)
+    """A chat for each customer, made from a seed, parses to what it was made of."""
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("chat-"), F.col("c_custkey").cast("string")).alias("file"))
+    found, made = synthetic.chats(files, 10, 7)
     messages, _ = exports.parse(found, "UTC", dayfirst=True)
     back = messages.select("file", "source_ordinal", F.col("sender_display_name").alias("_sender"), F.col("text").alias("_text"), F.col("sent_at").alias("_at"))
     same = (F.col("_sender") == F.col("sender")) & (F.col("_text") == F.col("text")) & (F.col("_at") == F.col("sent_at"))
@@ -256,9 +256,9 @@ def feed_bodies(spark, sf_dir):
     return r.as_json(page.join(people, F.col("user_id") == people.c_custkey, "left"), {"event_id": "id", "ts": "occurred_at", "event_type": "kind", "c_name": "who"})
 
 
-@query("select 'human:' || event_id::varchar as dedup_key, true as pinned, 0 as n from events where event_type = 'signup'")
+@query("select 'human:' || event_id::varchar as dedup_key, true as pinned, 0 as n from events")
 def entered_events(spark, sf_dir):
-    found = mutations.entered(events(spark, sf_dir).where("event_type = 'signup'"))
+    found = mutations.entered(events(spark, sf_dir))
     return found.select("dedup_key", "pinned", F.size("source_message_ids").alias("n"))
 
 
@@ -269,6 +269,18 @@ def wall_clocks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", times.from_wall_clock(shown, ZONE).alias("at"))
 
 
+@query("""
+with a as (select event_id, row_number() over (order by ts, event_id) as number from events),
+b as (select event_id, row_number() over (order by event_id) as number from events)
+select b.event_id, b.number, '{"said": ' || a.event_id::varchar || '}' as response from b join a using (number)""")
+def replayed_run(spark, sf_dir):
+    """A run's answers, recorded in the order of their asking, answer the same number of requests of another run, which asks nobody."""
+    rows = events(spark, sf_dir).select("event_id", "ts", F.col("event_id").cast("string").alias("prompt"))
+    asked = calls.called(rows, lambda request: {"output": json.dumps({"said": int(request["prompt"])})})
+    kept = calls.record(asked, [F.col("ts"), F.col("event_id")], folder(spark))
+    return calls.replayed(rows, kept, [F.col("event_id")]).select("event_id", "number", "response")
+
+
 @query("""
 with q as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as k, 1 + event_id % 3 as cost from events),
 r as (select *, coalesce(sum(cost) over (partition by user_id order by (k - 1) // 4 range between unbounded preceding and 1 preceding), 0) as before from q)
