@@ -282,3 +282,20 @@ def test_a_recorded_run_is_replayed(spark, tmp_path):
     again = calls.replayed(asked.select("n"), kept, [F.desc("n")])
     assert {(r.n, r.number, r.response) for r in again.collect()} == {(3, 1, None), (2, 2, "y"), (1, 3, "z")}
     assert calls.replayed(asked.select("n").limit(0), kept, [F.col("n")]).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mentions_of_large_events_are_merged_like_those_of_small_ones(spark, seed):
+    rng = random.Random(seed)
+    some = lambda *of: rng.choice(of)
+    lists = lambda: some(None, [], [some("a", "b", "c", None) for _ in range(rng.randrange(4))])
+    rows = [
+        (some("t", None), f"k{rng.randrange(3)}", rng.randrange(20), f"Title {n}", some(None, "", "x", "yy", "zz"), some(None, "", "here"), some(None, f"2024-01-0{n % 9 + 1}"), some("date", "exact", "week", "month", "unknown", "odd", None),
+         some(None, "", f"basis {n}"), some(True, True, True, True, False, None) if seed == 1 else some(True, None), some("high", "medium", "low", None), lists())
+        for n in range(90)
+    ]
+    schema = "tenant_id string, dedup_key string, no int, title string, body string, location string, occurred_at string, occurred_at_precision string, date_basis string, is_future boolean, confidence string, source_message_handles array<string>"
+    mentions = spark.createDataFrame(rows, schema)
+    merge = lambda piece: sorted(map(str, events.absorbed(mentions, ["tenant_id", "dedup_key"], ["no"], piece=piece).collect()))
+    want = merge(1000)
+    assert len(want) == 6 and merge(4) == want and merge(15) == want

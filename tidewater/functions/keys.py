@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,10 +43,14 @@ def pseudonym(value: Column, length: int = 32) -> Column:
     return F.left(F.sha2(value.cast("string"), 256), F.lit(length))
 
 
-@F.pandas_udf(T.StringType())
-def name_uuid(space: pd.Series, name: pd.Series) -> pd.Series:
-    """A name-based identifier (version 5)."""
-    return pd.Series([str(uuid.uuid5(uuid.UUID(s), n)) if s and n is not None else None for s, n in zip(space, name, strict=True)])
+def name_uuid(space: Column, name: Column) -> Column:
+    """A name-based identifier (version 5): SHA-1 of the space's bytes and the name. Null without a name, or if ``space`` is no identifier."""
+    hexed = F.replace(space, F.lit("-"), F.lit(""))
+    digest = F.sha1(F.concat(F.unhex(hexed), name.cast("binary")))
+    part = lambda at, n: F.substring(digest, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
+    made = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+    return F.when((F.length(hexed) == 32) & digest.isNotNull(), made)
 
 
 def signed_by(secret: bytes):

@@ -11,7 +11,7 @@ from tidewater.functions import nested, times
 from tidewater.functions import text as x
 from tidewater.functions import vocabulary as v
 from tidewater.operators.graphs import components
-from tidewater.operators.pieces import PIECE, parted
+from tidewater.operators.pieces import PIECE, matched, parted, placed
 from tidewater.operators.sequences import in_order
 from tidewater.session import settled
 
@@ -87,14 +87,80 @@ def _rank(ranks: dict[str, int], name: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(n) for pair in ranks.items() for n in pair]), name)
 
 
-def absorbed(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def absorbed(events: DataFrame, by: list[str], order: list[str], piece: int = PIECE) -> DataFrame:
     """One event for each key of ``by``: its mentions in ``order``, merged without judgement.
 
     The first mention owns title and natural key. Empty fields are filled by the first later mention that has them; lists grow; a
     finer date wins; the event is over once any mention says so; the least confidence and the longest body hold. Adds mention_count.
-    Columns of ``events`` that it names none of keep the first mention's value. Mentions are evidence that each event keeps anyway.
+    Columns of ``events`` that it names none of keep the first mention's value. Mentions that agree in ``order`` go by their other columns.
+
+    The mentions of an event are gathered if they are ``piece`` at most, and otherwise summed up (``_summed``), with the same result. ``events`` is
+    read twice, to count mentions and to merge them: it should be cheap to read, or written.
+    """
+    few, many = parted(events, by, piece)
+    found = _gathered(few, by, order)
+    return found if many is None else found.unionByName(_summed(many, by, order))
+
+
+def _summed(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``absorbed`` for events of any number of mentions: these are numbered by range, and of each field aggregates tell which one holds.
+
+    What a list grows by is aggregated by its values first, so what comes together is no more than the event keeps. Only the date depends on
+    all mentions before: their dates are streamed through a state of one.
     """
     fields = [c for c in events.columns if c not in by]
+    rows = placed(events, by, [F.col(c) for c in (*order, *[c for c in fields if c not in order])])
+    empty, growing = F.array().cast(NOTHING), [f for f in fields if f in v.GROWN_FIELDS]
+    said = lambda f: F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col("_place"))
+    length = F.char_length(F.coalesce("body", F.lit("")))
+    future = F.when(F.count_if(~F.col("is_future")) > 0, F.lit(False)).when(F.count_if(F.col("is_future").isNull()) == 0, F.lit(True))
+    sums = rows.groupBy(*by).agg(
+        F.min_by(F.struct(*fields), F.col("_place")).alias("first"),
+        F.struct(*[F.min_by(f, said(f)).alias(f) for f in fields if f in v.FILLED_FIELDS], F.lit(0).alias("_")).alias("filled"),
+        future.alias("future"),
+        F.min(F.struct(_rank(v.CONFIDENCE_RANK, F.col("confidence")).alias("r"), F.col("confidence").alias("c")))["c"].alias("least"),
+        F.min_by("body", F.struct(-length, F.col("_place"))).alias("longest"),
+        F.count("*").alias("mention_count"),
+    )
+    none = F.array().cast("array<struct<field:string,value:string,i:int>>")
+    values = F.flatten(F.array(none, *[F.transform(F.coalesce(F.col(f), empty), lambda c, i: F.struct(F.lit(f).alias("field"), c.alias("value"), i.alias("i"))) for f in growing]))  # noqa: B023
+    once = rows.select(*by, "_place", F.explode(values).alias("e")).groupBy(*by, "e.field", "e.value").agg(F.min(F.struct("_place", "e.i")).alias("at"))
+    lists = once.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "field", "value"))).alias("lists"))
+
+    def step(held: list, *columns) -> list:
+        made = [np.full(len(columns[0]), None, object) for _ in range(3)]
+        for i, (at, grain, basis, rank) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+            if not held:
+                held[:] = at, grain, basis, rank
+            elif rank is not None and held[3] is not None and rank > held[3]:
+                held[:] = at, grain, basis or held[2], rank
+            else:
+                told = held[2] or basis
+                held[:] = (at, grain, told, rank) if held[0] is None and at is not None else (*held[:2], told, held[3])
+            for out, value in zip(made, held, strict=False):
+                out[i] = value
+        return made
+
+    kind = dict(events.dtypes)
+    dates = rows.select(*by, "_place", *[F.col(c).alias(f"_{c}") for c in ("occurred_at", "occurred_at_precision", "date_basis")], _rank(v.PRECISION_RANK, times.precision(F.col("occurred_at_precision"))).alias("_rank"))
+    added = f"at {kind['occurred_at']}, grain {kind['occurred_at_precision']}, basis {kind['date_basis']}"
+    dates = in_order(dates, by, [F.col("_place")], ["_occurred_at", "_occurred_at_precision", "_date_basis", "_rank"], added, list, step)
+    last = dates.groupBy(*by).agg(F.max_by(F.struct("at", "grain", "basis"), F.col("_place")).alias("dated"))
+    met = matched(matched(sums, last, by), lists, by, "left")
+
+    def grown(f: str) -> Column:
+        own = F.coalesce(F.col(f"first.{f}"), empty)
+        more = F.transform(F.filter("lists", lambda e: e["field"] == f), lambda e: e["value"])
+        return F.concat(own, F.array_except(F.coalesce(more, empty), own))
+
+    merged = {"date_basis": "dated.basis", "occurred_at": "dated.at", "occurred_at_precision": "dated.grain", "is_future": "future", "confidence": "least", "body": "longest"}
+    out = [F.col(f"filled.{f}") if f in v.FILLED_FIELDS else grown(f) if f in v.GROWN_FIELDS else F.col(merged.get(f, f"first.{f}")) for f in fields]
+    return met.select(*by, *[c.alias(f) for c, f in zip(out, fields, strict=True)], "mention_count")
+
+
+def _gathered(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``absorbed`` for events of few mentions: each event's are put in order and walked."""
+    fields = [c for c in events.columns if c not in by]
     told = F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order])))
     grouped = events.groupBy(*by).agg(told.alias("e"))
     first, rest = F.get("e", F.lit(0)), F.slice("e", 2, F.size("e"))

@@ -82,7 +82,7 @@ with m as (
 """
 
 
-@query(
+_ABSORBED = (
     _MENTIONS.replace("with m as", "with recursive m as")
     + """, d as (
   select tenant_id, dedup_key, no, occurred_at, grain, r from m where no = 1
@@ -96,12 +96,14 @@ g as (
     max(length(coalesce(body, '')))::int as body_chars, count(distinct handle)::int as n_handles, count(*)::bigint as mention_count from m group by all)
 select g.*, l.occurred_at, l.grain as occurred_at_precision from g join (select tenant_id, dedup_key, arg_max(grain, no) as grain, last(occurred_at order by no) as occurred_at from d group by all) l using (tenant_id, dedup_key)"""
 )
-def absorb_mentions(spark, sf_dir):
-    """All mentions of an event as one: nothing is lost, the first names it, the finest date holds."""
+_HOT_USER = "case when user_id % 5 = 0 then -1 else user_id end"
+
+
+def _mentions(spark, sf_dir, tenant):
     i = F.col("event_id")
     text = lambda c: F.lit(c).cast("string")
-    rows = events(spark, sf_dir).select(
-        F.col("user_id").alias("tenant_id"),
+    return events(spark, sf_dir).select(
+        tenant.alias("tenant_id"),
         F.col("event_type").alias("dedup_key"),
         F.struct("ts", "event_id").alias("no"),
         F.concat(F.lit("Title "), i.cast("string")).alias("title"),
@@ -114,13 +116,28 @@ def absorb_mentions(spark, sf_dir):
         F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("low").alias("confidence"),
         F.array(F.concat(F.lit("h"), (i % 6).cast("string"))).alias("source_message_handles"),
     )
-    found = ev.absorbed(rows, ["tenant_id", "dedup_key"], ["no"])
+
+
+def _merged(found):
     return found.select(
         "tenant_id", "dedup_key", "title", "location", "is_future", "confidence", F.char_length(F.coalesce("body", F.lit(""))).alias("body_chars"),
         F.size("source_message_handles").alias("n_handles"), "mention_count", "occurred_at", "occurred_at_precision",
     )
 
 
+@query(_ABSORBED)
+def absorb_mentions(spark, sf_dir):
+    """All mentions of an event as one: nothing is lost, the first names it, the finest date holds."""
+    return _merged(ev.absorbed(_mentions(spark, sf_dir, F.col("user_id")), ["tenant_id", "dedup_key"], ["no"]))
+
+
+@query(_ABSORBED.replace("user_id", _HOT_USER))
+def absorb_hot_events(spark, sf_dir):
+    """The same where one tenant has a fifth of all mentions, whose events are summed up instead of gathered."""
+    tenant = F.when(F.col("user_id") % 5 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id"))
+    return _merged(ev.absorbed(_mentions(spark, sf_dir, tenant), ["tenant_id", "dedup_key"], ["no"], piece=64))
+
+
 _STORED = """
 with stored as (
   select o_custkey as tenant_id, o_orderkey as dedup_key, o_orderstatus as kind, o_totalprice::decimal(12,2) as title, o_orderkey % 5 = 0 as edited, o_orderkey % 7 = 0 as deleted, o_orderkey % 11 = 0 as pinned,

@@ -226,6 +226,16 @@ def paid_merges(spark, sf_dir):
     return calls.settled(pairs, call, "Are these one event?").select("event_id", "separate", "merged.title", F.array_join("merged.quotes", ",").alias("quotes"))
 
 
+@query("""
+with n as (select conv_id, turn, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('|', conv_id::varchar, turn::varchar, coalesce(role, ''), coalesce(text, '')))) as h from conversations)
+select conv_id, turn, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (('0x' || h[17:17])::int & 3), 1) || h[18:20] || '-' || h[21:32] as id from n""")
+def message_ids(spark, sf_dir):
+    """Identifiers of messages that come without one, from what they are: the same whenever they are worked out."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    name = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), blank("role"), blank("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", keys.name_uuid(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"), name).alias("id"))
+
+
 @query("""
 select c_custkey, c_custkey as lock_of, length(c_name) as n from customer""")
 def hidden_addresses(spark, sf_dir):
