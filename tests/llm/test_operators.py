@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -591,6 +592,41 @@ def test_altered_items_are_found():
     assert near > 300 and found >= 0.98 * near
 
 
+def test_items_found_are_those_of_a_plain_search():
+    """Against the similarity of every window of every item's length, worked out plainly: words replaced, put in and left out, and items that share passages."""
+    r = random.Random(14)
+    word = lambda: f"v{r.randint(0, 400)}"
+    shared = [word() for _ in range(12)]
+    items = [[word() for _ in range(r.randint(8, 60))] for _ in range(30)] + [[*shared, *[word() for _ in range(r.randint(2, 30))]] for _ in range(10)]
+    grams = lambda t: Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4))
+    bags = [grams(t) for t in items]
+    stands = Counter(g for bag in bags for g in bag)
+    weight = lambda g: math.log1p(len(items) / max(1, stands[g]))
+
+    def alike(window, bag):
+        both, either = window & bag, window | bag
+        return max(sum(both.values()) / sum(either.values()), sum(n * weight(g) for g, n in both.items()) / sum(n * weight(g) for g, n in either.items()))
+
+    index = decontaminate.Benchmark([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    want, found, changed = set(), set(), Counter()
+    for doc in range(160):
+        copy = list(r.choice(items))
+        how = r.choice(["replaced", "put in", "left out", "as it is"])
+        for _ in range(0 if how == "as it is" else r.randint(1, 2)):
+            at = r.choice([0, 1, len(copy) - 1, r.randrange(len(copy))])
+            copy[at : at + (how != "put in")] = [] if how == "left out" else ["new"]
+        text = [*[word() for _ in range(r.randint(0, 30))], *copy, *[word() for _ in range(r.randint(0, 30))]]
+        for i, (item, bag) in enumerate(zip(items, bags, strict=True)):
+            n = min(len(item), len(text))
+            windows = (grams(text[a : a + n]) for a in range(len(text) - n + 1))
+            if max((alike(w, bag) for w in windows if w.keys() & bag.keys()), default=0) >= 0.8 - 1e-9:
+                want.add((doc, i))
+                changed[how] += 1
+        found |= {(doc, m[0]) for m in index.matches(" ".join(text).encode())}
+    assert min(changed[h] for h in ("replaced", "put in", "left out", "as it is")) > 5
+    assert found <= want and len(found) >= 0.98 * len(want), (len(found), len(want))
+
+
 def test_items_of_many_lengths_take_little_memory():
     r = random.Random(12)
     items = [(n, " ".join(f"v{r.randint(0, 3000)}" for _ in range(n)).encode()) for n in range(5, 305)]
