@@ -592,38 +592,50 @@ def test_altered_items_are_found():
     assert near > 300 and found >= 0.98 * near
 
 
-def test_items_found_are_those_of_a_plain_search():
-    """Against the similarity of every window of every item's length, worked out plainly: words replaced, put in and left out, and items that share passages."""
-    r = random.Random(14)
-    word = lambda: f"v{r.randint(0, 400)}"
-    shared = [word() for _ in range(12)]
-    items = [[word() for _ in range(r.randint(8, 60))] for _ in range(30)] + [[*shared, *[word() for _ in range(r.randint(2, 30))]] for _ in range(10)]
-    grams = lambda t: Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4))
-    bags = [grams(t) for t in items]
-    stands = Counter(g for bag in bags for g in bag)
-    weight = lambda g: math.log1p(len(items) / max(1, stands[g]))
+def brute_leaks(texts, items):
+    """(text, item), by their places: items of which a text has a window of the item's length with similarity 0.8 or more, plain or weighted."""
+    split = lambda t: t.encode().lower().split()
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    words = [split(t) for t in items]
+    bags = [grams(w) for w in words]
+    stands = Counter(g for bag in {tuple(w): bag for w, bag in zip(words, bags, strict=True)}.values() for g in bag)
+    weight = lambda g: math.log1p(len({tuple(w) for w in words if w}) / max(1, stands[g]))
 
     def alike(window, bag):
         both, either = window & bag, window | bag
         return max(sum(both.values()) / sum(either.values()), sum(n * weight(g) for g, n in both.items()) / sum(n * weight(g) for g, n in either.items()))
 
-    index = decontaminate.Benchmark([(i, " ".join(t).encode()) for i, t in enumerate(items)])
-    want, found, changed = set(), set(), Counter()
-    for doc in range(160):
+    found = set()
+    for d, text in enumerate(map(split, texts)):
+        for i, (item, bag) in enumerate(zip(words, bags, strict=True)):
+            n, size = min(len(item), len(text)), min(5, len(item))
+            shared = [a for a in range(len(text) - size + 1) if tuple(text[a : a + size]) in bag] if bag else []
+            starts = {a for at in shared for a in range(max(0, at - n + size), min(at, len(text) - n) + 1)}
+            if any(alike(grams(text[a : a + n]), bag) >= 0.8 - 1e-9 for a in starts):
+                found.add((d, i))
+    return found
+
+
+def test_items_found_are_those_of_a_plain_search():
+    """Words replaced, put in and left out, and items that share passages."""
+    r = random.Random(14)
+    word = lambda: f"v{r.randint(0, 400)}"
+    shared = [word() for _ in range(12)]
+    items = [[word() for _ in range(r.randint(8, 60))] for _ in range(30)] + [[*shared, *[word() for _ in range(r.randint(2, 30))]] for _ in range(10)]
+    texts, changes = [], []
+    for _ in range(160):
         copy = list(r.choice(items))
         how = r.choice(["replaced", "put in", "left out", "as it is"])
         for _ in range(0 if how == "as it is" else r.randint(1, 2)):
             at = r.choice([0, 1, len(copy) - 1, r.randrange(len(copy))])
             copy[at : at + (how != "put in")] = [] if how == "left out" else ["new"]
-        text = [*[word() for _ in range(r.randint(0, 30))], *copy, *[word() for _ in range(r.randint(0, 30))]]
-        for i, (item, bag) in enumerate(zip(items, bags, strict=True)):
-            n = min(len(item), len(text))
-            windows = (grams(text[a : a + n]) for a in range(len(text) - n + 1))
-            if max((alike(w, bag) for w in windows if w.keys() & bag.keys()), default=0) >= 0.8 - 1e-9:
-                want.add((doc, i))
-                changed[how] += 1
-        found |= {(doc, m[0]) for m in index.matches(" ".join(text).encode())}
-    assert min(changed[h] for h in ("replaced", "put in", "left out", "as it is")) > 5
+        texts.append(" ".join([*[word() for _ in range(r.randint(0, 30))], *copy, *[word() for _ in range(r.randint(0, 30))]]))
+        changes.append(how)
+    items = [" ".join(t) for t in items]
+    index = decontaminate.Benchmark([(i, t.encode()) for i, t in enumerate(items)])
+    found = {(d, m[0]) for d, text in enumerate(texts) for m in index.matches(text.encode())}
+    want = brute_leaks(texts, items)
+    assert min(Counter(changes[d] for d, _ in want)[how] for how in set(changes)) > 5
     assert found <= want and len(found) >= 0.98 * len(want), (len(found), len(want))
 
 
@@ -662,6 +674,24 @@ def test_pipeline(spark):
     assert leaked == 0 and simhash.near_duplicates(before).where("doc_id <> component_id").count() == 0
 
 
+def test_pipeline_against_plain_stages(spark):
+    """All but the learned stage worked out by brute force, each on what the plain stage before it leaves."""
+    accepted = {x.doc_id for x in queries.op4_quality_classifier(spark, SF).where("predicted = 1").collect()}
+    docs = [(x.doc_id, x.text) for x in table(spark, SF, "documents").collect() if x.doc_id in accepted]
+    deduped = brute_lines(docs)
+    had = lambda t: any(x.strip(" \t\r\f\x0b") for x in t.split("\n"))
+    left = [(d, deduped[d]) for d, t in docs if had(deduped[d]) or not had(t)]
+    gone, _ = brute_near_copies(left)
+    single = sorted(set(left) - set(gone))
+    leaks = {d for d, _ in brute_leaks([t for _, t in single], [x.text for x in table(spark, SF, "benchmark").collect()])}
+    want = [row for d, row in enumerate(single) if d not in leaks]
+    found = corpus_pipeline.run(spark, SF).orderBy("mix_position").collect()
+    assert sorted((x.doc_id, x.text) for x in found) == want and len(docs) > len(left) >= len(single) > len(want) > 50
+    counts = Counter(x.source for x in found)
+    blocks = {(x.mix_slot, x.source, x.mix_block) for x in found}
+    assert Counter(s for _, s, _ in blocks) == {s: -(-n // mixing.BLOCK) for s, n in counts.items()} and len({x.mix_position for x in found}) == len(found)
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_rows(spark, odd, none, name, stage):
     """Nulls, empty and long texts, repeated rows, columns of other names; and no rows at all. Labels and items are those of the test tables."""
