@@ -275,7 +275,8 @@ def candidates(labels: DataFrame, predictions: DataFrame, by: list[str]) -> Data
     held = settled(held.join(asked.select(*key, "_gram").distinct(), [*key, "_gram"], "left_semi"))
     counts = held.groupBy(*key, "_gram").agg(F.count("*").alias("_n"))
     least = asked.join(counts, [*key, "_gram"], "left").groupBy(*key, "label_no").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r"))
-    rarest = least.where("r.n > 0").select(*key, "label_no", F.col("r.gram").alias("_gram"))
+    # Written, so that its size is known before the index is read: it is broadcast if it is small, and the index isn't shuffled.
+    rarest = settled(least.where("r.n > 0").select(*key, "label_no", F.col("r.gram").alias("_gram")))
     short = wanted.where(F.size("_grams") == 0).select(*key, "label_no")
     found = rarest.join(held, [*key, "_gram"]).select(*by, "label_no", "event_no")
     return found.unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
