@@ -265,14 +265,15 @@ def test_candidates_of_a_large_run_come_from_an_index(spark):
     assert {r.label_no: r["count"] for r in found} == {0: 100, 2: 1}
 
 
-def test_candidates_leave_out_no_pair(spark):
+@pytest.mark.parametrize("few", [0, 60, 256])
+def test_candidates_leave_out_no_pair(spark, few):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abé\n𝔸") for _ in range(rng.randrange(6)))
     labels = [(i, rng.choice("xy"), [word() for _ in range(rng.randrange(3))]) for i in range(40)] + [(40, None, ["a"]), (41, "x", [])]
     texts = [(i, rng.choice("xy"), "".join(word() for _ in range(rng.randrange(8)))) for i in range(120)] + [(120, "x", None), (121, None, "aab"), (122, "x", "")]
     left = spark.createDataFrame(labels, "label_no long, kind string, must_mention array<string>")
     right = spark.createDataFrame(texts, "event_no long, kind string, searchable string")
-    found = {(r.label_no, r.event_no) for r in events.scored(left, right, [], F.lit(None)).collect()}
+    found = {(r.label_no, r.event_no) for r in events.scored(left, right, [], F.lit(None), few=few).collect()}
     assert found == {(i, j) for i, k, must in labels for j, kind, text in texts if k is not None and k == kind and all(text is not None and m in text for m in must)}
 
 

@@ -251,8 +251,8 @@ def prepared(records: DataFrame, messages: DataFrame, stored: DataFrame) -> tupl
     return ready, counts
 
 
-#: Characters of the runs by which texts are looked up.
-GRAM = 3
+#: Characters of the runs by which texts are looked up, and predictions of a run and kind up to which comparing all is cheaper.
+GRAM, FEW = 3, 256
 
 
 def grams(text: Column) -> Column:
@@ -260,14 +260,20 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
-def candidates(labels: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
+def candidates(labels: DataFrame, predictions: DataFrame, by: list[str], few: int = FEW) -> DataFrame:
     """(by, label_no, event_no): pairs of one kind that an index leaves over; every pair that ``scored`` finds is among them.
 
+    Where a run has ``few`` predictions of a kind or fewer, each label meets them all; the rest is looked up.
+
     The index has the runs of three characters of the predictions' texts that any label of their run and kind asks for; a label is looked up by the
     one of its runs that fewest predictions hold, whichever of its words that is from, and a label with a run that none holds meets nothing. Texts
     are read once, and only ids are shuffled. Labels all of whose words are shorter meet every prediction of their kind.
     """
     key = [*by, "kind"]
+    small, predictions = parted(predictions, key, few)
+    compared = labels.select(*key, "label_no").join(small.select(*key, "event_no"), key).select(*by, "label_no", "event_no")
+    if predictions is None:
+        return compared
     # A null among the words, or no list, is never found in a text.
     wanted = labels.select(*key, "label_no", F.array_distinct(F.flatten(F.transform("must_mention", grams))).alias("_grams")).where("_grams is not null")
     asked = wanted.select(*key, "label_no", F.explode("_grams").alias("_gram"))
@@ -279,16 +285,16 @@ def candidates(labels: DataFrame, predictions: DataFrame, by: list[str]) -> Data
     rarest = settled(least.where("r.n > 0").select(*key, "label_no", F.col("r.gram").alias("_gram")))
     short = wanted.where(F.size("_grams") == 0).select(*key, "label_no")
     found = rarest.join(held, [*key, "_gram"]).select(*by, "label_no", "event_no")
-    return found.unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
+    return compared.unionByName(found).unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
 
 
-def scored(labels: DataFrame, predictions: DataFrame, by: list[str], matches: Column) -> DataFrame:
+def scored(labels: DataFrame, predictions: DataFrame, by: list[str], matches: Column, few: int = FEW) -> DataFrame:
     """(by, label_no, event_no, dated): pairs of a label and a prediction of its kind that mentions all it must. Texts come folded.
 
     ``labels``: by, label_no, kind, must_mention; ``predictions``: by, event_no, kind, searchable; label_no and event_no tell a run's rows apart.
     ``matches`` says if the dates agree, over ``l`` and ``p``. Pairs come from an index (``candidates``); only their texts are compared.
     """
-    pairs, left, right = candidates(labels, predictions, by).alias("c"), labels.alias("l"), predictions.alias("p")
+    pairs, left, right = candidates(labels, predictions, by, few).alias("c"), labels.alias("l"), predictions.alias("p")
 
     def same(side: str, number: str) -> Column:
         on = F.col(f"c.{number}") == F.col(f"{side}.{number}")
