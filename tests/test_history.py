@@ -265,6 +265,19 @@ def test_candidates_of_a_large_run_come_from_an_index(spark):
     assert {r.label_no: r["count"] for r in found} == {0: 100, 2: 1}
 
 
+def test_texts_of_small_runs_are_compared_where_they_meet(spark):
+    day = F.concat(F.lit("day "), F.lpad((F.col("id") % 50).cast("string"), 2, "0"))
+    rows = spark.range(1000).select((F.col("id") % 7).alias("run"), F.col("id").alias("no"), day.alias("day"))
+    labels = rows.select("run", F.col("no").alias("label_no"), F.lit("k").alias("kind"), F.array("day").alias("must_mention"))
+    predictions = rows.select("run", F.col("no").alias("event_no"), F.lit("k").alias("kind"), F.concat(F.lit("on "), "day").alias("searchable"))
+    pairs = events.scored(labels, predictions, ["run"], F.lit(True))
+    found = {(r.run, r.label_no, r.event_no) for r in pairs.collect()}
+    assert found == {(a % 7, a, b) for a in range(1000) for b in range(a % 7, 1000, 7) if a % 50 == b % 50}
+    # Pairs that don't hold are never handed on: the one join has the texts in its condition.
+    plan = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(plan) == 1 and "searchable" in plan[0]
+
+
 @pytest.mark.parametrize("few", [0, 60, 256])
 def test_candidates_leave_out_no_pair(spark, few):
     rng = random.Random(3)

@@ -263,17 +263,22 @@ def grams(text: Column) -> Column:
 def candidates(labels: DataFrame, predictions: DataFrame, by: list[str], few: int = FEW) -> DataFrame:
     """(by, label_no, event_no): pairs of one kind that an index leaves over; every pair that ``scored`` finds is among them.
 
-    Where a run has ``few`` predictions of a kind or fewer, each label meets them all; the rest is looked up.
+    Where a run has ``few`` predictions of a kind or fewer, each label meets them all; the rest is looked up (``_looked_up``).
+    """
+    key = [*by, "kind"]
+    small, predictions = parted(predictions, key, few)
+    compared = labels.select(*key, "label_no").join(small.select(*key, "event_no"), key).select(*by, "label_no", "event_no")
+    return compared if predictions is None else compared.unionByName(_looked_up(labels, predictions, by))
+
+
+def _looked_up(labels: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
+    """``candidates`` by an index alone.
 
     The index has the runs of three characters of the predictions' texts that any label of their run and kind asks for; a label is looked up by the
     one of its runs that fewest predictions hold, whichever of its words that is from, and a label with a run that none holds meets nothing. Texts
     are read once, and only ids are shuffled. Labels all of whose words are shorter meet every prediction of their kind.
     """
     key = [*by, "kind"]
-    small, predictions = parted(predictions, key, few)
-    compared = labels.select(*key, "label_no").join(small.select(*key, "event_no"), key).select(*by, "label_no", "event_no")
-    if predictions is None:
-        return compared
     # A null among the words, or no list, is never found in a text.
     wanted = labels.select(*key, "label_no", F.array_distinct(F.flatten(F.transform("must_mention", grams))).alias("_grams")).where("_grams is not null")
     asked = wanted.select(*key, "label_no", F.explode("_grams").alias("_gram"))
@@ -285,26 +290,32 @@ def candidates(labels: DataFrame, predictions: DataFrame, by: list[str], few: in
     rarest = settled(least.where("r.n > 0").select(*key, "label_no", F.col("r.gram").alias("_gram")))
     short = wanted.where(F.size("_grams") == 0).select(*key, "label_no")
     found = rarest.join(held, [*key, "_gram"]).select(*by, "label_no", "event_no")
-    return compared.unionByName(found).unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
+    return found.unionByName(short.join(predictions.select(*key, "event_no"), key).select(*by, "label_no", "event_no"))
 
 
 def scored(labels: DataFrame, predictions: DataFrame, by: list[str], matches: Column, few: int = FEW) -> DataFrame:
     """(by, label_no, event_no, dated): pairs of a label and a prediction of its kind that mentions all it must. Texts come folded.
 
     ``labels``: by, label_no, kind, must_mention; ``predictions``: by, event_no, kind, searchable; label_no and event_no tell a run's rows apart.
-    ``matches`` says if the dates agree, over ``l`` and ``p``. Pairs come from an index (``candidates``); only their texts are compared.
+    ``matches`` says if the dates agree, over ``l`` and ``p``. Where a run has ``few`` predictions of a kind or fewer, texts are compared as they meet, so
+    that only pairs that hold are handed on; others come from an index (``_looked_up``), and only their texts are compared.
     """
-    pairs, left, right = candidates(labels, predictions, by, few).alias("c"), labels.alias("l"), predictions.alias("p")
+    left, said = labels.alias("l"), F.forall("l.must_mention", lambda m: F.contains(F.col("p.searchable"), m))
+    found = lambda met: met.select(*[F.col(f"l.{b}") for b in by], "l.label_no", "p.event_no", F.coalesce(matches, F.lit(False)).alias("dated"))
 
-    def same(side: str, number: str) -> Column:
-        on = F.col(f"c.{number}") == F.col(f"{side}.{number}")
-        for b in by:
-            on = on & (F.col(f"c.{b}") == F.col(f"{side}.{b}"))
+    def same(one: str, other: str, columns: list[str]) -> Column:
+        on = F.lit(True)
+        for c in columns:
+            on = on & (F.col(f"{one}.{c}") == F.col(f"{other}.{c}"))
         return on
 
-    said = F.forall("l.must_mention", lambda m: F.contains(F.col("p.searchable"), m))
-    met = pairs.join(left, same("l", "label_no")).join(right, same("p", "event_no")).where(said & (F.col("l.kind") == F.col("p.kind")))
-    return met.select(*[F.col(f"c.{b}") for b in by], "c.label_no", "c.event_no", F.coalesce(matches, F.lit(False)).alias("dated"))
+    small, large = parted(predictions, [*by, "kind"], few)
+    compared = found(left.join(small.alias("p"), same("l", "p", [*by, "kind"]) & said))
+    if large is None:
+        return compared
+    pairs = _looked_up(labels, large, by).alias("c")
+    met = pairs.join(left, same("c", "l", [*by, "label_no"])).join(large.alias("p"), same("c", "p", [*by, "event_no"]))
+    return compared.unionByName(found(met.where(said & same("l", "p", ["kind"]))))
 
 
 def assigned(pairs: DataFrame, by: list[str], piece: int = PIECE) -> DataFrame:
