@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,39 @@ def test_joins_are_held_across_batches_and_restarts(spark, tmp_path):
     assert all(o == want[r] or {o, want[r]} == {"burst_suppressed", "withheld"} for r, o in got)
 
 
+class _Desk:
+    """A handle whose states are held in memory, with how often a slot's sightings are read."""
+
+    def __init__(self):
+        self.near, self.held, self.reads, self.timers = [], {}, 0, []
+
+    def getListState(self, *_):
+        return SimpleNamespace(get=self._read, appendList=self.near.extend, clear=self.near.clear)
+
+    def getMapState(self, *_):
+        return SimpleNamespace(updateValue=self.held.__setitem__, removeKey=self.held.pop, iterator=lambda: iter(self.held.items()))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def _read(self):
+        self.reads += 1
+        return iter(self.near)
+
+
+def test_a_slot_is_read_once_however_many_join(spark):
+    handle, desk = _Desk(), streaming_joins.Desk(900_000_000)
+    desk.init(handle)
+    us = [0, *range(1_000_000_000, 1_000_003_000), 3_000_000_000]
+    rows = pd.DataFrame({"group": [f"g{u}" for u in us], "us": us, "row": range(len(us)), "own": True, "join": True})
+    found = pd.concat(desk.handleInputRows((0,), iter([rows[:1000], rows[1000:]]), None))
+    assert set(found["row"]) == set(range(2, 3001)) and set(found["outcome"]) == {"burst_suppressed"} and handle.reads == 1
+    assert sorted(k[0] for k in handle.held) == [0, 1, 3001]
+    later = pd.concat(desk.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 10_000_000)))
+    assert dict(zip(later["row"], later["outcome"], strict=True)) == {0: "welcomed", 1: "withheld", 3001: "welcomed"} and handle.reads == 2
+    assert not handle.held and not handle.near
+
+
 def test_admission_over_restarts_and_late_rows(spark, tmp_path):
     """Three runs from one checkpoint, rows out of order: as the batch operator lets them in batch by batch; a row too late is dropped and counted."""
     schema = "k string, n long, at timestamp"
