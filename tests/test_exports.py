@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.session import settled
-from tidewater.sources import exports, storage
+from tidewater.sources import exports, storage, synthetic
 
 IOS = """[14/07/2026, 21:04:11] Sarah: the cat slept on the sofa
 then under it
@@ -146,3 +146,10 @@ def test_a_file_in_many_blocks_is_that_file(spark, big):
     assert one[1:] == many[1:]
     counts = one[2]
     assert counts["messages"] + counts["system_lines"] + counts["continuations"] + counts["unparsed_lines"] == counts["total_lines"]
+
+
+def test_made_up_chats_are_made_in_as_many_tasks_as_shuffles_have(spark):
+    files = spark.range(40).coalesce(1).select(F.concat(F.lit("chat-"), F.col("id").cast("string")).alias("file"))
+    lines, made = synthetic.chats(files, 10, 7)
+    assert lines.rdd.getNumPartitions() == made.rdd.getNumPartitions() == 4
+    assert made.count() == 400 and lines.count() == 480

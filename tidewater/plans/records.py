@@ -250,7 +250,7 @@ def synthetic_chats(spark, sf_dir):
     """A chat for each customer, made from a seed, parses to what it was made of."""
     files = table(spark, sf_dir, "customer").select(F.concat(F.lit("chat-"), F.col("c_custkey").cast("string")).alias("file"))
     found, made = synthetic.chats(files, 10, 7)
-    messages, _ = exports.parse(found, "UTC", dayfirst=True)
+    messages, _ = exports.parse(found, "UTC", dayfirst=True, settle=settled)
     back = messages.select("file", "source_ordinal", F.col("sender_display_name").alias("_sender"), F.col("text").alias("_text"), F.col("sent_at").alias("_at"))
     same = (F.col("_sender") == F.col("sender")) & (F.col("_text") == F.col("text")) & (F.col("_at") == F.col("sent_at"))
     return made.join(back, ["file", "source_ordinal"], "left").groupBy("file").agg(F.count("*").alias("messages"), F.bool_and(F.coalesce(same, F.lit(False))).alias("as_made"))

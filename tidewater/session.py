@@ -45,3 +45,8 @@ def settled(rows: DataFrame) -> DataFrame:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt out by ``by`` to as many tasks as shuffles have: for work that is large where its rows are small, which sizes in bytes leave to a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

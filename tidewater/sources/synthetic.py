@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.session import spread
+
 PEOPLE = ("Ada", "Bo", "Cy", "Dee")
 WORDS = ("tea", "walk", "rain", "pills", "bus", "garden", "late", "well")
 
@@ -20,7 +22,7 @@ def chats(files: DataFrame, messages: int, seed: int) -> tuple[DataFrame, DataFr
     text = F.when(n % 5 == 4, F.concat(text, F.lit("\n"), pick(WORDS, 9))).otherwise(text)
     begun = F.lit(1_700_000_000) + F.pmod(F.xxhash64("file", F.lit(seed)), F.lit(10_000_000))
     at = F.timestamp_seconds(begun + n * 97 + F.pmod(F.xxhash64("file", n, F.lit(seed)), F.lit(60)))
-    each = files.select("file", F.explode(F.sequence(F.lit(0), F.lit(messages - 1))).alias("source_ordinal"))
+    each = spread(files.select("file"), "file").select("file", F.explode(F.sequence(F.lit(0), F.lit(messages - 1))).alias("source_ordinal"))
     rows = each.select("file", "source_ordinal", pick(PEOPLE, 5).alias("sender"), text.alias("text"), at.alias("sent_at"))
     line = F.concat(F.lit("["), F.date_format("sent_at", "dd/MM/yyyy, HH:mm:ss"), F.lit("] "), "sender", F.lit(": "), "text")
     parts = F.posexplode(F.split(line, "\n")).alias("part", "raw")
