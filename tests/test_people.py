@@ -57,3 +57,13 @@ def test_a_second_run_inserts_nothing(spark):
     df = spark.createDataFrame([("t", "h1", "p1"), ("t", "h2", None)], "tenant_id string, content_hash string, provider_message_id string")
     assert ingest.not_stored(df, df.where("false")).count() == 2
     assert ingest.not_stored(df, df).count() == 0
+
+
+def test_people_are_resolved_once_for_senders_and_members(spark):
+    said = spark.range(400).coalesce(1).select(F.lit("t").alias("tenant_id"), F.lit(None).cast("string").alias("wa_jid"), F.lit(None).cast("string").alias("wa_lid"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("display_name"))
+    members = said.where("display_name < 'name 2'").select("*", F.concat(F.lit("m"), "display_name").alias("member_id"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    resolved, after = ingest.resolve(said, members, most=16)
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for rows in (resolved, after)]
+    assert not any("CoGroup" in plan for plan in plans)
+    known = members.count()
+    assert (resolved.count(), after.count(), after.where("is_new").count()) == (400, 400, 400 - known) and 0 < known < 400

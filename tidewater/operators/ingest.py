@@ -16,7 +16,7 @@ from tidewater.operators import pieces
 from tidewater.operators.graphs import components
 from tidewater.operators.pieces import PIECE, parted
 from tidewater.operators.sequences import in_order, occurrences
-from tidewater.session import settled
+from tidewater.session import settled, spread
 
 SPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 
@@ -72,11 +72,16 @@ def resolve(senders: DataFrame, members: DataFrame, most: int = PEOPLE) -> tuple
     wa_jid, wa_lid, created_at.
     """
     blank = lambda c: F.nullif(x.stripped(F.col(c)), F.lit(""))
-    said = senders.select(F.col("tenant_id").cast("string").alias("tenant_id"), x.address(F.col("wa_jid")).alias("wa_jid"), x.address(F.col("wa_lid")).alias("wa_lid"), blank("display_name").alias("display_name"))
-    said = said.where("coalesce(wa_jid, wa_lid, display_name) is not null").distinct().withColumn("name_folded", x.fold_name(F.col("display_name")))
-    known = members.select(F.col("tenant_id").cast("string").alias("tenant_id"), "member_id", "display_name", "wa_jid", "wa_lid", "created_at").withColumn("name_folded", x.fold_name(F.col("display_name")))
+    key = ["tenant_id", "wa_jid", "wa_lid", "display_name"]
+    # Different ones only go to Python, in as many tasks as shuffles have, however few files they came in; written, as filters are moved to before a shuffle.
+    said = settled(spread(senders.select(F.col("tenant_id").cast("string").alias("tenant_id"), *key[1:]).distinct(), *key))
+    said = said.select("tenant_id", x.address(F.col("wa_jid")).alias("wa_jid"), x.address(F.col("wa_lid")).alias("wa_lid"), blank("display_name").alias("display_name"))
+    said = spread(said.where("coalesce(wa_jid, wa_lid, display_name) is not null").distinct(), *key).withColumn("name_folded", x.fold_name(F.col("display_name")))
+    known = members.select(F.col("tenant_id").cast("string").alias("tenant_id"), "member_id", "display_name", "wa_jid", "wa_lid", "created_at")
+    known = spread(known, "tenant_id", "member_id").withColumn("name_folded", x.fold_name(F.col("display_name")))
     said, known = _parts(said, known, most)
-    out = said.groupBy("tenant_id", "part").cogroup(known.groupBy("tenant_id", "part")).applyInPandas(_resolve_tenant, RESOLVED)
+    said, known = (spread(rows, "tenant_id", "part").groupBy("tenant_id", "part") for rows in (said, known))
+    out = settled(said.cogroup(known).applyInPandas(_resolve_tenant, RESOLVED))
     resolved = out.where("kind = 'sender'").select("tenant_id", F.col("said_jid").alias("wa_jid"), F.col("said_lid").alias("wa_lid"), F.col("said_name").alias("display_name"), "member_id", "is_new")
     after = out.where("kind = 'member'").select("tenant_id", "member_id", "display_name", "wa_jid", "wa_lid", "created_at", "is_new")
     return resolved, after
